@@ -16,13 +16,14 @@ from ledgerline.functions.text import quoted, strip
 TRUE_WORDS = ("true", "t", "yes", "y", "1")
 FALSE_WORDS = ("false", "f", "no", "n", "0")
 
-# Fixed pattern: a decimal number, once the underscores between digits are gone.
-_DECIMAL = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
-_STRAY_UNDERSCORE = r"(?:^|[^0-9])_|_(?:[^0-9]|$)"
+# Fixed pattern: a decimal number; underscores may stand between digits.
+_DECIMAL = (
+    r"^(?!.*(?:[^0-9]_|_[^0-9]|_$))[+-]?(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?$"
+)
 
 # Strptime directives, their Spark letters, and the texts they accept.
 _DATE_PARTS = {
-    "%Y": ("yyyy", r"\d{4}"),
+    "%Y": ("yyyy", r"(?!0000)\d{4}"),
     "%m": ("M", r"\d{1,2}"),
     "%d": ("d", r"\d{1,2}"),
     "%y": ("yy", r"\d{2}"),
@@ -36,14 +37,9 @@ _DATE_PARTS = {
 
 def double_of_text(text: Column) -> Column:
     """A double, or NULL where the text is not a number (``1d`` and ``1__0`` are not)."""
-    text = strip(text)
-    digits = F.when(
-        F.contains(text, F.lit("_")),
-        F.when(~text.rlike(_STRAY_UNDERSCORE), F.replace(text, F.lit("_"), F.lit(""))),
-    ).otherwise(text)
     word = F.lower(text)
     return (
-        F.when(digits.rlike(_DECIMAL), digits.try_cast("double"))
+        F.when(text.rlike(_DECIMAL), F.translate(text, "_", "").try_cast("double"))
         .when(word.isin("inf", "+inf", "infinity", "+infinity"), F.lit(float("inf")))
         .when(word.isin("-inf", "-infinity"), F.lit(float("-inf")))
         .when(word.isin("nan", "+nan", "-nan"), F.lit(float("nan")))
@@ -58,7 +54,7 @@ def to_number(c: Column, dtype: DataType, strip_commas: bool = True) -> Column:
     if isinstance(dtype, NumericType):
         return c.cast("double")
     if isinstance(dtype, StringType):
-        return double_of_text(_without_commas(strip(c), strip_commas))
+        return double_of_text(strip(_without_commas(c, strip_commas)))
     return F.lit(None).cast("double")
 
 
