@@ -54,28 +54,35 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, on).drop(*[f"r_{k}" for k in keys])
 
 
-def with_file_position(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """Number the rows of a file source in file order, from 0. ``df`` must be a plain scan.
-
-    Within one split, rows are read in order, so the id given while reading is increasing and has
-    no gaps; the rows before a split are a sum over one count per split (a split is about 128 MB,
-    so there are few). The rows themselves are not sorted or shuffled when that table is small.
-    """
-    scan = df.select(
+def read_order(scan: DataFrame) -> DataFrame:
+    """Add the file, the split and the place in it to a plain file scan."""
+    return scan.select(
         "*",
         F.col("_metadata.file_path").alias("in_file"),
         F.col("_metadata.file_block_start").alias("in_block"),
         F.monotonically_increasing_id().alias("in_split"),
     )
-    splits = scan.groupBy("in_file", "in_block").agg(
+
+
+def number_rows(ordered: DataFrame, name: str = "row_idx", start: Column | None = None) -> DataFrame:
+    """Turn the columns of ``read_order`` into one dense position, in file order.
+
+    Within one split, rows are read in order, so the id given while reading is increasing and has
+    no gaps; the rows before a split are a sum over one count per split (a split is about 128 MB,
+    so there are few). The rows themselves are not sorted, nor shuffled while that table is small.
+    """
+    splits = ordered.groupBy("in_file", "in_block").agg(
         F.count(F.lit(1)).alias("n"), F.min("in_split").alias("first")
     )
     order = Window.orderBy("in_file", "in_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.select(
-        "in_file",
-        "in_block",
-        (F.coalesce(F.sum("n").over(order), F.lit(0)) - F.col("first")).alias("shift"),
-    )
-    return scan.join(splits, ["in_file", "in_block"]).select(
-        (F.col("in_split") + F.col("shift")).alias(name), *df.columns
+    before = F.coalesce(F.sum("n").over(order), F.lit(0)) + (F.lit(0) if start is None else start)
+    splits = splits.select("in_file", "in_block", (before - F.col("first")).alias("shift"))
+    kept = [c for c in ordered.columns if c not in ("in_file", "in_block", "in_split")]
+    return ordered.join(splits, ["in_file", "in_block"]).select(
+        (F.col("in_split") + F.col("shift")).alias(name), *kept
     )
+
+
+def with_file_position(scan: DataFrame, name: str = "row_idx") -> DataFrame:
+    """Number the rows of a file source from 0, in file order. ``scan`` must be a plain scan."""
+    return number_rows(read_order(scan), name)
