@@ -80,7 +80,7 @@ MAIL = {
     "date": f"concat_ws('-', {_Y}, {_M}, {_D})",
     "body": "concat_ws(chr(10), 'Hello team,', "
     + ", ".join(MAIL_LINES.values())
-    + ", 'Thanks', 'Caf', 'The desk')",
+    + ", 'Thanks', concat('Caf', chr(233)), 'The desk')",
 }
 
 
@@ -97,14 +97,20 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of few splits. A large input has enough and is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def messy_sheet(spark: SparkSession, folder: str) -> DataFrame:
-    orders = read(spark, folder, "orders")
+    orders = spread(read(spark, folder, "orders"))
     return orders.select(*[F.expr(e).alias(n) for n, e in MESSY_SHEET.items()])
 
 
 def mail(spark: SparkSession, folder: str) -> DataFrame:
     orders, customer = read(spark, folder, "orders"), read(spark, folder, "customer")
-    both = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
+    both = spread(orders.join(customer, orders["o_custkey"] == customer["c_custkey"]))
     return both.select(*[F.expr(e).alias(n) for n, e in MAIL.items()])
 
 

@@ -40,9 +40,19 @@ def blank_to_null(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    """Upper-case the first letter after every non-letter, lower-case the other letters."""
-    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    return F.array_join(F.transform(runs, F.initcap), "")
+    """Upper-case the first letter after every non-letter, lower-case the other letters.
+
+    ``initcap`` starts words after spaces only, so other non-letters get a marked space for it.
+    """
+    mark = "\ue000 "
+    marked = F.regexp_replace(c, r"([^\p{L} ])(?=\p{L})", f"$1{mark}")
+    return F.replace(F.initcap(marked), F.lit(mark), F.lit(""))
+
+
+def single_spaces(c: Column) -> Column:
+    """Every run of white space as one space."""
+    other = WHITESPACE.replace(" ", "")
+    return F.regexp_replace(F.translate(c, other, " " * len(other)), " {2,}", " ")
 
 
 def normalize_string(
@@ -53,7 +63,7 @@ def normalize_string(
     if trim or collapse_spaces:
         out = strip(out)
     if collapse_spaces:
-        out = F.regexp_replace(out, f"{WS}+", " ")
+        out = single_spaces(out)
     change = {"lower": F.lower, "upper": F.upper, "title": title_case}.get(case)
     return change(out) if change else out
 

@@ -7,16 +7,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.mime import base64url_bytes
 from ledgerline.functions.text import file_extension, file_stem, safe_file_name, strip
+from ledgerline.operators.settle import settle
 from ledgerline.rules import AttachmentPolicy
 
 # A name is tried as it is, then with -1 up to -999.
 LAST_SUFFIX = 999
+NAME_SALTS = 1024
 
 MANIFEST_COLUMNS = (
     "filename", "mime", "size", "sha256", "status", "reason", "saved_path", "drive_file_id",
@@ -66,75 +69,68 @@ def with_safe_names(df: DataFrame) -> DataFrame:
     return df.withColumn("safe_name", safe_file_name(F.coalesce("filename", F.lit("")), fallback))
 
 
-def _numbered(name: Column, n: Column) -> Column:
-    stem = file_stem(name)
-    suffix = F.substring(name, F.length(stem) + 1, F.length(name))
-    return F.concat(stem, F.lit("-"), n.cast("string"), suffix)
-
-
-def _take_in_turn(group: pd.DataFrame) -> pd.DataFrame:
+def _take_in_turn(group: pa.Table) -> pa.Table:
     """Give out names one after the other, where one name's copies may meet another name."""
     taken: set[str] = set()
-    stored = []
-    for row in group.sort_values("position").itertuples():
-        free = (c for c in [row.safe_name, *row.others] if c not in taken)
-        name = next(free, None)
-        stored.append((row.position, name))
+    tried: dict[str, int] = {}
+    stored: list[str | None] = [None] * group.num_rows
+    columns = [group[c].to_pylist() for c in ("position", "safe_name", "stem", "suffix")]
+    for at in np.argsort(columns[0]):
+        wanted, stem, suffix = (c[at] for c in columns[1:])
+        name, n = wanted, tried.get(wanted, 0)
+        while name in taken and n < LAST_SUFFIX:
+            n += 1
+            name = f"{stem}-{n}{suffix}"
+        tried[wanted] = n  # a name is never given back, so the search goes on from here
+        stored[at] = None if name in taken else name
         taken.add(name)
-    return pd.DataFrame(stored, columns=["position", "stored_name"])
+    return group.append_column("stored_name", pa.array(stored, pa.string()))
 
 
-def allocate_names(
-    df: DataFrame, folder: str = "folder", name: str = "safe_name", position: str = "position"
-) -> DataFrame:
-    """Add ``stored_name``: the name itself, or ``stem-n.ext`` with the first free n up to 999, in
-    order of arrival within a folder. NULL if no name is left.
+def allocate_names(df: DataFrame) -> DataFrame:
+    """Add ``stored_name`` to rows with ``position``, ``folder`` and ``safe_name``: the name itself,
+    or ``stem-n.ext`` with the first free n up to 999, in order of arrival within a folder. It is
+    NULL if no name is left, or if there is no folder.
 
-    No name can be given out more than 1000 times, so only the first 1000 arrivals of a name are
-    ranked. Spark applies that limit before the shuffle, so a very common name stays small.
-    """
-    arrivals = df.select(
-        F.col(position).alias("position"), F.col(folder).alias("folder"),
-        F.col(name).alias("safe_name"),
-    )
-    turn = F.row_number().over(Window.partitionBy("folder", "safe_name").orderBy("position"))
-    first = arrivals.withColumn("turn", turn).where(F.col("turn") <= LAST_SUFFIX + 1)
+    A name can be given out 1000 times, so only its first 1000 arrivals need to be told apart. A
+    very common name is therefore ranked in 1024 salted parts first. What is beyond 1000 in its
+    part is out, and gets its own position as an extra key, which spreads it over the later tasks.
 
-    # Copies of a.pdf become a-1.pdf and so on, which may also be names of their own. Such names
-    # form a family; it is contested if one of them has copies. A family has at most 999 names per
-    # level of numbering, and 1000 arrivals of each, whatever the size of the table.
+    Copies of a.pdf become a-1.pdf and so on, which may also be names of their own. Such names form
+    a family; it is contested if one of them has copies. A family has at most 999 names per level of
+    numbering, whatever the size of the table. All steps pass the rows on: nothing is joined back.
+    """
     stem = file_stem(F.col("safe_name"))
-    root = F.concat(
-        F.regexp_replace(stem, r"(?:-[1-9][0-9]{0,2})+$", ""), F.lit("/"),
-        F.substring("safe_name", F.length(stem) + 1, F.length("safe_name")),
-    )
-    contested = (
-        first.groupBy("folder", "safe_name")
-        .agg(F.max("turn").alias("copies"))
-        .groupBy("folder", root.alias("root"))
-        .agg(F.count(F.lit(1)).alias("names"), F.max("copies").alias("copies"))
-        .where((F.col("names") > 1) & (F.col("copies") > 1))
-        .select("folder", "root", F.lit(True).alias("contested"))
-    )
-    placed = first.withColumn("root", root).join(contested, ["folder", "root"], "left")
-    alone = placed.where(F.col("contested").isNull()).select(
-        "position",
-        F.when(F.col("turn") == 1, F.col("safe_name"))
-        .otherwise(_numbered(F.col("safe_name"), F.col("turn") - 1))
-        .alias("stored_name"),
-    )
-    numbers = F.sequence(F.lit(1), F.lit(LAST_SUFFIX))
-    together = (
-        placed.where(F.col("contested"))
-        .select(
-            "folder", "root", "position", "safe_name",
-            F.transform(numbers, lambda n: _numbered(F.col("safe_name"), n)).alias("others"),
-        )
-        .groupBy("folder", "root")
-        .applyInPandas(_take_in_turn, "position long, stored_name string")
-    )
-    names = alone.unionByName(together).withColumnRenamed("position", "at")
-    return df.join(names, df[position] == names["at"], "left").drop("at")
+    suffix = F.substring("safe_name", F.length(stem) + 1, F.length("safe_name"))
+    rows = settle(df.select("*", stem.alias("stem"), suffix.alias("suffix")), "names")
+
+    salt = F.pmod(F.xxhash64("position"), F.lit(NAME_SALTS))
+    part = Window.partitionBy("folder", "safe_name", "salt").orderBy("position")
+    rows = rows.select("*", salt.alias("salt")).withColumn("turn", F.row_number().over(part))
+    out = F.col("folder").isNull() | (F.col("turn") > LAST_SUFFIX + 1)
+    root = F.concat(F.regexp_replace("stem", r"(?:-[1-9][0-9]{0,2})+$", ""), F.lit("/"), "suffix")
+    rows = rows.select(
+        *df.columns, "stem", "suffix", root.alias("root"), F.when(out, F.col("position")).alias("out")
+    )
+
+    # One shuffle by family serves both windows.
+    family = ["folder", "root", "out"]
+    rows = rows.repartition(*family)
+    by_name = Window.partitionBy(*family, "safe_name").orderBy("position")
+    rows = rows.withColumn("turn", F.row_number().over(by_name))
+    among = Window.partitionBy(*family)
+    contested = (F.max("turn").over(among) > 1) & (
+        F.min("safe_name").over(among) != F.max("safe_name").over(among)
+    )
+    rows = rows.withColumn("contested", contested)
+
+    is_out = F.col("out").isNotNull() | (F.col("turn") > LAST_SUFFIX + 1)
+    numbered = F.concat("stem", F.lit("-"), (F.col("turn") - 1).cast("string"), "suffix")
+    name = F.when(~is_out, F.when(F.col("turn") == 1, F.col("safe_name")).otherwise(numbered))
+    alone = rows.where(~F.col("contested")).withColumn("stored_name", name)
+    claimed = rows.where(F.col("contested"))
+    together = claimed.groupBy("folder", "root").applyInArrow(_take_in_turn, alone.schema)
+    return alone.unionByName(together).select(*df.columns, "stored_name")
 
 
 def route(attachments: DataFrame, policy: AttachmentPolicy) -> DataFrame:
@@ -160,7 +156,7 @@ def route(attachments: DataFrame, policy: AttachmentPolicy) -> DataFrame:
             F.sha2("content", 256).alias("sha256"),
         )
     )
-    facts = facts.select(
+    facts = settle(facts, "attachments").select(
         "*",
         F.when(F.col("size").isNull(), "download_failed")
         .otherwise(policy_reason(policy, F.col("filename"), F.col("mime_type"), F.col("size")))
@@ -170,11 +166,7 @@ def route(attachments: DataFrame, policy: AttachmentPolicy) -> DataFrame:
     to_store = F.when(F.col("size").isNotNull() & ~passed, "quarantine")
     if policy.route_mode == "artifacts":
         to_store = to_store.when(passed, "routed")
-    facts = facts.withColumn("folder", to_store)
-
-    named = allocate_names(facts.where(F.col("folder").isNotNull()).select("position", "folder", "safe_name"))
-    named = named.select("position", "stored_name")
-    out = facts.join(named, "position", "left")
+    out = allocate_names(facts.withColumn("folder", to_store))
 
     no_name = F.concat(F.lit("Unable to allocate unique filename for "), F.col("safe_name"))
     stored = F.col("stored_name").isNotNull()

@@ -17,6 +17,7 @@ from ledgerline.functions.mime import (
     utf8_text,
 )
 from ledgerline.functions.text import is_blank, strip
+from ledgerline.operators.settle import settle
 
 
 def _text_at(v: Column, path: str) -> Column:
@@ -135,7 +136,7 @@ def with_parts(messages: DataFrame, json: str = "json") -> DataFrame:
     no_tree = F.array().cast("array<struct<path:array<int>,part:variant>>")
     tree = F.when(F.col("payload").isNull(), no_tree).otherwise(_tree(F.col("payload"), F.col(json)))
     doc = doc.select("*", F.transform(tree, _part_fields).alias("tree"))
-    return doc.select(
+    out = doc.select(
         *[c for c in messages.columns if c != json],
         F.coalesce(_text_at(F.col("doc"), "$.id"), F.lit("")).alias("message_id"),
         F.coalesce(_text_at(F.col("doc"), "$.threadId"), F.lit("")).alias("thread_id"),
@@ -151,6 +152,7 @@ def with_parts(messages: DataFrame, json: str = "json") -> DataFrame:
             )
         ).alias("message_problems"),
     )
+    return settle(out, "messages")
 
 
 def extract_parts(with_parts_df: DataFrame, keep: tuple[str, ...] = ("message_id",)) -> DataFrame:

@@ -15,6 +15,7 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("ledgerline")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

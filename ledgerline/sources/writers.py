@@ -15,8 +15,10 @@ def write_table(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').option(
-        "emptyValue", ""
+    """Replace a set of CSV files with a header each; cells are written as they are."""
+    df.write.mode("overwrite").options(
+        header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
     ).csv(path)
 
 
