@@ -5,28 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerline.functions.text import blank_to_null, strip
+from ledgerline.functions.text import blank_to_null, let, strip
 
 
 def base64url_bytes(data: Column) -> Column:
-    """The bytes of base64 or base64url text, padded or not; NULL if it cannot be decoded.
-
-    Characters that are not base64 are passed over, but count for the padding.
-    """
-    text = strip(data)
-    missing = F.pmod(-F.length(text), F.lit(4))
-    padded = F.rpad(F.translate(text, "-_", "+/"), F.length(text) + missing, "=")
-    padded = F.regexp_replace(padded, "[^A-Za-z0-9+/=]", "")
-    head = F.substring_index(padded, "=", 1)
-    loose = F.pmod(F.length(head), F.lit(4))
-    closed = (
-        F.when(loose == 0, True)
-        .when(loose == 1, False)
-        .when(loose == 2, F.startswith(F.substring(padded, F.length(head) + 1, F.lit(2)), F.lit("==")))
-        .otherwise(F.length(padded) > F.length(head))
+    """The bytes of base64 or base64url text, padded or not; NULL if it cannot be decoded."""
+    plain = F.translate(strip(data), "-_", "+/")
+    return F.coalesce(F.try_to_binary(plain, F.lit("base64")), _loose_base64(plain))
+
+
+def _loose_base64(text: Column) -> Column:
+    """As above, but characters that are not base64 are passed over (they count for the padding),
+    and so is what follows the end mark."""
+
+    def padded_text(text: Column) -> Column:
+        missing = F.pmod(-F.length(text), F.lit(4))
+        padded = F.rpad(text, F.length(text) + missing, "=")
+        return F.regexp_replace(padded, "[^A-Za-z0-9+/=]", "")
+
+    def decoded(padded: Column, head: Column) -> Column:
+        loose = F.pmod(F.length(head), F.lit(4))
+        ends = F.length(padded) - F.length(head)
+        closed = (
+            F.when(loose == 0, True)
+            .when(loose == 1, False)
+            .when(loose == 2, F.substring(padded, F.length(head) + 1, F.lit(2)) == "==")
+            .otherwise(ends > 0)
+        )
+        whole = F.rpad(head, F.length(head) + F.pmod(-F.length(head), F.lit(4)), "=")
+        return F.when(closed, F.try_to_binary(whole, F.lit("base64")))
+
+    return let(
+        padded_text(text),
+        lambda padded: let(
+            F.substring_index(padded, "=", 1), lambda head: decoded(padded, head)
+        ),
     )
-    whole = F.rpad(head, F.length(head) + F.pmod(-F.length(head), F.lit(4)), "=")
-    return F.when(closed, F.try_to_binary(whole, F.lit("base64")))
 
 
 def utf8_text(content: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,14 +18,22 @@ WHITESPACE = (
 WS_SET = r"\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{WS_SET}]"
 
-# Characters that compatibility normalisation leaves alone in any company: ASCII, the plain
-# Latin-1 letters and signs, and common typographic marks. Texts made of these skip Python.
+# Characters above ASCII that compatibility normalisation leaves alone in any company: the plain
+# Latin-1 letters and signs, and common typographic marks. Texts without others skip Python.
 NFKC_STABLE = (
-    r"\x00-\x9F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\xFF"
-    r"\u2013\u2014\u2018\u2019\u201c\u201d\u20ac"
+    "".join(
+        chr(n) for n in range(0x80, 0x100)
+        if n not in (0xA0, 0xA8, 0xAA, 0xAF, 0xB2, 0xB3, 0xB4, 0xB5, 0xB8, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE)
+    )
+    + "\u2013\u2014\u2018\u2019\u201c\u201d\u20ac"
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
@@ -129,18 +137,25 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 def nfkc(c: Column) -> Column:
     """Compatibility normalisation. The JVM has no such function for columns, so texts with
     characters that may change go to Python in Arrow batches; all others are sent as NULL."""
-    may_change = c.rlike(f"[^{NFKC_STABLE}]")
+    is_ascii = F.octet_length(c) == F.length(c)
+    may_change = ~is_ascii & F.translate(c, NFKC_STABLE, "").rlike(r"[^\x00-\x7F]")
     return F.coalesce(_nfkc(F.when(may_change, c)), c)
 
 
+# White space other than the space, tab and line ends, which a line may also begin or end with.
+RARE_SPACES = r"[\x0B\f\x1C\x1D\x1E\x1F\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def tidy_lines(c: Column) -> Column:
     """One kind of line end, no zero-width characters, single spaces, trimmed lines, and at most
     one blank line in a row. Expects normalised text (see ``nfkc``)."""
+    text = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    text = F.regexp_replace(F.translate(text, "\t\u200b\ufeff", " "), " {2,}", " ")
+    # A line has at most one space at its ends now, unless it also has rarer white space there.
     edge = rf"[{WS_SET}&&[^\n]]"
-    text = F.regexp_replace(c, r"\r\n?", "\n")
-    text = F.translate(text, "\u200b\ufeff", "")
-    text = F.regexp_replace(text, "[ \t]+", " ")
-    text = F.regexp_replace(text, rf"(?md)^{edge}++|(?<!{edge}){edge}++$", "")
+    trimmed = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    rare = F.regexp_replace(text, rf"(?md)^{edge}++|(?<!{edge}){edge}++$", "")
+    text = F.when(c.rlike(RARE_SPACES), rare).otherwise(trimmed)
     return strip(F.regexp_replace(text, "\n{3,}", "\n\n"))
 
 

@@ -1,7 +1,8 @@
 """Decoding of mail messages given as JSON texts.
 
-A message is a tree of parts of any depth. It is walked inside its own row by a fold over arrays,
-so decoding needs no shuffle: no exploding, and no grouping by message afterwards.
+A message is a tree of parts of any depth. It is flattened inside its own row, so decoding needs no
+shuffle: no exploding, and no grouping by message afterwards. Trees of usual depth are read with a
+fixed schema; deeper or malformed ones are walked level by level, to any depth.
 """
 
 from __future__ import annotations
@@ -121,27 +122,120 @@ def _part_fields(node: Column) -> Column:
     )
 
 
+_NODE = (
+    "struct<path:array<int>,part_id:string,mime_type:string,filename:string,"
+    "headers:array<struct<name:string,value:string>>,data:string,attachment_id:string,size:bigint,"
+    "problems:array<string>>"
+)
+USUAL_DEPTH = 4
+
+
+def _usual_schema() -> str:
+    part = (
+        "struct<partId:string,mimeType:string,filename:string,"
+        "headers:array<struct<name:string,value:string>>,"
+        "body:struct<data:variant,attachmentId:variant,size:string>,parts:{}>"
+    )
+    below = "string"  # what lies deeper stays text, and its presence is all that matters
+    for _ in range(USUAL_DEPTH):
+        below = f"array<{part.format(below)}>"
+    return (
+        "id string, threadId string, internalDate string, "
+        f"payload {part.format(below)}, broken string"
+    )
+
+
+def _string_of(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _usual_part(part: Column, path: Column) -> Column:
+    size = strip(part["body"]["size"])
+    headers = F.transform(
+        part["headers"],
+        lambda h: F.struct(
+            F.coalesce(h["name"], F.lit("")).alias("name"), h["value"].alias("value")
+        ),
+    )
+    return F.struct(
+        path.alias("path"),
+        part["partId"].alias("part_id"),
+        part["mimeType"].alias("mime_type"),
+        part["filename"].alias("filename"),
+        headers.alias("headers"),
+        _string_of(part["body"]["data"]).alias("data"),
+        _string_of(part["body"]["attachmentId"]).alias("attachment_id"),
+        F.when(size.rlike(r"^[+-]?\d+$"), size.try_cast("long")).alias("size"),
+        F.array().cast("array<string>").alias("problems"),
+    )
+
+
+def _usual_parts(part: Column, path: Column, levels: int = USUAL_DEPTH) -> Column:
+    """A part and all below it, in reading order."""
+    own = F.array(_usual_part(part, path))
+    if levels == 0:
+        return own
+    below = F.transform(
+        part["parts"],
+        lambda child, i: _usual_parts(child, F.concat(path, F.array(i)), levels - 1),
+    )
+    return F.concat(own, F.coalesce(F.flatten(below), F.array().cast(f"array<{_NODE}>")))
+
+
+def _is_unusual(part: Column, levels: int = USUAL_DEPTH) -> Column:
+    """Whether a tree is deeper than the schema, or has an entry that is no part, or data that is
+    no text."""
+    data = part["body"]["data"]
+    here = part.isNull() | (_is_set(data) & (F.schema_of_variant(data) != "STRING"))
+    if levels == 0:
+        return here | part["parts"].isNotNull()
+    below = F.exists(part["parts"], lambda child: _is_unusual(child, levels - 1))
+    return here | F.coalesce(below, F.lit(False))
+
+
 def with_parts(messages: DataFrame, json: str = "json") -> DataFrame:
     """Add the message fields and ``parts``, its flat list of parts in reading order.
 
     Text that is not JSON, or a message without a payload, has no parts.
     """
-    doc = messages.select("*", F.try_parse_json(json).alias("doc"))
-    payload = F.try_variant_get("doc", "$.payload", "variant")
-    doc = doc.select(
+    read = messages.select(
         "*",
-        F.when(_is_set(payload) & _is_object(payload), payload).alias("payload"),
-        _is_set(payload).alias("has_payload"),
+        F.from_json(json, _usual_schema(), {"columnNameOfCorruptRecord": "broken"}).alias("usual"),
     )
-    no_tree = F.array().cast("array<struct<path:array<int>,part:variant>>")
-    tree = F.when(F.col("payload").isNull(), no_tree).otherwise(_tree(F.col("payload"), F.col(json)))
-    doc = doc.select("*", F.transform(tree, _part_fields).alias("tree"))
-    out = doc.select(
-        *[c for c in messages.columns if c != json],
-        F.coalesce(_text_at(F.col("doc"), "$.id"), F.lit("")).alias("message_id"),
-        F.coalesce(_text_at(F.col("doc"), "$.threadId"), F.lit("")).alias("thread_id"),
-        F.coalesce(_text_at(F.col("doc"), "$.internalDate"), F.lit("")).alias("internal_date"),
-        F.array_sort("tree").alias("parts"),
+    payload = F.col("usual")["payload"]
+    unusual = F.col("usual")["broken"].isNotNull() | (payload.isNotNull() & _is_unusual(payload))
+    read = read.select("*", F.coalesce(unusual, F.lit(True)).alias("is_unusual"))
+
+    doc = F.when(F.col("is_unusual"), F.try_parse_json(json))
+    read = read.select("*", doc.alias("doc"))
+    found = F.try_variant_get("doc", "$.payload", "variant")
+    read = read.select(
+        "*",
+        F.when(_is_set(found) & _is_object(found), found).alias("payload"),
+        F.coalesce(_is_set(found), F.lit(False)).alias("has_payload"),
+    )
+    walked = F.array_sort(
+        F.transform(_tree(F.col("payload"), F.col(json)), _part_fields)
+    )
+    nothing = F.array().cast(f"array<{_NODE}>")
+    parts = (
+        F.when(
+            ~F.col("is_unusual"),
+            F.when(payload.isNull(), nothing).otherwise(
+                _usual_parts(payload, F.array().cast("array<int>"))
+            ),
+        )
+        .when(F.col("payload").isNull(), nothing)
+        .otherwise(walked)
+    )
+
+    def field(name: str) -> Column:
+        walked_to = _text_at(F.col("doc"), f"$.{name}")
+        text = F.when(F.col("is_unusual"), walked_to).otherwise(F.col("usual")[name])
+        return F.coalesce(text, F.lit(""))
+
+    problems = F.when(
+        F.col("is_unusual"),
         F.array_compact(
             F.array(
                 F.when(F.col("doc").isNull(), "malformed message: expected dict"),
@@ -150,7 +244,15 @@ def with_parts(messages: DataFrame, json: str = "json") -> DataFrame:
                     "malformed message payload: expected dict",
                 ),
             )
-        ).alias("message_problems"),
+        ),
+    ).otherwise(F.array().cast("array<string>"))
+    out = read.select(
+        *[c for c in messages.columns if c != json],
+        field("id").alias("message_id"),
+        field("threadId").alias("thread_id"),
+        field("internalDate").alias("internal_date"),
+        parts.alias("parts"),
+        problems.alias("message_problems"),
     )
     return settle(out, "messages")
 
@@ -171,19 +273,18 @@ def decode_bodies(with_parts_df: DataFrame) -> DataFrame:
         text = F.when(strip(part["data"]) == "", "").otherwise(
             utf8_text(base64url_bytes(part["data"]))
         )
-        near = F.translate(F.left(part["data"], F.lit(24)), "\n\r", "  ")
         return F.struct(
-            F.coalesce(part["mime_type"], F.lit("")).alias("mime"),
-            text.alias("text"),
-            F.concat(
-                part["problems"],
-                F.when(
-                    part["data"].isNotNull() & text.isNull(),
-                    F.array(F.concat(F.lit("invalid base64url data near '"), near, F.lit("'"))),
-                ).otherwise(F.array().cast("array<string>")),
-            ).alias("warnings"),
+            F.coalesce(part["mime_type"], F.lit("")).alias("mime"), text.alias("text"),
+            part["data"].alias("data"), part["problems"].alias("problems"),
         )
 
+    def warnings_of(body: Column) -> Column:
+        near = F.translate(F.left(body["data"], F.lit(24)), "\n\r", "  ")
+        bad = F.concat(F.lit("invalid base64url data near '"), near, F.lit("'"))
+        return F.when(
+            body["data"].isNotNull() & body["text"].isNull(), F.concat(body["problems"], F.array(bad))
+        ).otherwise(body["problems"])
+
     df = with_parts_df.select("*", F.transform("parts", decoded).alias("bodies"))
 
     def joined(*mimes: str) -> Column:
@@ -208,7 +309,7 @@ def decode_bodies(with_parts_df: DataFrame) -> DataFrame:
         .otherwise("")
     )
     warnings = F.concat(
-        "message_problems", F.flatten(F.transform("bodies", lambda b: b["warnings"]))
+        "message_problems", F.flatten(F.transform("bodies", warnings_of))
     )
     return df.select("*", text.alias("text"), warnings.alias("warnings")).drop(
         "bodies", "message_problems"
