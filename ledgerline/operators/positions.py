@@ -55,12 +55,11 @@ def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def read_order(scan: DataFrame) -> DataFrame:
-    """Add the file, the split and the place in it to a plain file scan."""
+    """Add the file and the split of each row to a plain file scan."""
     return scan.select(
         "*",
         F.col("_metadata.file_path").alias("in_file"),
         F.col("_metadata.file_block_start").alias("in_block"),
-        F.monotonically_increasing_id().alias("in_split"),
     )
 
 
@@ -71,6 +70,7 @@ def number_rows(ordered: DataFrame, name: str = "row_idx", start: Column | None
     no gaps; the rows before a split are a sum over one count per split (a split is about 128 MB,
     so there are few). The rows themselves are not sorted, nor shuffled while that table is small.
     """
+    ordered = ordered.withColumn("in_split", F.monotonically_increasing_id())
     splits = ordered.groupBy("in_file", "in_block").agg(
         F.count(F.lit(1)).alias("n"), F.min("in_split").alias("first")
     )

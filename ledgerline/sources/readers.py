@@ -35,10 +35,11 @@ def rectangular(df: DataFrame, cells: str = "cells", width: int | None = None) -
     """Ragged rows given as arrays: all as wide as the widest, NULL as empty text."""
     widest = F.lit(width) if width is not None else df.agg(F.max(F.size(cells))).scalar()
     padded = F.transform(
-        F.sequence(F.lit(0), widest - 1),
+        F.sequence(F.lit(0), F.col("widest") - 1),
         lambda i: F.coalesce(F.get(F.col(cells), i).cast("string"), F.lit("")),
     )
-    return df.withColumn(cells, F.when(widest > 0, padded).otherwise(F.col(cells)))
+    filled = F.when(F.col("widest") > 0, padded).otherwise(F.col(cells))
+    return df.withColumn("widest", widest).withColumn(cells, filled).drop("widest")
 
 
 def read_messages(spark: SparkSession, path: str | list[str], one_per_file: bool = False) -> DataFrame:
