@@ -381,6 +381,9 @@ ORACLES = {
         SELECT doc_id, {amount_sql('m')} AS amount, {currency_sql('m')} AS currency,
                {reference_sql('text')} AS reference FROM found""",
     "mask_document_emails": f"SELECT doc_id, {_MASK.format('text')} AS masked FROM documents",
+    # The documents have no character that compatibility normalisation and the canonical one treat
+    # differently.
+    "normalize_documents": f"SELECT doc_id, {tidy_sql('nfc_normalize(text)')} AS normalized FROM documents",
     "mask_page_emails": f"SELECT page_id, {_MASK.format('html')} AS masked FROM pages",
     "decode_messages": f"""WITH {DECODED_SQL}
         SELECT row_idx, message_id, thread_id, chosen, text, text_plain, text_html, warnings FROM decoded""",

@@ -212,7 +212,7 @@ def raw_paths(attachments: DataFrame) -> DataFrame:
     )
     return named.select(
         "position", "message_id", "attachment_id",
-        F.concat_ws("/", F.lit("attachments"), "folder", "stored_name").alias("raw_path"),
+        F.concat(F.lit("attachments/"), "folder", F.lit("/"), "stored_name").alias("raw_path"),
     )
 
 
