@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators.settle import settle
+
 _CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 _WHOLE = f"CAST(floor({_CENTS} / 100) AS BIGINT)"
 _FRACTION = f"lpad(CAST({_CENTS} % 100 AS STRING), 2, '0')"
@@ -105,13 +107,15 @@ def spread(df: DataFrame) -> DataFrame:
 
 def messy_sheet(spark: SparkSession, folder: str) -> DataFrame:
     orders = spread(read(spark, folder, "orders"))
-    return orders.select(*[F.expr(e).alias(n) for n, e in MESSY_SHEET.items()])
+    rows = orders.select(*[F.expr(e).alias(n) for n, e in MESSY_SHEET.items()])
+    return settle(rows, "derived-sheet")
 
 
 def mail(spark: SparkSession, folder: str) -> DataFrame:
     orders, customer = read(spark, folder, "orders"), read(spark, folder, "customer")
     both = spread(orders.join(customer, orders["o_custkey"] == customer["c_custkey"]))
-    return both.select(*[F.expr(e).alias(n) for n, e in MAIL.items()])
+    # A stage of its own keeps the generated code of these long expressions out of the operators.
+    return settle(both.select(*[F.expr(e).alias(n) for n, e in MAIL.items()]), "derived-mail")
 
 
 def _base64url(c: Column) -> Column:
@@ -216,7 +220,7 @@ def messages(mail_rows: DataFrame) -> DataFrame:
         F.lit('","internalDate":"'), F.col("internal_date"), F.lit('"'),
         F.coalesce(payload, F.lit("")), F.lit("}"),
     )
-    return mail_rows.select("row_idx", json.alias("json"))
+    return settle(mail_rows.select("row_idx", json.alias("json")), "derived-messages")
 
 
 def blobs(mail_rows: DataFrame) -> DataFrame:

@@ -18,8 +18,9 @@ STEP_COLUMNS = (
 def sorted_json(text: Column) -> Column:
     """JSON with sorted keys and a space after each comma and colon. Empty for NULL."""
     compact = F.to_json(F.try_parse_json(text))
-    # A separator, after anything that is not one; quoted texts are passed over as a whole.
-    unit = r'((?:[^",:]++|"(?:[^"\\]++|\\.)*+")*+)([,:])'
+    # A separator, after anything that is not one; quoted texts are passed over as a whole. Each match
+    # starts where the last one ended, and so never inside a quoted text.
+    unit = r'\G((?:[^",:]++|"(?:[^"\\]++|\\.)*+")*+)([,:])'
     return F.coalesce(F.regexp_replace(compact, unit, "$1$2 "), F.lit(""))
 
 
