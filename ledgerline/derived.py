@@ -100,7 +100,8 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input of few splits. A large input has enough and is not shuffled."""
+    """Use all cores on a scan of few splits. A large input has enough and is not shuffled. Only for
+    plain scans: to count the partitions of a join, Spark would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -112,8 +113,8 @@ def messy_sheet(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mail(spark: SparkSession, folder: str) -> DataFrame:
-    orders, customer = read(spark, folder, "orders"), read(spark, folder, "customer")
-    both = spread(orders.join(customer, orders["o_custkey"] == customer["c_custkey"]))
+    orders, customer = spread(read(spark, folder, "orders")), read(spark, folder, "customer")
+    both = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
     # A stage of its own keeps the generated code of these long expressions out of the operators.
     return settle(both.select(*[F.expr(e).alias(n) for n, e in MAIL.items()]), "derived-mail")
 

@@ -362,5 +362,5 @@ def decode_counts(decoded: DataFrame, found: DataFrame | None = None) -> DataFra
     )
     if found is None:
         return counts.select(F.col("fetched_count").alias("ids_found"), "*")
-    ids = found.agg(F.count(F.lit(1)).alias("ids_found"))
-    return ids.join(F.broadcast(counts), F.lit(True))
+    ids = found.agg(F.count(F.lit(1))).scalar()
+    return counts.select(ids.alias("ids_found"), "*")

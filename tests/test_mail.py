@@ -2,7 +2,6 @@ import base64
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerline import AttachmentPolicy, Labels
 from ledgerline.operators import decode, extract
