@@ -127,7 +127,7 @@ _NODE = (
     "headers:array<struct<name:string,value:string>>,data:string,attachment_id:string,size:bigint,"
     "problems:array<string>>"
 )
-USUAL_DEPTH = 4
+USUAL_DEPTH = 3
 
 
 def _usual_schema() -> str:

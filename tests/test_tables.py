@@ -203,3 +203,18 @@ def test_one_run_is_replaced(spark, tmp_path):
         writers.write_run_partition(spark.range(n), path, run_id)
     rows = spark.read.parquet(path).groupBy("run_id").count().collect()
     assert {r["run_id"]: r["count"] for r in rows} == {"a": 1, "b": 2}
+
+
+def test_the_shared_folder_is_the_one_the_session_names(spark, monkeypatch):
+    from ledgerline import session
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert session.shared_folder(spark) == (named.rstrip("/") if named else session._own_folder())
+
+    class Unset:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    assert session.shared_folder(Unset) == session.shared_folder(Unset)
