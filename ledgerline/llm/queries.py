@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, secrets, token_counts, warc
+from ledgerline.llm import bpe, decontamination, line_dedup, secrets, token_counts, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -33,7 +33,17 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
-QUERIES = {query.__name__: query for query in (op1_secret_scans, op2_warc, op5_bpe_round_trip, op6_token_counts)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.clean(_table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontamination.mark_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "leak_item", "leak_score", "leaked")
+
+
+QUERIES = {query.__name__: query for query in (op1_secret_scans, op2_warc, op5_bpe_round_trip, op6_token_counts, op9_line_dedup, op10_decontamination)}
 
 # 160 bits of the digest in 32 letters of five bits each: letter i begins in the hex digit i * 5 / 4.
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
@@ -47,4 +57,15 @@ ORACLES = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS verified
         FROM f""",
+    "op9_line_dedup": f"""
+        WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+                   FROM documents),
+             k AS (SELECT *, lower(trim(regexp_replace(line, '[ \\t\\r\\f\\v]+', ' ', 'g'))) AS key FROM l),
+             b AS (SELECT key, min({{'doc_id': doc_id, 'pos': pos}}) AS first FROM k WHERE key <> ''
+                   GROUP BY key HAVING count(DISTINCT source) >= {line_dedup.LEAST_SITES}),
+             m AS (SELECT k.*, b.key IS NOT NULL AND (b.first.doc_id <> k.doc_id OR b.first.pos <> k.pos) AS goes
+                   FROM k LEFT JOIN b ON k.key = b.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS text_sha256
+        FROM m GROUP BY doc_id""",
 }
