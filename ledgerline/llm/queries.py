@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, decontamination, line_dedup, secrets, token_counts, warc
+from ledgerline.llm import bpe, decontamination, line_dedup, secrets, token_counts, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
+CATEGORIES = ("low_quality", "toxic")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,17 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+def labels_with_categories(labels: DataFrame) -> DataFrame:
+    """The label columns in the order of the chain: whether the text is junk, then whether it is toxic."""
+    return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), labels_with_categories(_table(spark, sf_dir, "labels"))
+    chain = toxicity.fit(docs, labels, CATEGORIES)
+    return toxicity.predict(docs, chain).select("doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic")
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -43,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "leak_item", "leak_score", "leaked")
 
 
-QUERIES = {query.__name__: query for query in (op1_secret_scans, op2_warc, op5_bpe_round_trip, op6_token_counts, op9_line_dedup, op10_decontamination)}
+QUERIES = {query.__name__: query for query in (op1_secret_scans, op2_warc, op3_toxicity, op5_bpe_round_trip, op6_token_counts, op9_line_dedup, op10_decontamination)}
 
 # 160 bits of the digest in 32 letters of five bits each: letter i begins in the hex digit i * 5 / 4.
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
