@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, decontamination, line_dedup, secrets, token_counts, toxicity, warc
+from ledgerline.llm import bpe, decontamination, line_dedup, near_dedup, secrets, token_counts, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 CATEGORIES = ("low_quality", "toxic")
@@ -37,6 +37,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, chain).select("doc_id", *(f"p_{c}" for c in CATEGORIES), "toxic")
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -55,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "leak_item", "leak_score", "leaked")
 
 
-QUERIES = {query.__name__: query for query in (op1_secret_scans, op2_warc, op3_toxicity, op5_bpe_round_trip, op6_token_counts, op9_line_dedup, op10_decontamination)}
+QUERIES = {query.__name__: query for query in (op1_secret_scans, op2_warc, op3_toxicity, op4_minhash_near_dedup, op5_bpe_round_trip, op6_token_counts, op9_line_dedup, op10_decontamination)}
 
 # 160 bits of the digest in 32 letters of five bits each: letter i begins in the hex digit i * 5 / 4.
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
