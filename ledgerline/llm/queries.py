@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, decontamination, line_dedup, near_dedup, secrets, token_counts, toxicity, warc
+from ledgerline.llm import bpe, decontamination, line_dedup, near_dedup, neighbours, secrets, token_counts, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 CATEGORIES = ("low_quality", "toxic")
@@ -49,6 +49,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.clean(_table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
@@ -59,7 +63,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "leak_item", "leak_score", "leaked")
 
 
-QUERIES = {query.__name__: query for query in (op1_secret_scans, op2_warc, op3_toxicity, op4_minhash_near_dedup, op5_bpe_round_trip, op6_token_counts, op9_line_dedup, op10_decontamination)}
+QUERIES = {query.__name__: query for query in (op1_secret_scans, op2_warc, op3_toxicity, op4_minhash_near_dedup, op5_bpe_round_trip, op6_token_counts, op8_nearest_neighbours, op9_line_dedup, op10_decontamination)}
 
 # 160 bits of the digest in 32 letters of five bits each: letter i begins in the hex digit i * 5 / 4.
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
