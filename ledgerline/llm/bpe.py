@@ -172,6 +172,21 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     return map_slices(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def encode_and_check(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As `encode`, with ``n_tokens`` and ``intact``: whether the ids decode to the text again."""
+    raw = bytelevel.read_file(tokenizer)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        bpe, body = encoder(raw), texts(batch)
+        ids = bpe.encode(body)
+        intact = [bpe.decode(one) == text for one, text in zip(ids, body, strict=True)]
+        return {"id": batch.column("id"), "ids": pa.array(ids, pa.list_(pa.int32())), "n_tokens": pa.array(map(len, ids), pa.int64()), "intact": intact}
+
+    rows = id_and_text(docs, id_col, text_col)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, n_tokens long, intact boolean"
+    return map_slices(rows, run, schema).withColumnRenamed("id", id_col)
+
+
 def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``id``, ``text``: what the ids spell; null or no ids give the empty text. Raises for an unknown id."""
     raw = bytelevel.read_file(tokenizer)

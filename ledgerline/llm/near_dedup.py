@@ -218,6 +218,9 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are kept, with their columns: of each group of near-duplicates the one with the smallest id."""
-    gone = near_duplicates(docs, width, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
+    """The documents that are kept, with their columns: of each group of near-duplicates the one with the smallest id.
+
+    Rows repeated with the id that is kept stay, so do rows without id.
+    """
+    gone = near_duplicates(docs, width, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, decontamination, line_dedup, near_dedup, neighbours, secrets, token_counts, toxicity, warc
+from ledgerline.llm import bpe, decontamination, line_dedup, near_dedup, neighbours, secrets, token_counts, toxicity, url_filters, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 CATEGORIES = ("low_quality", "toxic")
@@ -49,6 +49,30 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def captures_and_entries(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A fetch time for each page, and an entry of one of three lists from each page, within the same 90 days.
+
+    Host, domain or first folder of the page are listed or taken off, by its number. All pages take part.
+    """
+    page, start = F.col("page_id"), 1_704_067_200
+    host = url_filters.host_of(F.col("url"))
+    labels, folder = F.split(host, r"\."), F.regexp_extract(url_filters.path_of(F.col("url")), "^/[^/]*", 0)
+    pattern = F.when(page % 3 == 0, host).when(page % 3 == 2, F.concat(host, folder)).otherwise(F.array_join(F.slice(labels, 2, F.size(labels)), "."))
+    entries = pages.select(
+        F.when(page % 4 == 0, "allow").when(page % 4 == 1, "spam").otherwise("adult").alias("list"),
+        F.when(page % 3 == 0, "host").when(page % 3 == 1, "domain").otherwise("prefix").alias("kind"),
+        pattern.alias("pattern"),
+        F.when(page % 5 < 2, "add").otherwise("remove").alias("action"),
+        (page * 7919 % 2160 * 3600 + start).alias("effective_at"),
+    )
+    return pages.select("page_id", "url", (page * 104_729 % 129_600 * 60 + start).alias("fetched_at")), entries
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, entries = captures_and_entries(_table(spark, sf_dir, "pages"))
+    return url_filters.evaluate(captures, entries, allow_lists=["allow"])
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -63,7 +87,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "leak_item", "leak_score", "leaked")
 
 
-QUERIES = {query.__name__: query for query in (op1_secret_scans, op2_warc, op3_toxicity, op4_minhash_near_dedup, op5_bpe_round_trip, op6_token_counts, op8_nearest_neighbours, op9_line_dedup, op10_decontamination)}
+QUERIES = {query.__name__: query for query in (op1_secret_scans, op2_warc, op3_toxicity, op4_minhash_near_dedup, op5_bpe_round_trip, op6_token_counts, op7_url_filters, op8_nearest_neighbours, op9_line_dedup, op10_decontamination)}
 
 # 160 bits of the digest in 32 letters of five bits each: letter i begins in the hex digit i * 5 / 4.
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
@@ -77,6 +101,27 @@ ORACLES = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to, TRUE AS verified
         FROM f""",
+    "op7_url_filters": r"""
+        WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+                          coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?[^/?#:]*(?::[0-9]*)?([^?#]*)', 1), ''), '/') AS path,
+                          page_id * 104729 % 129600 * 60 + 1704067200 AS seconds FROM pages),
+             e AS (SELECT CASE page_id % 4 WHEN 0 THEN 'allow' WHEN 1 THEN 'spam' ELSE 'adult' END AS list,
+                          CASE page_id % 3 WHEN 0 THEN 'host' WHEN 1 THEN 'domain' ELSE 'prefix' END AS kind,
+                          CASE page_id % 3 WHEN 0 THEN host WHEN 2 THEN host || regexp_extract(path, '^/[^/]*', 0)
+                               ELSE array_to_string(string_split(host, '.')[2:], '.') END AS pattern,
+                          page_id % 5 < 2 AS added, page_id * 7919 % 2160 * 3600 + 1704067200 AS seconds FROM p),
+             s AS (SELECT list, kind, pattern, seconds, max(added) AS added FROM e GROUP BY ALL),
+             i AS (SELECT *, lead(seconds) OVER (PARTITION BY list, kind, pattern ORDER BY seconds) AS until FROM s),
+             d AS (SELECT page_id, 'domain' AS kind, array_to_string(string_split(host, '.')[unnest(range(1, len(string_split(host, '.')) + 1)):], '.') AS pattern FROM p),
+             f AS (SELECT page_id, 'prefix' AS kind, host || array_to_string(string_split(path, '/')[1:unnest(range(1, greatest(len(string_split(path, '/')) - 1, 1) + 1))], '/') || '/' AS pattern FROM p),
+             k AS (SELECT page_id, 'host' AS kind, host AS pattern FROM p UNION SELECT * FROM d UNION SELECT * FROM f
+                   UNION SELECT page_id, 'prefix', host || path FROM p),
+             a AS (SELECT p.page_id, i.list FROM p JOIN k USING (page_id) JOIN i USING (kind, pattern)
+                   WHERE added AND i.seconds <= p.seconds AND (until IS NULL OR p.seconds < until)),
+             c AS (SELECT page_id, count(*) AS n_active, bool_or(list = 'allow') AS allowed, bool_or(list <> 'allow') AS listed FROM a GROUP BY page_id)
+        SELECT p.page_id, url, seconds, coalesce(n_active, 0) AS n_active, coalesce(allowed, FALSE) AS allowed,
+               coalesce(listed, FALSE) AND NOT coalesce(allowed, FALSE) AS blocked
+        FROM p LEFT JOIN c USING (page_id)""",
     "op9_line_dedup": f"""
         WITH l AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
                    FROM documents),

@@ -1,3 +1,47 @@
-"""Placeholder list of the stages, filled as the operators come."""
+"""The stages of the training-data pipeline, in their order."""
 
-STAGES: list = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerline.llm import bpe, decontamination, line_dedup, near_dedup, toxicity
+from ledgerline.llm.queries import CATEGORIES, TOKENIZER, labels_with_categories
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier chain does not reject."""
+    labels = labels_with_categories(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.remove_toxic(docs, labels, CATEGORIES)
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that stand on many sites; ``n_chars`` follows the text."""
+    cleaned = line_dedup.clean(docs)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cleaned.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.keep_one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no item of the benchmark."""
+    return decontamination.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each document, and whether they decode to its text."""
+    return bpe.encode_and_check(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_boilerplate),
+    ("near_dedup", without_copies),
+    ("decontamination", without_benchmark),
+    ("bpe", tokens),
+]
