@@ -20,8 +20,9 @@ from ledgerline.session import fresh_path, write_and_read
 SHARD_ROWS = 8192
 QUERY_BLOCK = 8192
 DEGREE = 32
-BEAM = 96
-RELAXED = 1.2
+BEAM = 128
+SEARCH_BEAM = 192
+RELAXED = 1.2**2  # of squared distances
 BATCH = 512
 ENTRIES = 32
 EXPAND = 4
@@ -118,6 +119,8 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, rela
         edges[new] = robust_prune(points, new, found, degree, relaxed, norm)
         _link_back(graph, new, degree, relaxed, norm)
         done += len(new)
+    longest = np.argsort(np.abs(points[:, -1]), kind="stable")[:ENTRIES]  # answers to many queries, if lengths differ
+    graph.entries = np.unique(np.concatenate([graph.entries, longest]))
     graph.entries = np.concatenate([graph.entries, _unreached(graph)])
     return graph
 
@@ -203,7 +206,7 @@ def build_index(classes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return write_and_read(built, fresh_path(classes.sparkSession, "graph-index"))
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
+def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """``query_id``, ``k1``, ``k2``, ``score``: the ``k`` best vectors of each shard for each query (``query_id``, ``v``).
 
     Blocks of queries meet the shards, one of each in a task, whatever the number of queries.
@@ -250,7 +253,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM)
     return write_and_read(pairs.applyInArrow(run, schema), fresh_path(spark, "graph-found"))
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = 20, beam: int = BEAM, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(embeddings: DataFrame, is_query, k: int = 20, beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: for each row that is a query its ``k`` nearest others found.
 
     ``is_query`` is a condition on ``vec_id``. Nearness is the inner product in double precision of the given
