@@ -24,7 +24,7 @@ def run_step_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_bundles(spark: SparkSession, folder: str) -> DataFrame:
-    bundles = audit.run_bundles(*runs_and_steps(spark, folder), steps_per_row=5_000)
+    bundles = audit.run_bundles(*runs_and_steps(spark, folder), steps_per_row=5)
     return bundles.select(
         "run_id", "chunk", F.col("run.status").alias("status"), F.size("steps").alias("steps"),
         F.array_join(F.transform("steps", lambda s: s["step_name"]), ",").alias("step_names"),
@@ -60,9 +60,10 @@ ORACLES = {
           coalesce(metrics, '') AS step_metrics
         FROM runs r JOIN steps s USING (run_id)""",
     "run_bundles": f"""WITH {RUNS_SQL}
-        SELECT run_id, step_position // 5000 AS chunk, max(r.status) AS status, CAST(count(*) AS INTEGER) AS steps,
+        SELECT run_id, chunk, max(r.status) AS status, CAST(count(*) AS INTEGER) AS steps,
                string_agg(step_name, ',' ORDER BY step_position) AS step_names
-        FROM runs r JOIN steps s USING (run_id) GROUP BY run_id, step_position // 5000""",
+        FROM runs r JOIN (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY step_position) - 1) // 5 AS chunk FROM steps) s
+        USING (run_id) GROUP BY run_id, chunk""",
     "unmatched_runs": f"""WITH {STEPS_SQL},
         a AS (SELECT DISTINCT run_id FROM steps WHERE step_name = 'purchase'),
         b AS (SELECT DISTINCT run_id FROM steps WHERE step_name = 'error')

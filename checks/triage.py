@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import mail as mail_checks
 from ledgerline import AttachmentPolicy, Labels, derived
 from ledgerline.operators import actions, attachments, decode, triage
+from ledgerline.session import fresh_path, write_and_read
 
 RUN_ID, NOW = "run-1", "2026-03-01T00:00:00Z"
 LABELS = Labels("Done", "Review", "Broken")
@@ -70,20 +71,35 @@ def permalinks(spark: SparkSession, folder: str) -> DataFrame:
 # ---- attachments -------------------------------------------------------------------------------
 
 
+POSITION_BITS = 30  # a block of names has the attachments of 2**20 messages
+
+
 def attachment_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """All listed attachments with their content and their order of arrival."""
+    """All listed attachments with their order of arrival, and the size and hash of their content."""
     mail = derived.mail(spark, folder)
+    return attachments.with_facts(listed_attachments(mail), derived.blobs(mail))
+
+
+def listed_attachments(mail: DataFrame) -> DataFrame:
     listed = decode.list_attachments(
         decode.with_parts(derived.messages(mail)), keep=("row_idx", "message_id")
     )
-    listed = listed.withColumn("position", F.col("row_idx") * 1024 + F.col("attachment_position"))
-    return attachments.with_content(listed, derived.blobs(mail))
+    return listed.withColumn("position", F.col("row_idx") * 1024 + F.col("attachment_position"))
 
 
 def attachment_contents(spark: SparkSession, folder: str) -> DataFrame:
-    return attachment_rows(spark, folder).select(
-        "position", "attachment_id", F.decode("content", "utf-8").alias("content")
-    )
+    mail = derived.mail(spark, folder)
+    rows = attachments.with_content(listed_attachments(mail), derived.blobs(mail))
+    return rows.select("position", "attachment_id", F.decode("content", "utf-8").alias("content"))
+
+
+def attachment_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The bytes are stored where they are, and found again for each path of the manifest."""
+    mail = derived.mail(spark, folder)
+    stored = write_and_read(attachments.contents(derived.blobs(mail)), fresh_path(spark, "contents"))
+    routed = attachments.route(attachment_rows(spark, folder), POLICY, POSITION_BITS)
+    rows = routed.where("saved_path != ''").join(stored.drop("size"), ["message_id", "attachment_id", "sha256"])
+    return rows.select("saved_path", "sha256", F.length("content").cast("long").alias("bytes"))
 
 
 def attachment_policy(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,31 +147,31 @@ def attachment_names_contested(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attachment_routing(spark: SparkSession, folder: str) -> DataFrame:
-    return attachments.route(attachment_rows(spark, folder), POLICY).select(
+    return attachments.route(attachment_rows(spark, folder), POLICY, POSITION_BITS).select(
         "position", "attachment_id", "filename", "status", "reason", "saved_path"
     )
 
 
 def attachment_routing_drive(spark: SparkSession, folder: str) -> DataFrame:
     policy = AttachmentPolicy(80, ("application/pdf",), (".png",), "drive", "folder-1", True)
-    routed = attachments.route(attachment_rows(spark, folder), policy)
+    routed = attachments.route(attachment_rows(spark, folder), policy, POSITION_BITS)
     return routed.groupBy("status", "reason").agg(F.count(F.lit(1)).alias("attachments"))
 
 
 def attachment_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    routed = attachments.route(attachment_rows(spark, folder), POLICY)
+    routed = attachments.route(attachment_rows(spark, folder), POLICY, POSITION_BITS)
     return attachments.manifest(routed).select("filename", "mime", "size", "sha256", "status")
 
 
 def attachment_summary(spark: SparkSession, folder: str) -> DataFrame:
-    routed = attachments.route(attachment_rows(spark, folder), POLICY)
+    routed = attachments.route(attachment_rows(spark, folder), POLICY, POSITION_BITS)
     return attachments.attachment_summary(routed, list_failures(spark, folder)).select(
         "message_id", "filename", "status", "reason"
     )
 
 
 def attachment_totals(spark: SparkSession, folder: str) -> DataFrame:
-    routed = attachments.route(attachment_rows(spark, folder), POLICY)
+    routed = attachments.route(attachment_rows(spark, folder), POLICY, POSITION_BITS)
     return attachments.attachment_totals(routed, list_failures(spark, folder))
 
 
@@ -168,7 +184,7 @@ def list_failures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attachment_raw_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return attachments.raw_paths(attachment_rows(spark, folder)).select("position", "raw_path")
+    return attachments.raw_paths(attachment_rows(spark, folder), POSITION_BITS).select("position", "raw_path")
 
 
 # ---- actions -----------------------------------------------------------------------------------
@@ -232,7 +248,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         triage_upsert, triage_cells_mail, triage_columns_added, triage_sheet_rows, permalinks,
-        attachment_contents, attachment_policy, attachment_names, attachment_names_contested,
+        attachment_contents, attachment_stored, attachment_policy, attachment_names, attachment_names_contested,
         attachment_routing, attachment_routing_drive, attachment_manifest, attachment_summary,
         attachment_totals, attachment_raw_paths, distinct_messages, classify_actions, plan_counts,
         audit_rows, audit_outcomes, applied_totals, needs_review_alert,
@@ -297,6 +313,22 @@ audit AS (SELECT '{RUN_ID}' AS run_id, d.message_id,
   '{NOW}' AS "timestamp"
   FROM distinct_items d LEFT JOIN failures f USING (message_id) LEFT JOIN sheet_rows s USING (message_id))"""
 
+
+
+def names_sql(rows: str, folder: str = "folder") -> str:
+    """``rows`` with ``stored_name``: copies take the numbers whose names nobody asks for."""
+    return f"""WITH turned AS (SELECT *, {folder} AS place, row_number() OVER (PARTITION BY {folder}, safe_name ORDER BY position) - 1 AS turn FROM {rows}),
+    own AS (SELECT DISTINCT place, safe_name, regexp_extract(safe_name, '^(.+?)(\\.[^.]+)?$', ['stem', 'suffix']) AS s FROM turned),
+    asked AS (SELECT place, regexp_replace(s.stem, '-[1-9][0-9]*$', '') || s.suffix AS safe_name,
+      CAST(regexp_extract(s.stem, '-([1-9][0-9]*)$', 1) AS BIGINT) AS number FROM own WHERE regexp_matches(s.stem, '-[1-9][0-9]*$')),
+    free AS (SELECT place, safe_name, number - row_number() OVER (PARTITION BY place, safe_name ORDER BY number) AS free FROM asked),
+    skips AS (SELECT t.place, t.safe_name, turn, count(*) AS n FROM (SELECT DISTINCT place, safe_name, turn FROM turned) t
+      JOIN free f ON f.place = t.place AND f.safe_name = t.safe_name AND f.free < turn GROUP BY ALL)
+    SELECT t.*, CASE WHEN turn = 0 THEN t.safe_name
+      ELSE o.s.stem || '-' || (turn + coalesce(n, 0)) || o.s.suffix END AS stored_name
+    FROM turned t LEFT JOIN own o USING (place, safe_name) LEFT JOIN skips USING (place, safe_name, turn)"""
+
+
 CONTENT_SQL = f"""{mail_checks.ATTACHMENTS_SQL},
 contents AS (SELECT *, row_idx * 1024 + attachment_position AS position,
   CASE WHEN row_idx % 33 = 0 OR row_idx % 27 = 0 THEN NULL ELSE content END AS bytes FROM attachments),
@@ -306,15 +338,10 @@ verdicts AS (SELECT *, length(bytes) AS size,
   FROM contents),
 foldered AS (SELECT *, CASE WHEN bytes IS NULL THEN NULL WHEN verdict = 'ok' THEN 'routed' ELSE 'quarantine' END AS folder,
   replace(replace(filename, ':', '_'), '?', '_') AS safe_name FROM verdicts),
-turns AS (SELECT *, row_number() OVER (PARTITION BY folder, safe_name ORDER BY position) - 1 AS turn FROM foldered),
 routed AS (SELECT *,
-  CASE WHEN bytes IS NULL THEN 'ERROR' WHEN turn > 999 THEN 'error' WHEN verdict = 'ok' THEN 'routed_artifacts' ELSE 'quarantined' END AS status,
-  CASE WHEN bytes IS NULL THEN verdict
-       WHEN turn > 999 THEN CASE folder WHEN 'routed' THEN 'route' ELSE 'quarantine' END || '_error:Unable to allocate unique filename for ' || safe_name
-       ELSE verdict END AS reason,
-  CASE WHEN bytes IS NULL OR turn > 999 THEN ''
-       ELSE 'attachments/' || folder || '/' || CASE WHEN turn = 0 THEN safe_name
-            ELSE regexp_replace(safe_name, '(\\.[^.]+)$', '-' || turn || '\\1') END END AS saved_path FROM turns)"""
+  CASE WHEN bytes IS NULL THEN 'ERROR' WHEN verdict = 'ok' THEN 'routed_artifacts' ELSE 'quarantined' END AS status, verdict AS reason,
+  CASE WHEN bytes IS NULL THEN '' ELSE 'attachments/' || folder || '/' || stored_name END AS saved_path
+  FROM ({names_sql("foldered")}))"""
 
 _LIST_FAILURES = "SELECT 'cust-' || c_custkey AS message_id FROM customer WHERE c_acctbal < 0"
 
@@ -335,10 +362,12 @@ ORACLES = {
     "triage_sheet_rows": f"WITH {EXISTING_SQL}, {SHEET_ROWS_SQL} SELECT message_id, sheet_row_id FROM sheet_rows",
     "permalinks": f"WITH {EXISTING_SQL} SELECT row_idx, {link_sql('trim(message_id)')} AS link FROM existing",
     "attachment_contents": f"WITH {CONTENT_SQL} SELECT position, attachment_id, bytes AS content FROM contents",
+    "attachment_stored": f"""WITH {CONTENT_SQL}
+        SELECT saved_path, sha256(bytes) AS sha256, strlen(bytes) AS bytes FROM routed WHERE saved_path <> ''""",
     "attachment_policy": f"""WITH {CONTENT_SQL}
         SELECT row_idx, attachment_position, CASE WHEN size_estimate > 80 THEN 'size_exceeds_limit:' || size_estimate || '>80'
           WHEN filename LIKE '%.exe' THEN 'policy_blocked:mime=application/octet-stream|ext=.exe' ELSE 'ok' END AS reason FROM contents""",
-    "attachment_names": """WITH flags AS (
+    "attachment_names": f"""WITH flags AS (
           SELECT l_orderkey * 16 + l_linenumber AS position,
             max(CASE l_returnflag WHEN 'N' THEN 'statement.pdf'
                 WHEN 'A' THEN ' ..dir/"a":' || l_suppkey || chr(160) || '?' || chr(9) || '.tar.gz. ' ELSE ' . ' END) AS filename
@@ -347,13 +376,16 @@ ORACLES = {
             WHEN filename = ' . ' THEN 'm' || position || '_7.bin'
             ELSE replace(replace(replace(replace(replace(replace(regexp_replace(filename, '^ \\.\\.|\\. $', '', 'g'),
                  '/', '_'), '"', '_'), ':', '_'), '?', '_'), chr(9), ''), chr(160), '') END AS safe_name FROM flags),
-        turns AS (SELECT *, row_number() OVER (PARTITION BY safe_name ORDER BY position) - 1 AS turn FROM safe)
-        SELECT position, safe_name, CASE WHEN turn = 0 THEN safe_name WHEN turn <= 999
-          THEN regexp_replace(safe_name, '(\\.[^.]+)$', '-' || turn || '\\1') END AS stored_name FROM turns""",
+        placed AS (SELECT *, 'raw' AS folder FROM safe)
+        SELECT position, safe_name, stored_name FROM ({names_sql("placed")})""",
+    "attachment_names_contested": f"""WITH asked_for AS (SELECT o_orderkey AS position, 'routed' AS folder,
+          CASE o_orderstatus WHEN 'P' THEN 'doc-' || (o_custkey % 40 + 1) || '.pdf'
+               WHEN 'F' THEN 'doc' || (o_custkey % 100) || '.pdf' ELSE 'doc.pdf' END AS safe_name FROM orders)
+        SELECT position, safe_name, stored_name FROM ({names_sql("asked_for")})""",
     "attachment_routing": f"""WITH {CONTENT_SQL}
         SELECT position, attachment_id, filename, status, reason, saved_path FROM routed""",
     "attachment_routing_drive": f"""WITH {CONTENT_SQL}, drive AS (
-          SELECT CASE WHEN status IN ('routed_artifacts') OR (status = 'error' AND verdict = 'ok') THEN 'routed_drive' ELSE status END AS status,
+          SELECT CASE WHEN status = 'routed_artifacts' THEN 'routed_drive' ELSE status END AS status,
                  CASE WHEN verdict = 'ok' THEN 'ok' ELSE reason END AS reason FROM routed)
         SELECT status, reason, count(*) AS attachments FROM drive GROUP BY ALL""",
     "attachment_manifest": f"""WITH {CONTENT_SQL}
@@ -365,10 +397,8 @@ ORACLES = {
         SELECT count(*) AS attachments_total, count(*) FILTER (status = 'routed_artifacts') AS attachments_routed,
           count(*) FILTER (status = 'quarantined') AS attachments_quarantined,
           count(*) FILTER (status IN ('error', 'ERROR')) + (SELECT count(*) FROM ({_LIST_FAILURES})) AS attachments_errors FROM routed""",
-    "attachment_raw_paths": f"""WITH {CONTENT_SQL}, raw AS (
-          SELECT position, safe_name, row_number() OVER (PARTITION BY safe_name ORDER BY position) - 1 AS turn FROM foldered)
-        SELECT position, CASE WHEN turn > 999 THEN NULL ELSE 'attachments/raw/' || CASE WHEN turn = 0 THEN safe_name
-          ELSE regexp_replace(safe_name, '(\\.[^.]+)$', '-' || turn || '\\1') END END AS raw_path FROM raw""",
+    "attachment_raw_paths": f"""WITH {CONTENT_SQL}
+        SELECT position, 'attachments/raw/' || stored_name AS raw_path FROM ({names_sql("foldered", "'raw'")})""",
     "distinct_messages": f"WITH {ITEMS_SQL} SELECT * FROM distinct_items",
     "classify_actions": f"WITH {ITEMS_SQL} SELECT * FROM plan",
     "plan_counts": f"""WITH {ITEMS_SQL}
@@ -387,6 +417,6 @@ ORACLES = {
         SELECT 'mail_intake' AS workflow, 'S1' AS sheet_id, 'triage' AS triage_tab,
           'https://docs.google.com/spreadsheets/d/S1/edit#gid=triage' AS triage_sheet_url,
           count(*) FILTER (action = 'needs_review') AS new_needs_review_count,
-          (SELECT least(count(*), 500) FROM action_items WHERE error_count > 1) AS total_needs_review_count
+          (SELECT count(*) FROM action_items WHERE error_count > 1) AS total_needs_review_count
         FROM plan HAVING count(*) FILTER (action = 'needs_review') > 0""",
 }

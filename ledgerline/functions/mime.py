@@ -60,7 +60,8 @@ def header_parameter(value: Column, parameter: str) -> Column:
 
     The extended form ``filename*=UTF-8''a.pdf`` is read too.
     """
-    chunks = F.transform(F.slice(F.split(value, ";"), 2, 1_000_000), strip)
+    chunks = F.split(value, ";")
+    chunks = F.transform(F.filter(chunks, lambda _, i: i > 0), strip)
     pairs = F.transform(
         F.filter(chunks, lambda x: F.contains(x, F.lit("="))),
         lambda x: F.struct(

@@ -174,8 +174,12 @@ def safe_file_name(name: Column, fallback: Column) -> Column:
     safe = F.translate(raw, FORBIDDEN_IN_NAMES, "_" * len(FORBIDDEN_IN_NAMES))
     safe = F.btrim(strip(safe), F.lit("."))
     safe = F.regexp_replace(safe, r"[\p{C}\p{Z}&&[^ ]]", "")
+    # What is cut off stays in the name as a hash, and the suffix stays as it is.
+    ending = F.regexp_extract(safe, r"^.+(\.[^.]{1,20})$", 1)
+    mark = F.concat(F.lit("~"), F.left(F.sha2(safe, 256), F.lit(16)), ending)
+    short = F.concat(F.left(safe, F.lit(MAX_NAME_LENGTH) - F.length(mark)), mark)
     return F.when(safe == "", F.concat(fallback, F.lit(".bin"))).otherwise(
-        F.substring(safe, 1, MAX_NAME_LENGTH)
+        F.when(F.length(safe) > MAX_NAME_LENGTH, short).otherwise(safe)
     )
 
 

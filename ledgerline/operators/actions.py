@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ledgerline.functions.text import float_text, strip
 from ledgerline.rules import Labels
 
-# Fixed value: the labelled messages counted for an alert are not counted beyond this.
-ALERT_TOTAL_CAP = 500
-
 
 def action_items(items: DataFrame, row: str = "row_idx") -> DataFrame:
     """Intake items as action items, with the error codes of the parser."""
@@ -172,13 +169,13 @@ def needs_review_alert(
     labelled: DataFrame | None = None,
 ) -> DataFrame:
     """One row if there is something new to review, else none. ``labelled`` holds all messages
-    under the needs-review label; their number is shown up to 500."""
+    under the needs-review label; their number is shown too."""
     new = plan.agg(
         F.count_if(F.col("action") == "needs_review").alias("new_needs_review_count")
     ).where(F.col("new_needs_review_count") > 0)
     total = F.lit(None).cast("long")
     if labelled is not None:
-        total = labelled.limit(ALERT_TOTAL_CAP).agg(F.count(F.lit(1))).scalar()
+        total = labelled.agg(F.count(F.lit(1))).scalar()
     return new.select(
         F.lit(workflow).alias("workflow"), F.lit(sheet_id).alias("sheet_id"),
         F.lit(triage_tab).alias("triage_tab"),

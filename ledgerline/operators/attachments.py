@@ -5,39 +5,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.mime import base64url_bytes
 from ledgerline.functions.text import file_extension, file_stem, safe_file_name, strip
-from ledgerline.operators.settle import settle
+from ledgerline.operators.positions import BLOCK_BITS, with_rank, with_sum_before
 from ledgerline.rules import AttachmentPolicy
 
-# A name is tried as it is, then with -1 up to -999.
-LAST_SUFFIX = 999
-NAME_SALTS = 1024
+def _decoded(data: Column) -> Column:
+    return F.when(data == "", F.lit(b"")).otherwise(base64url_bytes(data))
+
+
+def contents(blobs: DataFrame) -> DataFrame:
+    """The bytes of the attachments with their size and hash, from base64url texts in ``data``. NULL
+    where they cannot be decoded. Nothing is moved."""
+    rows = blobs.withColumn("content", _decoded(F.col("data"))).drop("data")
+    return rows.withColumns(
+        {"size": F.length("content").cast("long"), "sha256": F.sha2("content", 256)}
+    )
+
 
-MANIFEST_COLUMNS = (
-    "filename", "mime", "size", "sha256", "status", "reason", "saved_path", "drive_file_id",
-    "drive_file_url",
-)
+def with_facts(attachments: DataFrame, blobs: DataFrame, order: str | None = None) -> DataFrame:
+    """Add ``size`` and ``sha256`` of the bytes of attachments, NULL if there are none or they cannot
+    be decoded. Both are worked out where the bytes are, and only they are joined.
+
+    Of repeated blobs the first by ``order`` counts, without it the one with the smallest hash.
+    """
+    keys = ["message_id", "attachment_id"]
+    first = F.struct(*([order] if order else []), F.col("sha256").isNull(), "sha256", "size")
+    facts = contents(blobs).groupBy(*keys).agg(F.min(first).alias("first"))
+    facts = facts.select(*keys, "first.size", "first.sha256")
+    kept = [c for c in attachments.columns if c not in ("size", "sha256")]
+    return attachments.select(*kept).join(facts, keys, "left").select(*kept, "size", "sha256")
 
 
 def with_content(attachments: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Join the bytes of attachments, given as base64url texts in ``data``. The content is NULL
-    if there are none or they cannot be decoded."""
+    """Join the bytes of attachments themselves, for those who read them. NULL if there are none or
+    they cannot be decoded; of repeated blobs that which `with_facts` takes."""
     keys = ["message_id", "attachment_id"]
-    one_each = blobs.groupBy(*keys).agg(F.max("data").alias("data"))
-    return attachments.join(one_each, keys, "left").select(
-        *attachments.columns,
-        F.when(F.col("data") == "", F.lit(b"")).otherwise(base64url_bytes(F.col("data"))).alias(
-            "content"
-        ),
-    )
+    first = F.struct(F.col("sha256").isNull(), "sha256", "content")
+    one_each = contents(blobs).groupBy(*keys).agg(F.min(first)["content"].alias("content"))
+    kept = [c for c in attachments.columns if c != "content"]
+    return attachments.select(*kept).join(one_each, keys, "left").select(*kept, "content")
 
 
 def policy_reason(policy: AttachmentPolicy, filename: Column, mime_type: Column, size: Column) -> Column:
@@ -69,71 +79,52 @@ def with_safe_names(df: DataFrame) -> DataFrame:
     return df.withColumn("safe_name", safe_file_name(F.coalesce("filename", F.lit("")), fallback))
 
 
-def _take_in_turn(group: pa.Table) -> pa.Table:
-    """Give out names one after the other, where one name's copies may meet another name."""
-    taken: set[str] = set()
-    tried: dict[str, int] = {}
-    stored: list[str | None] = [None] * group.num_rows
-    columns = [group[c].to_pylist() for c in ("position", "safe_name", "stem", "suffix")]
-    for at in np.argsort(columns[0]):
-        wanted, stem, suffix = (c[at] for c in columns[1:])
-        name, n = wanted, tried.get(wanted, 0)
-        while name in taken and n < LAST_SUFFIX:
-            n += 1
-            name = f"{stem}-{n}{suffix}"
-        tried[wanted] = n  # a name is never given back, so the search goes on from here
-        stored[at] = None if name in taken else name
-        taken.add(name)
-    return group.append_column("stored_name", pa.array(stored, pa.string()))
-
-
-def allocate_names(df: DataFrame) -> DataFrame:
-    """Add ``stored_name`` to rows with ``position``, ``folder`` and ``safe_name``: the name itself,
-    or ``stem-n.ext`` with the first free n up to 999, in order of arrival within a folder. It is
-    NULL if no name is left, or if there is no folder.
-
-    A name can be given out 1000 times, so only its first 1000 arrivals need to be told apart. A
-    very common name is therefore ranked in 1024 salted parts first. What is beyond 1000 in its
-    part is out, and gets its own position as an extra key, which spreads it over the later tasks.
-
-    Copies of a.pdf become a-1.pdf and so on, which may also be names of their own. Such names form
-    a family; it is contested if one of them has copies. A family has at most 999 names per level of
-    numbering, whatever the size of the table. All steps pass the rows on: nothing is joined back.
+def allocate_names(df: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Add ``stored_name`` to rows with ``position`` (a unique long), ``folder`` and ``safe_name``.
+
+    The first arrival of a name in a folder keeps it. Its further arrivals become ``stem-n.ext``,
+    with the numbers in turn, but for those whose name another row of the folder asks for: a copy
+    never takes a name that is somebody's own. There is no upper number. Without a folder the name
+    is NULL.
+
+    Ranks are counted in blocks of positions, also within one name, so a name that holds most of a
+    folder makes no task larger. Which numbers are taken is worked out on the distinct names; how
+    many of them lie below a copy's number is a running sum in the order of numbers.
     """
     stem = file_stem(F.col("safe_name"))
     suffix = F.substring("safe_name", F.length(stem) + 1, F.length("safe_name"))
-    rows = settle(df.select("*", stem.alias("stem"), suffix.alias("suffix")), "names")
-
-    salt = F.pmod(F.xxhash64("position"), F.lit(NAME_SALTS))
-    part = Window.partitionBy("folder", "safe_name", "salt").orderBy("position")
-    rows = rows.select("*", salt.alias("salt")).withColumn("turn", F.row_number().over(part))
-    out = F.col("folder").isNull() | (F.col("turn") > LAST_SUFFIX + 1)
-    root = F.concat(F.regexp_replace("stem", r"(?:-[1-9][0-9]{0,2})+$", ""), F.lit("/"), "suffix")
-    rows = rows.select(
-        *df.columns, "stem", "suffix", root.alias("root"), F.when(out, F.col("position")).alias("out")
+    keys = ["folder", "safe_name"]
+    rows = df.where(F.col("folder").isNotNull())
+    turns = with_rank(rows, "position", "turn", keys, bits)
+
+    number = F.regexp_extract(stem, r"-([1-9][0-9]{0,17})$", 1)
+    parent = F.concat(F.regexp_replace(stem, r"-[1-9][0-9]{0,17}$", ""), suffix)
+    wanted = rows.select(*keys).distinct().where(number != "")
+    taken = wanted.select("folder", parent.alias("safe_name"), number.cast("long").alias("number"))
+    taken = with_rank(taken, "number", "below", keys)
+    # A taken number comes before the copies that have at least as many free numbers below theirs.
+    taken = taken.groupBy(*keys, (F.col("number") - 1 - F.col("below")).alias("free")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-
-    # One shuffle by family serves both windows.
-    family = ["folder", "root", "out"]
-    rows = rows.repartition(*family)
-    by_name = Window.partitionBy(*family, "safe_name").orderBy("position")
-    rows = rows.withColumn("turn", F.row_number().over(by_name))
-    among = Window.partitionBy(*family)
-    contested = (F.max("turn").over(among) > 1) & (
-        F.min("safe_name").over(among) != F.max("safe_name").over(among)
+    none = {c: F.lit(None).cast(rows.schema[c].dataType) for c in df.columns if c not in keys}
+    steps = taken.select(
+        *[none[c].alias(c) if c in none else F.col(c) for c in df.columns],
+        F.lit(None).cast("long").alias("turn"), (F.col("free") * 2 + 1).alias("step"), "n",
     )
-    rows = rows.withColumn("contested", contested)
-
-    is_out = F.col("out").isNotNull() | (F.col("turn") > LAST_SUFFIX + 1)
-    numbered = F.concat("stem", F.lit("-"), (F.col("turn") - 1).cast("string"), "suffix")
-    name = F.when(~is_out, F.when(F.col("turn") == 1, F.col("safe_name")).otherwise(numbered))
-    alone = rows.where(~F.col("contested")).withColumn("stored_name", name)
-    claimed = rows.where(F.col("contested"))
-    together = claimed.groupBy("folder", "root").applyInArrow(_take_in_turn, alone.schema)
-    return alone.unionByName(together).select(*df.columns, "stored_name")
+    both = turns.select("*", (F.col("turn") * 2).alias("step"), F.lit(0).cast("long").alias("n"))
+    both = with_sum_before(both.unionByName(steps), "step", F.col("n"), "skipped", keys)
+    copy = F.concat(
+        stem, F.lit("-"), (F.col("turn") + F.col("skipped")).cast("string"), suffix
+    )
+    name = F.when(F.col("turn") == 0, F.col("safe_name")).otherwise(copy)
+    named = both.where(F.col("turn").isNotNull()).select(*df.columns, name.alias("stored_name"))
+    apart = df.where(F.col("folder").isNull()).withColumn("stored_name", F.lit(None).cast("string"))
+    return named.unionByName(apart)
 
 
-def route(attachments: DataFrame, policy: AttachmentPolicy) -> DataFrame:
+def route(
+    attachments: DataFrame, policy: AttachmentPolicy, bits: int = BLOCK_BITS
+) -> DataFrame:
     """Decide where each attachment goes, and under which name.
 
     ========================  ==========================================================
@@ -142,52 +133,40 @@ def route(attachments: DataFrame, policy: AttachmentPolicy) -> DataFrame:
     quarantined               the policy does not allow it
     routed_artifacts          to be stored under ``saved_path``
     routed_drive              to be uploaded
-    error                     it could not be named or routed
+    error                     it could not be routed
     ERROR                     there is no content
     ========================  ==========================================================
 
-    Only the size and the hash of the content go on, never the content itself: names need a
-    shuffle, and bytes must not take part in it.
+    Takes ``content``, or its ``size`` and ``sha256`` as `with_facts` gives them. The content itself
+    takes no part in what follows: names need a shuffle, and bytes must not be in it.
     """
-    facts = with_safe_names(
-        attachments.select(
-            *[c for c in attachments.columns if c != "content"],
-            F.length("content").cast("long").alias("size"),
-            F.sha2("content", 256).alias("sha256"),
+    if "content" in attachments.columns:
+        facts = [F.length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256")]
+        attachments = attachments.select(
+            *[c for c in attachments.columns if c not in ("content", "size", "sha256")], *facts
         )
+    verdict = F.when(F.col("size").isNull(), "download_failed").otherwise(
+        policy_reason(policy, F.col("filename"), F.col("mime_type"), F.col("size"))
     )
-    facts = settle(facts, "attachments").select(
-        "*",
-        F.when(F.col("size").isNull(), "download_failed")
-        .otherwise(policy_reason(policy, F.col("filename"), F.col("mime_type"), F.col("size")))
-        .alias("verdict"),
-    )
+    facts = with_safe_names(attachments).withColumn("verdict", verdict)
     passed = F.col("verdict") == "ok"
     to_store = F.when(F.col("size").isNotNull() & ~passed, "quarantine")
     if policy.route_mode == "artifacts":
         to_store = to_store.when(passed, "routed")
-    out = allocate_names(facts.withColumn("folder", to_store))
+    out = allocate_names(facts.withColumn("folder", to_store), bits)
 
-    no_name = F.concat(F.lit("Unable to allocate unique filename for "), F.col("safe_name"))
-    stored = F.col("stored_name").isNotNull()
     drive_error = None
     if policy.route_mode == "drive" and not policy.drive_folder_id:
         drive_error = "drive_missing_folder_id"
     elif policy.route_mode == "drive" and not policy.drive_ready:
         drive_error = "drive_client_not_configured"
-    status = F.when(F.col("size").isNull(), "ERROR").when(
-        F.col("folder").isNotNull() & ~stored, "error"
-    ).when(~passed, "quarantined")
-    reason = F.when(~passed & stored, F.col("verdict")).when(
-        F.col("folder") == "quarantine", F.concat(F.lit("quarantine_error:"), no_name)
-    ).when(
-        (F.col("folder") == "routed") & ~stored, F.concat(F.lit("route_error:"), no_name)
-    )
-    status = status.otherwise(
-        "error" if drive_error else
-        ("routed_drive" if policy.route_mode == "drive" else "routed_artifacts")
+    stored = F.col("stored_name").isNotNull()
+    # The words for where an attachment went.
+    sent = "routed_drive" if policy.route_mode == "drive" else "routed_artifacts"
+    status = F.when(F.col("size").isNull(), "ERROR").when(~passed, "quarantined").otherwise(
+        "error" if drive_error else sent
     )
-    reason = reason.when(passed, drive_error or "ok").otherwise(F.col("verdict"))
+    reason = F.when(passed, drive_error or "ok").otherwise(F.col("verdict"))
     path = F.concat_ws("/", F.lit("attachments"), F.col("folder"), F.col("stored_name"))
     return out.select(
         "position", "message_id", "part_id", "attachment_id", "filename", "mime_type", "size",
@@ -205,10 +184,10 @@ def manifest(routed: DataFrame) -> DataFrame:
     )
 
 
-def raw_paths(attachments: DataFrame) -> DataFrame:
+def raw_paths(attachments: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
     """The path under which the bytes of each attachment are kept as they came."""
     named = allocate_names(
-        with_safe_names(attachments.drop("content")).withColumn("folder", F.lit("raw"))
+        with_safe_names(attachments.drop("content")).withColumn("folder", F.lit("raw")), bits
     )
     return named.select(
         "position", "message_id", "attachment_id",
@@ -239,7 +218,3 @@ def attachment_totals(routed: DataFrame, list_failures: DataFrame | None = None)
         F.count_if(is_held).alias("attachments_quarantined"),
         F.count_if(~is_routed & ~is_held).alias("attachments_errors"),
     )
-
-
-def by_status(routed: DataFrame, statuses: Sequence[str]) -> DataFrame:
-    return routed.where(F.col("status").isin(*statuses))

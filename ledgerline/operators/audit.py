@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.operators.positions import with_rank
+
 STEP_COLUMNS = (
     "step_name", "status", "started_at", "finished_at", "duration_ms", "error_summary", "metrics",
 )
@@ -53,11 +55,13 @@ def run_step_rows(runs: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def run_bundles(runs: DataFrame, steps: DataFrame, steps_per_row: int = 10_000) -> DataFrame:
-    """Each run with its steps in order, nested. A run with very many steps takes several rows,
-    numbered by ``chunk``, so that no group is collected without a bound."""
+    """Each run with its steps in order, nested. A run takes a row for each ``steps_per_row`` of its
+    steps, counted within the run and numbered by ``chunk``, so that no group is collected without
+    a bound."""
+    steps = with_rank(steps, "step_position", "step_rank", ["run_id"])
     entry = F.struct("step_position", *STEP_COLUMNS)
     chunks = steps.groupBy(
-        "run_id", F.floor(F.col("step_position") / steps_per_row).alias("chunk")
+        "run_id", F.floor(F.col("step_rank") / steps_per_row).alias("chunk")
     ).agg(F.array_sort(F.collect_list(entry)).alias("steps"))
     run = runs.select("run_id", F.struct(*runs.columns).alias("run"))
     return run.join(chunks, "run_id", "left").select(

@@ -258,10 +258,11 @@ def with_parts(messages: DataFrame, json: str = "json") -> DataFrame:
 
 
 def extract_parts(with_parts_df: DataFrame, keep: tuple[str, ...] = ("message_id",)) -> DataFrame:
-    """One row per part, in reading order by ``part_position``; ``part_path`` like 000.001."""
+    """One row per part, in reading order by ``part_position``; ``part_path`` like 000.001, longer where a number needs it."""
     rows = with_parts_df.select(*keep, F.posexplode("parts").alias("part_position", "part"))
     path = F.array_join(
-        F.transform("part.path", lambda i: F.lpad(i.cast("string"), 3, "0")), "."
+        F.transform("part.path", lambda i: F.lpad(i.cast("string"), F.greatest(F.length(i.cast("string")), F.lit(3)), F.lit("0"))),
+        ".",
     )
     return rows.select(*keep, "part_position", path.alias("part_path"), "part.*").drop("path")
 

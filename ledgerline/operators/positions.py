@@ -7,46 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A block is 2**20 neighbouring positions, a super block 2**20 neighbouring blocks.
+# A block is 2**20 neighbouring positions, unless the caller knows them to be sparse.
 BLOCK_BITS = 20
 
 
-def with_rank(
-    df: DataFrame, position: str, name: str = "rank", groups: Sequence[str] = ()
+def with_sum_before(
+    df: DataFrame, position: str, weight: Column, name: str, groups: Sequence[str] = (),
+    bits: int = BLOCK_BITS,
 ) -> DataFrame:
-    """Add the dense 0-based rank of ``position`` (a unique, non-negative long) within ``groups``.
+    """Add the sum of ``weight`` over the rows of ``groups`` with a smaller ``position`` (a long).
 
-    A window over a whole group would sort it in one task. Here a task sorts one block, of at most
-    2**20 rows because positions are unique; the rows before a block are a sum over counts per
-    block and per super block. Each of these windows is also bounded: 2**20 blocks in a super
-    block, 2**23 super blocks in all.
+    A window over a whole group would sort it in one task. Here a task sorts one block of 2**bits
+    neighbouring positions; what comes before a block is a running sum over one narrow row per
+    block. Sparse positions, such as a row number with some bits for what is inside the row, take
+    larger blocks. Of equal positions one counts as the smaller.
     """
     groups = list(groups)
-    block = F.shiftright(F.col(position), BLOCK_BITS).alias("block")
-    counts = df.groupBy(*groups, block).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("super", F.shiftright("block", BLOCK_BITS))
-
-    def before(keys: Sequence[str], order: str) -> Column:
-        window = Window.partitionBy(*keys).orderBy(order)
-        return F.coalesce(
-            F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        )
-
-    by_super = counts.groupBy(*groups, "super").agg(F.sum("n").alias("n"))
-    supers = by_super.select(*groups, "super", before(groups, "super").alias("before_super"))
-    blocks = counts.select(
-        *groups, "super", "block", before([*groups, "super"], "block").alias("before_block")
-    )
-    offsets = _join(blocks, supers, [*groups, "super"]).select(
-        *groups, "block", (F.col("before_block") + F.col("before_super")).alias("before")
-    )
-    inside = F.row_number().over(Window.partitionBy(*groups, "block").orderBy(position))
-    ranked = df.select("*", block).withColumn("inside", inside)
-    return _join(ranked, offsets, [*groups, "block"]).select(
-        *df.columns, (F.col("before") + F.col("inside") - 1).alias(name)
+    rows = df.select("*", F.shiftright(position, bits).alias("block"), weight.alias("weight"))
+    sums = rows.groupBy(*groups, "block").agg(F.sum("weight").alias("n"))
+    earlier = Window.partitionBy(*groups).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*groups, "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*groups, "block").orderBy(position)
+    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("weight").over(inside), F.lit(0)))
+    return _join(rows, sums, [*groups, "block"]).select(
+        *df.columns, (F.col("before") + F.col("inside")).alias(name)
     )
 
 
+def with_rank(
+    df: DataFrame, position: str, name: str = "rank", groups: Sequence[str] = (),
+    bits: int = BLOCK_BITS,
+) -> DataFrame:
+    """Add the dense 0-based rank of ``position`` (a long) within ``groups``, block by block. The
+    input is read for one count per block, and once more for its rows."""
+    return with_sum_before(df, position, F.lit(1), name, groups, bits)
+
+
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join that treats NULL keys as equal."""
     right = right.select(*[F.col(c).alias(f"r_{c}") if c in keys else F.col(c) for c in right.columns])

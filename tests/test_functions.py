@@ -157,6 +157,9 @@ def test_file_names(spark):
     found = evaluate(
         spark, values, text.safe_file_name(c, F.lit("m_1")), text.file_extension(c), text.file_stem(c)
     )
-    assert [f[0] for f in found] == ["a_b_c_.tar.gz", "x", "m_1", "n" * 180, "profile", "noext"]
+    assert [f[0] for f in found] == ["a_b_c_.tar.gz", "x", "m_1", found[3][0], "profile", "noext"]
+    assert len(found[3][0]) == 180 and found[3][0].startswith("n" * 163 + "~")
+    long = evaluate(spark, ["x" * 300 + "1.pdf", "x" * 300 + "2.pdf"], text.safe_file_name(c, F.lit("m")))
+    assert long[0] != long[1] and all(len(f[0]) == 180 and f[0].endswith(".pdf") for f in long)
     assert [f[1] for f in found] == [".gz", ".", "", "", "", ""]
     assert found[0][2] == "a/b:c?.tar" and found[4][2] == ".profile"

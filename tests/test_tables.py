@@ -1,4 +1,5 @@
 import json
+import hashlib
 import random
 
 import pytest
@@ -63,13 +64,16 @@ def test_upsert_with_hot_and_repeated_ids(spark, partitions):
 
 
 def brute_names(rows):
-    taken, out = set(), {}
+    asked, taken, out = {(folder, name) for _, folder, name in rows}, set(), {}
     for position, folder, name in sorted(rows):
         dot = name.rfind(".")
         stem, suffix = (name[:dot], name[dot:]) if 0 < dot < len(name) - 1 else (name, "")
-        tries = [name] + [f"{stem}-{n}{suffix}" for n in range(1, 1000)]
-        out[position] = next((t for t in tries if (folder, t) not in taken), None)
-        taken.add((folder, out[position]))
+        stored, n = name, 0
+        while (folder, stored) in taken or n and (folder, stored) in asked:
+            n += 1
+            stored = f"{stem}-{n}{suffix}"
+        out[position] = stored
+        taken.add((folder, stored))
     return out
 
 
@@ -82,7 +86,28 @@ def test_names_are_given_out_in_turn(spark, seed):
     df = spark.createDataFrame(rows, "position long, folder string, safe_name string").repartition(5)
     found = {r["position"]: r["stored_name"] for r in attachments.allocate_names(df).collect()}
     assert found == brute_names(rows)
-    assert sum(v is None for v in found.values()) == 100
+    folders = {position: folder for position, folder, _ in rows}
+    assert len({(folders[p], name) for p, name in found.items()}) == len(rows)
+
+
+@pytest.mark.parametrize("bits", [0, 3, 20])
+def test_sums_and_names_do_not_depend_on_blocks(spark, bits):
+    rng = random.Random(bits)
+    rows = [(i, "x", rng.choice(["a", "a-1", "a-3", "a-2", "b.c"])) for i in rng.sample(range(-50, 300), 200)]
+    df = spark.createDataFrame(rows, "position long, folder string, safe_name string")
+    assert {r[0]: r["stored_name"] for r in attachments.allocate_names(df, bits).collect()} == brute_names(rows)
+    ranks = positions.with_rank(df, "position", "r", bits=bits).orderBy("position").collect()
+    assert [r["r"] for r in ranks] == list(range(200))
+
+
+def test_bytes_take_no_part_in_shuffles(spark):
+    blobs = spark.createDataFrame([("m", "A", "YWJj", 2), ("m", "A", "eHl6", 1), ("m", "B", "!", 1)], "message_id string, attachment_id string, data string, came int")
+    listed = spark.createDataFrame([("m", "A"), ("m", "B"), ("m", "C")], "message_id string, attachment_id string")
+    found = attachments.with_facts(listed, blobs, "came")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join"):]
+    assert "Aggregate" in joined and "content" not in joined[: joined.index("Aggregate")]
+    assert {(r["attachment_id"], r["size"], r["sha256"]) for r in found.collect()} == {("A", 3, hashlib.sha256(b"xyz").hexdigest()), ("B", None, None), ("C", None, None)}
 
 
 def test_policy(spark):
