@@ -2,18 +2,21 @@
 
 Under each permutation of the shingles both the smallest and the largest value are kept, which gives two
 signature values for one evaluation of a hash. Documents with the same set are one class from the start. Within
-a band only links to one member, the hub, are tried first; what these links leave apart is then compared pair
-by pair, so that a large group of copies costs a few pairs for each member, and no link that would join two
-components is lost.
+a band only links to one member, the hub, are tried first; what these links leave apart is then compared with
+the other components of its bands, where bitmaps of the sets rule out nearly all pairs that are no links. So a
+large group of copies costs a few pairs for each member, and no link that would join two components is lost.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.batches import bodies, id_and_text, map_slices
@@ -22,7 +25,8 @@ from ledgerline.session import fresh_path, write_and_read
 
 PERMUTATIONS = 64
 BAND_VALUES = 4
-HUB_ROUNDS = 2
+BITMAP_LONGS = 16
+HUB_ROUNDS = 3
 KEPT_WORDS = 500_000
 _SEED = 20240229
 
@@ -91,14 +95,22 @@ def band_keys(signature: np.ndarray, values: int) -> np.ndarray:
     return keys
 
 
+def bitmap(shingles: np.ndarray, longs: int = BITMAP_LONGS) -> np.ndarray:
+    """Bits that each shingle flips, by its hash: where two bitmaps differ, so do the sets, so the number of
+    differing bits is never more than that of shingles which only one of two sets has."""
+    flips = np.bincount(shingles & np.uint64(64 * longs - 1), minlength=64 * longs) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def features(docs: DataFrame, width: int, permutations: int, values: int) -> DataFrame:
-    """Of ``id`` and ``body``: ``id``, ``n_shingles``, ``s1`` and ``s2`` (128 bits of the set, null if empty), ``bands``."""
+    """Of ``id`` and ``body``: ``id``, ``n_shingles``, ``s1`` and ``s2`` (128 bits of the set, null if empty), ``bands``, ``bits``."""
     keys = permutation_keys(permutations)
 
     def run(batch: pa.RecordBatch) -> dict:
         sets = [shingle_set(body, width) for body in bodies(batch)]
         full = [i for i, one in enumerate(sets) if len(one)]
         bands: list[np.ndarray | None] = [None] * len(sets)
+        bits = [bitmap(one) if len(one) else None for one in sets]
         digests: list[bytes | None] = [None] * len(sets)
         at = 0
         while at < len(full):
@@ -118,9 +130,10 @@ def features(docs: DataFrame, width: int, permutations: int, values: int) -> Dat
             "s1": pa.array([h and h[0] for h in halves], pa.int64()),
             "s2": pa.array([h and h[1] for h in halves], pa.int64()),
             "bands": pa.array(bands, pa.list_(pa.int64())),
+            "bits": pa.array(bits, pa.list_(pa.int64())),
         }
 
-    return map_slices(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, s1 long, s2 long, bands array<long>")
+    return map_slices(docs, run, f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, s1 long, s2 long, bands array<long>, bits array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -157,64 +170,94 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     classes = rows.where("id IS NOT NULL AND s1 IS NOT NULL").groupBy("s1", "s2").agg(F.min("id").alias("rep"))
     classes = write_and_read(classes, fresh_path(spark, "near-classes"))
     # A node is a class: the id of its first document, with the hash of the set in case that id has several texts.
-    whole = rows.join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"])
-    banded = whole.select("id", F.col("n_shingles").alias("n"), "s1", F.xxhash64("id", "s1").alias("h"), F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("h").alias("hub_h")).where("size > 1").drop("size")
+    nodes = rows.join(classes.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1"])
+    nodes = write_and_read(nodes.select("id", "s1", F.col("n_shingles").alias("n"), "bands", *(F.get("bits", F.lit(i)).alias(f"x{i}") for i in range(BITMAP_LONGS))), fresh_path(spark, "near-nodes"))
+    order = F.xxhash64("id", "s1")
+    banded = nodes.select("id", "s1", F.explode("bands").alias("band"))
+    buckets = banded.select("band", order.alias("h")).groupBy("band").agg(F.count("*").alias("size"), F.min("h").alias("hub_h")).where("size > 1").drop("size")
     members = write_and_read(banded.join(buckets, "band"), fresh_path(spark, "near-members"))
-    some = write_and_read(members.select("id", "s1").distinct(), fresh_path(spark, "near-nodes"))
-    sets = _sets(docs.join(some.select("id").distinct(), "id", "left_semi"), width)
-    sets = write_and_read(sets.join(some, ["id", "s1"], "left_semi").dropDuplicates(["id", "s1"]), fresh_path(spark, "near-sets"))
-
-    common = F.pandas_udf(_common, "long")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (``a``, ``a1``, ``na``, ``b``, ``b1``, ``nb``) that are links."""
-        left = sets.select(F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("shingles").alias("set_a"))
-        right = sets.select(F.col("id").alias("b"), F.col("s1").alias("b1"), F.col("shingles").alias("set_b"))
-        fit = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).distinct()
-        shared = fit.join(left, ["a", "a1"]).join(right, ["b", "b1"]).withColumn("common", common("set_a", "set_b"))
-        links = shared.where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
-        return write_and_read(links, fresh_path(spark, "near-links"))
-
+    signed = nodes.drop("bands")
     # Texts of one id, and of it as the first document of several classes, are one node to the links.
     same_id = rows.where("id IS NOT NULL AND s1 IS NOT NULL").join(classes, ["s1", "s2"]).where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     repeated = rows.where("s1 IS NOT NULL").groupBy("id").agg(F.count_distinct("s1", "s2").alias("texts")).where("texts > 1").select(F.col("id").alias("b"))
     links = write_and_read(same_id.join(repeated, "b", "left_semi"), fresh_path(spark, "near-same"))
-    hubs = members.where("h = hub_h").select("band", F.struct("id", "s1", "n").alias("hub"))
-    links = links.unionByName(confirmed(_with_hub(members.join(hubs, "band").where("h != hub_h"))))
+    confirm = _Confirmer(docs, width, percent)
+
+    hubs = members.where(order == F.col("hub_h")).select("band", F.struct("id", "s1").alias("hub"))
+    tried = members.where(order != F.col("hub_h")).join(hubs, "band").select("id", "s1", "hub").distinct()
+    hub_bits = signed.select(F.struct("id", "s1").alias("hub"), F.col("n").alias("m"), *(F.col(f"x{i}").alias(f"y{i}") for i in range(BITMAP_LONGS)))
+    tried = tried.join(signed, ["id", "s1"]).join(hub_bits, "hub").where(_may_link(percent))
+    links = links.unionByName(confirm(tried))
     found = components(links)
-    apart = _apart(members, found)
+    apart = _apart(members, signed, found)
     for _ in range(HUB_ROUNDS - 1):
         if apart.isEmpty():
             break
         # The node with most links in a bucket is the likeliest original of a group: the others are tried against it.
         degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-        ranked = apart.join(degrees, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-        hubs = ranked.groupBy("band").agg(F.max(F.struct("degree", "h", "id", "s1", "n", "component")).alias("hub"))
-        links = links.unionByName(confirmed(_with_hub(apart.join(hubs, "band").where("component != hub.component"))))
+        ranked = apart.select("band", "id", "s1", "component").join(degrees, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        best = ranked.groupBy("band").agg(F.max(F.struct("degree", order.alias("h"), "id", "s1", "component")).alias("best"))
+        best = best.select("band", "best.component", F.struct("best.id", "best.s1").alias("hub")).join(hub_bits, "hub").withColumnRenamed("component", "hub_component")
+        tried = apart.join(best, "band").where((F.col("component") != F.col("hub_component")) & _may_link(percent))
+        more = confirm(tried)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
         found = components(links)
-        apart = _apart(members, found)
-    one = apart.select("band", F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    two = apart.select("band", F.col("id").alias("b"), F.col("s1").alias("b1"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = one.join(two, "band").where(f"ca < cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").drop("band", "ca", "cb")
+        apart = _apart(members, signed, found)
     if not apart.isEmpty():
-        found = components(links.unionByName(confirmed(rest)))
-    labelled = rows.drop("bands").join(classes, ["s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "id"))
+        # What is still apart is compared with every other component of its buckets; the bitmaps leave few pairs.
+        other = apart.select("band", F.struct("id", "s1").alias("hub"), F.col("n").alias("m"), F.col("component").alias("hub_component"), *(F.col(f"x{i}").alias(f"y{i}") for i in range(BITMAP_LONGS)))
+        rest = apart.join(other, (apart["band"] == other["band"]) & (F.col("component") < F.col("hub_component")) & _may_link(percent))
+        found = components(links.unionByName(confirm(rest)))
+    labelled = rows.drop("bands", "bits").join(classes, ["s1", "s2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     labelled = labelled.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
     return labelled.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 
 
-def _with_hub(members: DataFrame) -> DataFrame:
-    return members.select(F.col("id").alias("a"), F.col("s1").alias("a1"), F.col("n").alias("na"), F.col("hub.id").alias("b"), F.col("hub.s1").alias("b1"), F.col("hub.n").alias("nb"))
-
-
-def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that still hold more than one component, with their ``component``."""
-    placed = members.select("band", "id", "s1", "n", "h").join(found.withColumnRenamed("node", "id"), "id", "left")
+def _may_link(percent: int) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles can be alike enough, by their sizes and bitmaps; never wrongly false."""
+    differ = reduce(add, (F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(BITMAP_LONGS)))
+    both = F.col("n") + F.col("m")
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    return sizes & ((100 + percent) * (both - differ) >= 2 * percent * both)
+
+
+class _Confirmer:
+    """Tells which pairs (``id``, ``s1``, ``n``; ``hub``, ``m``) are links, on the full sets of the documents in them."""
+
+    def __init__(self, docs: DataFrame, width: int, percent: int):
+        self.docs, self.width, self.percent = docs, width, percent
+        self.sets: DataFrame | None = None
+
+    def _more_sets(self, pairs: DataFrame) -> DataFrame:
+        need = pairs.select("id", "s1").union(pairs.select("hub.id", "hub.s1")).distinct()
+        if self.sets is not None:
+            need = need.join(self.sets, ["id", "s1"], "left_anti")
+        need = write_and_read(need, fresh_path(self.docs.sparkSession, "near-needed"))
+        found = _sets(self.docs.join(need.select("id").distinct(), "id", "left_semi"), self.width)
+        found = found.join(need, ["id", "s1"], "left_semi").dropDuplicates(["id", "s1"])
+        found = write_and_read(found, fresh_path(self.docs.sparkSession, "near-sets"))
+        self.sets = found if self.sets is None else self.sets.unionByName(found)
+        return self.sets
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        spark = self.docs.sparkSession
+        pairs = write_and_read(pairs.select("id", "s1", "n", "hub", "m").distinct(), fresh_path(spark, "near-pairs"))
+        sets = self._more_sets(pairs)
+        right = sets.select(F.struct("id", "s1").alias("hub"), F.col("shingles").alias("hub_shingles"))
+        shared = pairs.join(sets, ["id", "s1"]).join(right, "hub").withColumn("common", F.pandas_udf(_common, "long")("shingles", "hub_shingles"))
+        links = shared.where(100 * F.col("common") >= self.percent * (F.col("n") + F.col("m") - F.col("common")))
+        return write_and_read(links.select(F.col("id").alias("a"), F.col("hub.id").alias("b")), fresh_path(spark, "near-links"))
+
+
+def _apart(members: DataFrame, signed: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that still hold more than one component, with sizes, bitmaps and ``component``."""
+    placed = members.select("band", "id", "s1").join(found.withColumnRenamed("node", "id"), "id", "left")
     placed = placed.withColumn("component", F.coalesce("component", "id"))
     several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band")
-    return write_and_read(placed.join(several, "band", "left_semi"), fresh_path(members.sparkSession, "near-apart"))
+    return write_and_read(placed.join(several, "band", "left_semi").join(signed, ["id", "s1"]), fresh_path(members.sparkSession, "near-apart"))
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
