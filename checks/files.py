@@ -154,7 +154,7 @@ ORACLES = {
         SELECT position, l_returnflag, row_number() OVER (ORDER BY position) - 1 AS rank,
                row_number() OVER (PARTITION BY l_returnflag ORDER BY position) - 1 AS flag_rank FROM lines""",
     "stream_intake": f"""WITH {mail_checks.PARSED_ITEMS_SQL},
-        latest AS (SELECT arg_max(p, row_idx) AS n FROM parsed p WHERE message_id <> '' GROUP BY message_id)
+        latest AS (SELECT arg_max(p, CAST(internal_date AS BIGINT)) AS n FROM parsed p WHERE message_id <> '' GROUP BY message_id)
         SELECT n.message_id AS message_id, n.thread_id AS thread_id, n.subject AS subject,
           coalesce(n.customer_name, '') AS name, coalesce(n.reference_id, '') AS invoice_or_order_id,
           CASE WHEN n.confidence = 0 THEN '' ELSE CAST(n.confidence AS VARCHAR) END AS confidence, 'NEW' AS status

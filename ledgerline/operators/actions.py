@@ -24,16 +24,14 @@ def action_items(items: DataFrame, row: str = "row_idx") -> DataFrame:
 
 def first_items(items: DataFrame, row: str = "row_idx") -> DataFrame:
     """One item per message id, the first one; its error codes are those of the last one."""
-    facts = F.struct("parse_ok", "error_count", "confidence")
     codes = F.col("error_codes") if "error_codes" in items.columns else F.lit(None).cast("array<string>")
-    return (
-        items.groupBy(F.coalesce("message_id", F.lit("")).alias("message_id"))
-        .agg(
-            F.min(row).alias(row),
-            F.min_by(facts, F.col(row)).alias("first"),
-            F.max_by(codes, F.col(row)).alias("error_codes"),
-        )
-        .select(row, "message_id", "first.*", "error_codes")
+    key = F.coalesce("message_id", F.lit(""))
+    ends = items.groupBy(key.alias("message_id")).agg(F.min(row).alias("at"), F.max(row).alias("end"))
+    first = items.select(F.col(row).alias("at"), "parse_ok", "error_count", "confidence")
+    last = items.select(F.col(row).alias("end"), codes.alias("error_codes"))
+    # Positions are unique, so a message id that comes very often makes no task larger.
+    return ends.join(first, "at").join(last, "end").select(
+        F.col("at").alias(row), "message_id", "parse_ok", "error_count", "confidence", "error_codes"
     )
 
 

@@ -26,24 +26,25 @@ def dedupe(df: DataFrame, rule: Dedupe, order: str = "row_idx") -> DataFrame:
     """One row per key. ``first`` keeps the first row; ``last`` keeps the last content at the
     position of the first. Rows with a blank key part are all kept.
 
-    The winner is found by an aggregate, so copies collapse before the shuffle and a key that
-    holds much of the table leaves at most one row per input partition. Rows with a blank key get
-    their own position as an extra key, which spreads them evenly.
+    The winners are found on keys and positions alone, by a hash aggregate that collapses copies
+    before its shuffle; a key that holds much of the table leaves at most one row per input
+    partition. The rows then meet the winners by position, which is unique. Rows with a blank key
+    need no partner and pass all this by.
     """
     if not rule.keys:
         return df
     missing = [k for k in rule.keys if k not in df.columns]
     if missing:  # a key that no row has is blank in every row
         return df
-    alone = F.when(any_blank(df, rule.keys), F.col(order))
-    pick = F.min_by if rule.keep == "first" else F.max_by
-    content = F.struct(*[c for c in df.columns if c != order])
-    keys = [F.col(k).alias(f"key_{i}") for i, k in enumerate(rule.keys)]
-    return (
-        df.groupBy(*keys, alone.alias("alone"))
-        .agg(F.min(order).alias(order), pick(content, F.col(order)).alias("kept"))
-        .select(*[F.col(c) if c == order else F.col("kept")[c].alias(c) for c in df.columns])
+    alone = any_blank(df, rule.keys)
+    keyed = df.where(~alone)
+    pick = F.min if rule.keep == "first" else F.max
+    winners = keyed.groupBy(*[F.col(k).alias(f"key_{i}") for i, k in enumerate(rule.keys)]).agg(
+        pick(order).alias("winner"), F.min(order).alias("place")
     )
+    kept = keyed.join(winners.select("winner", "place"), F.col(order) == F.col("winner"))
+    kept = kept.select(*[F.col("place").alias(c) if c == order else F.col(c) for c in df.columns])
+    return kept.unionByName(df.where(alone))
 
 
 def removed_count(df: DataFrame, rule: Dedupe, where: Column | None = None) -> Column:

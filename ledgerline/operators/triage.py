@@ -56,10 +56,12 @@ def triage_cells(
     mailbox_index: int = 0,
     anchor: str = "inbox",
     row: str = "row_idx",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Intake items as the texts that go into a triage table. Missing values are empty texts."""
+    """Intake items as the texts that go into a triage table. Missing values are empty texts. The
+    columns in ``keep`` are passed on."""
     fields = with_aliases(F.col("parsed"))
-    df = items.select(row, "message_id", "thread_id", "date", "from", "subject",
+    df = items.select(row, *keep, "message_id", "thread_id", "date", "from", "subject",
                       "parser_confidence", fields.alias("fields"))
     score = F.col("parser_confidence")
     key = strip(F.coalesce("message_id", F.lit("")))
@@ -75,7 +77,7 @@ def triage_cells(
         "updated_at": F.lit(updated_at),
     }
     return df.select(
-        row, *[F.coalesce(cells[c].cast("string"), F.lit("")).alias(c) for c in MANAGED]
+        row, *keep, *[F.coalesce(cells[c].cast("string"), F.lit("")).alias(c) for c in MANAGED]
     )
 
 
@@ -85,27 +87,30 @@ def upsert(
     default_status: str = "NEW",
     preserve_status: bool = True,
     row: str = "row_idx",
+    order: Sequence[str] = (),
+    managed: Sequence[str] = MANAGED,
+    own_positions: bool = False,
 ) -> DataFrame:
     """Merge new cells into a triage table by ``message_id``; a new version is returned.
 
     * Managed columns are overwritten, user columns kept, and so is a status that is not blank.
     * If the table holds an id more than once, its first row is updated.
-    * If an id comes more than once, its last cells count, at the place of the first.
-    * New messages follow the existing rows in the order in which they came.
-
-    Ids are matched on a narrow, pre-aggregated list. The wide rows are then joined on their row
-    position, which is unique, so an id that fills much of the table makes no task larger.
+    * If an id comes more than once, its last cells count, at the place of the first. The last ones
+      are those with the largest ``order`` columns, and of equal ones with the largest position.
+    * New messages follow the existing rows in the order in which they came. With ``own_positions``
+      the positions of the cells are beyond those of the table already, and are used as they are.
+
+    Winners are found and ids matched on narrow rows: keys and positions. The wide rows are then
+    joined on their row position, which is unique, so an id that fills much of the table makes no
+    task larger.
     """
-    table = ensure_columns(existing, row=row)
-    users = [c for c in table.columns if c not in TRIAGE_COLUMNS and c != row]
+    table = ensure_columns(existing, [*TRIAGE_COLUMNS, *(c for c in managed if c not in TRIAGE_COLUMNS)], row)
+    users = [c for c in table.columns if c not in managed and c not in TRIAGE_COLUMNS and c != row]
 
-    incoming = (
-        cells.where(strip(F.col("message_id")) != "")
-        .groupBy(strip(F.col("message_id")).alias("key"))
-        .agg(
-            F.min(row).alias("came_at"),
-            F.max_by(F.struct(*MANAGED), F.col(row)).alias("new"),
-        )
+    key = strip(F.col("message_id"))
+    last = F.max(F.struct(*order, row))[row] if order else F.max(row)
+    incoming = cells.where(key != "").groupBy(key.alias("key")).agg(
+        F.min(row).alias("came_at"), last.alias("last")
     )
     known = (
         table.where(strip(F.col("message_id")) != "")
@@ -114,16 +119,18 @@ def upsert(
     )
     # A message without a row gets a negative position of its own, which matches none.
     placed = incoming.join(known, "key", "left").select(
-        F.coalesce("at", -1 - F.col("came_at")).alias("at"), "came_at", "new"
+        F.coalesce("at", -1 - F.col("came_at")).alias("at"), "came_at", "last"
     )
-    after = F.coalesce(table.agg(F.max(row)).scalar(), F.lit(-1)) + 1
+    wide = cells.select(F.col(row).alias("last"), F.struct(*managed).alias("new"))
+    placed = placed.join(wide, "last").drop("last")
+    after = F.lit(0) if own_positions else F.coalesce(table.agg(F.max(row)).scalar(), F.lit(-1)) + 1
     merged = table.join(placed, table[row] == placed["at"], "full_outer")
 
     is_hit = F.col("new").isNotNull()
     kept = F.lit(default_status)
     if preserve_status:
         kept = F.when(strip(F.col("status")) != "", F.col("status")).otherwise(default_status)
-    values = {c: F.when(is_hit, F.col("new")[c]).otherwise(F.col(c)) for c in MANAGED}
+    values = {c: F.when(is_hit, F.col("new")[c].cast("string")).otherwise(F.col(c)) for c in managed}
     values["status"] = F.when(is_hit, kept).otherwise(F.col("status"))
     values.update({c: F.coalesce(F.col(c), F.lit("")) for c in users})
     return merged.select(

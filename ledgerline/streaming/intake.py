@@ -1,9 +1,14 @@
 """Message files that keep arriving are parsed once each and merged into the triage table.
 
-A micro-batch is stored as one partition of a log (``cells/batch_id=N``), so that a repeated batch
-replaces itself. Every ``merge_every`` batches the log is merged into a new version of the table
-(``triage/version=N``); in between, readers merge the few open batches when they read. The wide
-table is thus not rewritten for each batch, and no path is read and written at the same time.
+A micro-batch is stored under its own number (``log/batch_id=N``), so that a repeated batch replaces
+itself. When ``merge_every`` batches are open they are merged into a new version of the table
+(``triage/version=N``, N being the last batch in it); in between, readers merge the few open batches
+when they read. The wide table is thus not rewritten for each batch, and no path is read and written
+at the same time. What is stored is found by listing the folders.
+
+Which cells of a message are the latest is a matter of the messages, not of their arrival: those with
+the latest date by the mail server count, and of equal ones those with the larger hash. So files may
+come in any order and in any batches.
 """
 
 from __future__ import annotations
@@ -15,66 +20,92 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerline.operators.decode import decode_bodies, with_headers, with_parts
 from ledgerline.operators.extract import intake_items
 from ledgerline.operators.positions import number_rows, read_order
-from ledgerline.operators.triage import TRIAGE_COLUMNS, triage_cells, upsert
+from ledgerline.operators.triage import MANAGED, TRIAGE_COLUMNS, triage_cells, upsert
+
+
+ORDER = ("sent_at", "cells_hash")
+STORED = (*MANAGED, *ORDER)
+BATCH_BITS = 40  # positions of a batch begin at its number times 2**40
 
 
 class TriageStore:
-    def __init__(self, spark: SparkSession, root: str, merge_every: int = 1) -> None:
-        self.spark, self.root, self.merge_every = spark, root, max(1, merge_every)
+    """``keep_versions`` older versions stay, for readers that have begun with them, and so do the
+    batches after the oldest of them. Both settings may change from one start to the next."""
 
-    @property
-    def log_path(self) -> str:
-        return f"{self.root}/cells"
+    def __init__(
+        self, spark: SparkSession, root: str, merge_every: int = 16, keep_versions: int = 2
+    ) -> None:
+        self.spark, self.root = spark, root
+        self.merge_every, self.keep_versions = max(1, merge_every), max(1, keep_versions)
 
-    def version_path(self, batch_id: int) -> str:
-        return f"{self.root}/triage/version={batch_id}"
+    def batch_path(self, batch_id: int) -> str:
+        return f"{self.root}/log/batch_id={batch_id}"
 
-    def log(self, first: int, last: int) -> DataFrame:
-        return self.spark.read.parquet(self.log_path).where(
-            F.col("batch_id").between(first, last)
-        )
+    def version_path(self, version: int) -> str:
+        return f"{self.root}/triage/version={version}"
+
+    def _files(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _numbers(self, folder: str) -> list[int]:
+        """What is stored in a folder and complete, in order."""
+        files, path = self._files(f"{self.root}/{folder}")
+        found = [f.getPath() for f in files.listStatus(path)] if files.exists(path) else []
+        done = [p for p in found if files.exists(self._files(f"{p}/_SUCCESS")[1])]
+        return sorted(int(p.getName().rpartition("=")[2]) for p in done)
+
+    def batches(self) -> list[int]:
+        return self._numbers("log")
 
-    def last_batch(self) -> int:
-        found = self.spark.read.parquet(self.log_path).agg(F.max("batch_id").alias("b")).first()
-        return found["b"]
+    def versions(self) -> list[int]:
+        return self._numbers("triage")
 
-    def merged_through(self, batch_id: int) -> int:
-        """The last batch that is part of a stored version, -1 for none."""
-        return (batch_id + 1) // self.merge_every * self.merge_every - 1
+    def _remove(self, path: str) -> None:
+        files, target = self._files(path)
+        files.delete(target, True)
 
-    def _table(self, version: int) -> DataFrame:
-        if version < 0:
-            columns = ", ".join(f"`{c}` string" for c in TRIAGE_COLUMNS)
+    def _log(self, batches: list[int]) -> DataFrame:
+        return self.spark.read.parquet(*[self.batch_path(b) for b in batches])
+
+    def _table(self, version: int | None) -> DataFrame:
+        if version is None:
+            columns = ", ".join(f"`{c}` string" for c in (*TRIAGE_COLUMNS, *ORDER))
             return self.spark.createDataFrame([], f"row_idx long, {columns}")
         return self.spark.read.parquet(self.version_path(version))
 
-    def add(self, cells: DataFrame, batch_id: int) -> None:
-        (
-            cells.withColumn("batch_id", F.lit(batch_id).cast("long"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(self.log_path)
+    def _merged(self, version: int | None, batches: list[int]) -> DataFrame:
+        """A version with later batches. Its own cells compete too, so late news of old mail lose."""
+        table, news = self._table(version), self._log(batches)
+        own = table.where(F.col("sent_at") != "").select(
+            "row_idx", *MANAGED, *[F.col(c).cast("long").alias(c) for c in ORDER]
         )
-        if self.merged_through(batch_id) == batch_id:
-            base = self._table(batch_id - self.merge_every)
-            news = self.log(batch_id - self.merge_every + 1, batch_id)
-            upsert(base, news).write.mode("overwrite").parquet(self.version_path(batch_id))
+        return upsert(table, news.unionByName(own), order=ORDER, managed=STORED, own_positions=True)
+
+    def add(self, cells: DataFrame, batch_id: int) -> None:
+        """Store the cells of a batch, with ORDER and positions of its own; it may be empty."""
+        cells.write.mode("overwrite").parquet(self.batch_path(batch_id))
+        earlier = [v for v in self.versions() if v < batch_id]
+        base = earlier[-1] if earlier else None
+        news = [b for b in self.batches() if b <= batch_id and (base is None or b > base)]
+        if len(news) < self.merge_every:
+            return
+        merged = self._merged(base, news)
+        merged.write.mode("overwrite").parquet(self.version_path(batch_id))
+        for version in earlier[: -self.keep_versions]:
+            self._remove(self.version_path(version))
+        if len(earlier) >= self.keep_versions:
+            for batch in self.batches():
+                if batch <= earlier[-self.keep_versions]:
+                    self._remove(self.batch_path(batch))
 
     def current(self) -> DataFrame:
         """The table as of the last stored batch."""
-        last = self.last_batch()
-        version = self.merged_through(last)
-        table = self._table(version)
-        return table if version == last else upsert(table, self.log(version + 1, last))
-
-
-def _next_position(store: TriageStore, batch_id: int):
-    """The position after all rows of the earlier batches; asked of the log, not of the source."""
-    if batch_id == 0:
-        return F.lit(0)
-    last = store.log(0, batch_id - 1).agg(F.max("row_idx")).scalar()
-    return F.coalesce(last, F.lit(-1)) + 1
+        versions = self.versions()
+        version = versions[-1] if versions else None
+        news = [b for b in self.batches() if version is None or b > version]
+        table = self._merged(version, news) if news else self._table(version)
+        return table.drop(*ORDER)
 
 
 def start_intake(
@@ -97,10 +128,14 @@ def start_intake(
     lines = read_order(reader.text(source).withColumnRenamed("value", "json"))
 
     def take_in(batch: DataFrame, batch_id: int) -> None:
-        messages = number_rows(batch, start=_next_position(store, batch_id))
-        decoded = with_headers(decode_bodies(with_parts(messages)))
-        items = intake_items(decoded, keep=("row_idx",))
-        store.add(triage_cells(items, run_id, updated_at), batch_id)
+        messages = number_rows(batch, start=F.lit(batch_id << BATCH_BITS))
+        parsed = with_headers(decode_bodies(with_parts(messages)))
+        items = intake_items(parsed, keep=("row_idx",))
+        cells = triage_cells(items, run_id, updated_at, keep=("internal_date",))
+        facts = [c for c in MANAGED if c not in ("last_run_id", "updated_at")]
+        sent_at = F.coalesce(F.col("internal_date").try_cast("long"), F.lit(0))
+        order = [sent_at.alias("sent_at"), F.xxhash64(*facts).alias("cells_hash")]
+        store.add(cells.select("row_idx", *MANAGED, *order), batch_id)
 
     return (
         lines.writeStream.foreachBatch(take_in)
