@@ -52,6 +52,15 @@ def items_through_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     ).json(path)
 
 
+def table_overwritten(spark: SparkSession, folder: str) -> DataFrame:
+    """A table is written twice; the second time replaces the first."""
+    path = fresh_path(spark, "table")
+    orders = derived.read(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    writers.write_table(orders.unionByName(orders), path)
+    writers.write_table(orders, path)
+    return spark.read.parquet(path)
+
+
 def manifest_appended(spark: SparkSession, folder: str) -> DataFrame:
     """Two runs add to one manifest."""
     path = fresh_path(spark, "manifest")
@@ -122,7 +131,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sheet_through_csv, ragged_rows, messages_through_lines, items_through_jsonl,
-        manifest_appended, runs_kept_apart, output_catalog, dense_positions, stream_intake,
+        table_overwritten, manifest_appended, runs_kept_apart, output_catalog, dense_positions, stream_intake,
     )
 }
 
@@ -140,6 +149,7 @@ ORACLES = {
         SELECT row_idx, message_id, thread_id, subject FROM decoded""",
     "items_through_jsonl": f"""WITH {mail_checks.PARSED_ITEMS_SQL}
         SELECT message_id, subject, reference_id, confidence AS parser_confidence FROM parsed""",
+    "table_overwritten": "SELECT o_orderkey, o_orderstatus FROM orders",
     "manifest_appended": f"""WITH {triage.CONTENT_SQL}
         SELECT filename, status, 2 * count(*) AS rows, CAST(2 * sum(size) AS BIGINT) AS bytes
         FROM routed WHERE status <> 'ERROR' GROUP BY ALL""",

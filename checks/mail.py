@@ -79,7 +79,7 @@ def display_names_mail(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_contacts(spark: SparkSession, folder: str) -> DataFrame:
-    documents = derived.spread(derived.read(spark, folder, "documents"))
+    documents = derived.read(spark, folder, "documents")
     return documents.select(
         "doc_id",
         mailtext.first_email(F.col("text")).alias("email"),
@@ -88,7 +88,7 @@ def document_contacts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_amounts(spark: SparkSession, folder: str) -> DataFrame:
-    documents = derived.spread(derived.read(spark, folder, "documents"))
+    documents = derived.read(spark, folder, "documents")
     found = documents.select("doc_id", mailtext.money_match(F.col("text")).alias("m"), "text")
     money = mailtext.money_of_match(F.col("m"))
     return found.select(
@@ -98,20 +98,31 @@ def document_amounts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mask_document_emails(spark: SparkSession, folder: str) -> DataFrame:
-    documents = derived.spread(derived.read(spark, folder, "documents"))
+    documents = derived.read(spark, folder, "documents")
     return documents.select("doc_id", text.mask_emails(F.col("text")).alias("masked"))
 
 
 def mask_page_emails(spark: SparkSession, folder: str) -> DataFrame:
-    pages = derived.spread(derived.read(spark, folder, "pages"))
+    pages = derived.read(spark, folder, "pages")
     return pages.select("page_id", text.mask_emails(F.col("html")).alias("masked"))
 
 
 def normalize_documents(spark: SparkSession, folder: str) -> DataFrame:
-    documents = derived.spread(derived.read(spark, folder, "documents"))
+    documents = derived.read(spark, folder, "documents")
     return documents.select("doc_id", text.normalize_text(F.col("text")).alias("normalized"))
 
 
+# Letters and their full-width forms.
+PLAIN, WIDE = "abcdefghijklmnopqrstuvwxyz0123456789", "ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９"
+
+
+def compatible_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts in full-width letters, with a ligature, a superscript and a letter in two code points."""
+    documents = derived.read(spark, folder, "documents")
+    odd = F.concat(F.translate("text", PLAIN, WIDE), F.lit(" ﬁ² e\u0301 ①Ⅳ"))
+    return documents.select("doc_id", text.nfkc(odd).alias("text"))
+
+
 def decode_messages(spark: SparkSession, folder: str) -> DataFrame:
     return decoded_messages(spark, folder).select(
         "row_idx", "message_id", "thread_id", "chosen", "text", "text_plain", "text_html",
@@ -185,7 +196,7 @@ QUERIES = {
     for f in (
         label_values_mail, extract_fields_mail, extract_confidence_mail, field_aliases_mail,
         display_names_mail, document_contacts, document_amounts, mask_document_emails,
-        mask_page_emails, normalize_documents, decode_messages, message_parts, message_headers,
+        mask_page_emails, normalize_documents, compatible_letters, decode_messages, message_parts, message_headers,
         list_attachments, decode_counts, message_index, message_index_counts, intake_items,
         items_without_bodies, intake_previews, newest_messages,
     )
@@ -405,6 +416,7 @@ ORACLES = {
         SELECT row_idx, message_id, thread_id, internal_date, "from", "to", subject, "date", text AS body_text,
                chosen AS body_chosen, warnings AS decode_warnings, confidence AS parser_confidence,
                errors AS parser_errors FROM parsed""",
+    "compatible_letters": "SELECT doc_id, text || ' fi2 é 1IV' AS text FROM documents",
     "items_without_bodies": f"""WITH {PARSED_ITEMS_SQL}
         SELECT message_id, subject, "from" AS from_addr, confidence AS parser_confidence, reference_id,
                errors AS parser_errors FROM parsed""",

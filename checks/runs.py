@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerline import derived
 from ledgerline.operators import audit
+from ledgerline.session import fresh_path, write_and_read
+from ledgerline.sources import readers, writers
 
 
 def runs_and_steps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -32,14 +34,32 @@ def run_bundles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unmatched_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs are known from purchases only, steps from errors only."""
+    """Runs are known from the events of even value, steps from the others; all events take part."""
     steps = derived.steps(spark, folder)
-    return audit.unmatched_runs(
-        steps.where("step_name = 'purchase'"), steps.where("step_name = 'error'")
-    )
+    even = F.coalesce(F.col("duration_ms") % 2 == 0, F.lit(True))
+    return audit.unmatched_runs(steps.where(even), steps.where(~even))
+
+
+def runs_through_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs and steps are written as the files of a run, read back, and laid out step by step."""
+    runs, steps = runs_and_steps(spark, folder)
+    bundles = audit.run_bundles(runs, steps, steps_per_row=1 << 40)
+    entry = F.transform("steps", lambda s: s.dropFields("step_position").withField("metrics", F.try_parse_json(s["metrics"])))
+    path = fresh_path(spark, "runs")
+    uri = path if ":" in path else f"file://{path}"
+    texts = bundles.select("run_id", F.to_json("run").alias("run"), F.to_json(entry).alias("steps"))
+    write_and_read(writers.write_run_summaries(texts, uri), fresh_path(spark, "runs-written"))
+    return audit.run_step_rows(*readers.read_run_summaries(spark, path))
+
 
+def step_metrics_sorted(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics with nested objects whose keys come in no order."""
+    steps = derived.steps(spark, folder).withColumn("n", F.col("step_position").cast("string"))
+    nested = F.concat(F.lit('{"z":{"b":[1,{"y":"a, b: c","x":'), "n", F.lit('}],"a":null},"k":'), "n", F.lit(',"B":true}'))
+    return steps.select("step_position", audit.sorted_json(nested).alias("metrics"))
 
-QUERIES = {f.__name__: f for f in (run_status, run_step_audit, run_bundles, unmatched_runs)}
+
+QUERIES = {f.__name__: f for f in (run_status, run_step_audit, run_bundles, unmatched_runs, runs_through_files, step_metrics_sorted)}
 
 STEPS_SQL = f"steps AS ({derived.select_sql(derived.STEPS, 'events')})"
 RUNS_SQL = f"""{STEPS_SQL},
@@ -64,9 +84,18 @@ ORACLES = {
                string_agg(step_name, ',' ORDER BY step_position) AS step_names
         FROM runs r JOIN (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY step_position) - 1) // 5 AS chunk FROM steps) s
         USING (run_id) GROUP BY run_id, chunk""",
+    "runs_through_files": f"""WITH {RUNS_SQL}
+        SELECT run_id, 'intake' AS workflow, r.status AS run_status, r.started_at AS run_started_at,
+          r.finished_at AS run_finished_at, r.duration_ms AS run_duration_ms,
+          CAST(row_number() OVER (PARTITION BY run_id ORDER BY s.step_position) - 1 AS INTEGER) AS step_position, step_name,
+          s.status AS step_status, s.started_at AS step_started_at, s.finished_at AS step_finished_at,
+          s.duration_ms AS step_duration_ms, s.error_summary AS step_error_summary, coalesce(metrics, '') AS step_metrics
+        FROM runs r JOIN steps s USING (run_id)""",
+    "step_metrics_sorted": """SELECT event_id AS step_position, '{"B": true, "k": ' || event_id ||
+          ', "z": {"a": null, "b": [1, {"x": ' || event_id || ', "y": "a, b: c"}]}}' AS metrics FROM events""",
     "unmatched_runs": f"""WITH {STEPS_SQL},
-        a AS (SELECT DISTINCT run_id FROM steps WHERE step_name = 'purchase'),
-        b AS (SELECT DISTINCT run_id FROM steps WHERE step_name = 'error')
+        a AS (SELECT DISTINCT run_id FROM steps WHERE coalesce(duration_ms % 2 = 0, TRUE)),
+        b AS (SELECT DISTINCT run_id FROM steps WHERE NOT coalesce(duration_ms % 2 = 0, TRUE))
         SELECT run_id, 'steps' AS missing FROM a WHERE run_id NOT IN (SELECT run_id FROM b)
         UNION ALL SELECT run_id, 'run' FROM b WHERE run_id NOT IN (SELECT run_id FROM a)""",
 }

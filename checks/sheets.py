@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline import ColumnRule, Dedupe, Transforms
+from ledgerline import ColumnRule, Dedupe, Transforms, schema_from_config, transforms_from_config
 from ledgerline import derived
 from ledgerline.functions import coerce, text
 from ledgerline.operators import cleaning, dedupe, report
@@ -57,6 +57,32 @@ def validate_plain_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+RULES = {"schema": {
+    "id": {"type": "string", "required": True, "allow_blank": False},
+    "date": {"type": "date_iso", "required": True, "allow_blank": False},
+    "description": {"type": "string", "required": True, "allow_blank": False},
+    "amount": {"type": "number", "required": True, "allow_blank": False},
+    "category": {"type": "string"},
+    "paid": {"type": "bool", "allow_blank": False},
+    "status": {"type": "string"},
+}}
+CONFIG = {
+    "strings": {"collapse_spaces": True, "case": {"description": "title", "category": "lower"}},
+    "dates": {"formats": ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y"]},
+}
+
+
+def rules_from_config(spark: SparkSession, folder: str) -> DataFrame:
+    """The rules of the sheet come from a mapping, as a config file has them."""
+    sheet = derived.messy_sheet(spark, folder)
+    rows = cleaning.apply_transforms(sheet, schema_from_config(RULES), transforms_from_config(CONFIG))
+    return cleaning.validate(rows, schema_from_config(RULES)).select(
+        "row_idx", "clean.*",
+        F.array_join("t_reasons", "; ").alias("t_reasons"),
+        F.array_join("v_reasons", "; ").alias("v_reasons"),
+    )
+
+
 def valid_orders(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.valid_rows(annotated(spark, folder))
 
@@ -184,7 +210,7 @@ def coerce_cells_lineitem(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_validate_orders, transform_orders, validate_plain_orders, valid_orders,
+        clean_validate_orders, rules_from_config, transform_orders, validate_plain_orders, valid_orders,
         invalid_orders, mark_rows_orders, validation_counts_orders, dedupe_first_orders,
         dedupe_last_orders, dedupe_blank_keys_orders, dedupe_counts_orders, cleanup_report_orders,
         needs_review_orders, cleanup_summary_orders, first_invalid_orders, category_totals_orders,
@@ -268,6 +294,7 @@ _CLEAN_COLUMNS = """row_idx, s_id AS id, CASE WHEN v_reasons LIKE '%:date%' THEN
 
 ORACLES = {
     "clean_validate_orders": f"WITH {CELLS_SQL} SELECT {_CLEAN_COLUMNS}, t_reasons, v_reasons FROM cells",
+    "rules_from_config": f"WITH {CELLS_SQL} SELECT {_CLEAN_COLUMNS}, t_reasons, v_reasons FROM cells",
     "transform_orders": f"""WITH {CELLS_SQL}
         SELECT row_idx, s_id AS id, c_date AS "date", s_description AS description, p_amount AS amount,
                s_category AS category, paid, t_reasons FROM cells""",

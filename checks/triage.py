@@ -50,6 +50,13 @@ def triage_upsert(spark: SparkSession, folder: str) -> DataFrame:
     return merged(spark, folder)
 
 
+def triage_upsert_again(spark: SparkSession, folder: str) -> DataFrame:
+    """The same cells once more change nothing."""
+    once = write_and_read(merged(spark, folder), fresh_path(spark, "triage"))
+    cells = triage.triage_cells(items(spark, folder), RUN_ID, NOW)
+    return triage.upsert(once, cells)
+
+
 def triage_cells_mail(spark: SparkSession, folder: str) -> DataFrame:
     return triage.triage_cells(items(spark, folder), RUN_ID, NOW, mailbox_index=1, anchor="all")
 
@@ -247,7 +254,7 @@ def needs_review_alert(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        triage_upsert, triage_cells_mail, triage_columns_added, triage_sheet_rows, permalinks,
+        triage_upsert, triage_upsert_again, triage_cells_mail, triage_columns_added, triage_sheet_rows, permalinks,
         attachment_contents, attachment_stored, attachment_policy, attachment_names, attachment_names_contested,
         attachment_routing, attachment_routing_drive, attachment_manifest, attachment_summary,
         attachment_totals, attachment_raw_paths, distinct_messages, classify_actions, plan_counts,
@@ -420,3 +427,4 @@ ORACLES = {
           (SELECT count(*) FROM action_items WHERE error_count > 1) AS total_needs_review_count
         FROM plan HAVING count(*) FILTER (action = 'needs_review') > 0""",
 }
+ORACLES["triage_upsert_again"] = ORACLES["triage_upsert"]

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators.settle import settle
 
 _CENTS = "CAST(round(o_totalprice * 100) AS BIGINT)"
 _WHOLE = f"CAST(floor({_CENTS} / 100) AS BIGINT)"
@@ -99,24 +98,21 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a scan of few splits. A large input has enough and is not shuffled. Only for
-    plain scans: to count the partitions of a join, Spark would run it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def orders_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders dealt by their key: the rows derived from them are long, and the file is one split."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read(spark, folder, "orders").repartition(n, "o_orderkey")
 
 
 def messy_sheet(spark: SparkSession, folder: str) -> DataFrame:
-    orders = spread(read(spark, folder, "orders"))
-    rows = orders.select(*[F.expr(e).alias(n) for n, e in MESSY_SHEET.items()])
-    return settle(rows, "derived-sheet")
+    orders = orders_by_key(spark, folder)
+    return orders.select(*[F.expr(e).alias(n) for n, e in MESSY_SHEET.items()])
 
 
 def mail(spark: SparkSession, folder: str) -> DataFrame:
-    orders, customer = spread(read(spark, folder, "orders")), read(spark, folder, "customer")
+    orders, customer = orders_by_key(spark, folder), read(spark, folder, "customer")
     both = orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
-    # A stage of its own keeps the generated code of these long expressions out of the operators.
-    return settle(both.select(*[F.expr(e).alias(n) for n, e in MAIL.items()]), "derived-mail")
+    return both.select(*[F.expr(e).alias(n) for n, e in MAIL.items()])
 
 
 def _base64url(c: Column) -> Column:
@@ -221,7 +217,7 @@ def messages(mail_rows: DataFrame) -> DataFrame:
         F.lit('","internalDate":"'), F.col("internal_date"), F.lit('"'),
         F.coalesce(payload, F.lit("")), F.lit("}"),
     )
-    return settle(mail_rows.select("row_idx", json.alias("json")), "derived-messages")
+    return mail_rows.select("row_idx", json.alias("json"))
 
 
 def blobs(mail_rows: DataFrame) -> DataFrame:

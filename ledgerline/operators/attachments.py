@@ -30,11 +30,12 @@ def with_facts(attachments: DataFrame, blobs: DataFrame, order: str | None = Non
     """Add ``size`` and ``sha256`` of the bytes of attachments, NULL if there are none or they cannot
     be decoded. Both are worked out where the bytes are, and only they are joined.
 
-    Of repeated blobs the first by ``order`` counts, without it the one with the smallest hash.
+    ``blobs`` may be what `contents` gave, stored. Of repeated ones the first by ``order`` counts, without it the one with the smallest hash.
     """
     keys = ["message_id", "attachment_id"]
     first = F.struct(*([order] if order else []), F.col("sha256").isNull(), "sha256", "size")
-    facts = contents(blobs).groupBy(*keys).agg(F.min(first).alias("first"))
+    known = blobs if "sha256" in blobs.columns else contents(blobs)
+    facts = known.groupBy(*keys).agg(F.min(first).alias("first"))
     facts = facts.select(*keys, "first.size", "first.sha256")
     kept = [c for c in attachments.columns if c not in ("size", "sha256")]
     return attachments.select(*kept).join(facts, keys, "left").select(*kept, "size", "sha256")

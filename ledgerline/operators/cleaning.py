@@ -29,7 +29,6 @@ from ledgerline.functions.text import (
     normalize_string,
     strip,
 )
-from ledgerline.operators.settle import settle
 from ledgerline.rules import CASES, ColumnRule, Transforms
 
 ROW = "row_idx"
@@ -160,11 +159,10 @@ def validate(df: DataFrame, schema: Sequence[ColumnRule], row: str = ROW) -> Dat
     empty = {"string": F.lit(""), "number": F.lit(None).cast("double"),
              "bool": F.lit(None).cast("boolean"), "date_iso": F.lit(None).cast("string")}
     clean += [empty[r.type].alias(r.name) for r in absent]
-    annotated = df.select(
+    return df.select(
         ROW, "raw", "cells", "t_reasons",
         F.struct(*clean).alias("clean"), _present(reasons).alias("v_reasons"),
     )
-    return settle(annotated, "validation", valid=F.count_if(is_valid()))
 
 
 def is_valid() -> Column:

@@ -18,7 +18,6 @@ from ledgerline.functions.mime import (
     utf8_text,
 )
 from ledgerline.functions.text import is_blank, strip
-from ledgerline.operators.settle import settle
 
 
 def _text_at(v: Column, path: str) -> Column:
@@ -254,7 +253,7 @@ def with_parts(messages: DataFrame, json: str = "json") -> DataFrame:
         parts.alias("parts"),
         problems.alias("message_problems"),
     )
-    return settle(out, "messages")
+    return out
 
 
 def extract_parts(with_parts_df: DataFrame, keep: tuple[str, ...] = ("message_id",)) -> DataFrame:

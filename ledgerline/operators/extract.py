@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import mailtext
 from ledgerline.functions.text import blank_to_null, mask_emails, nfkc, tidy_lines
-from ledgerline.operators.settle import settle
 
 # The expected fields, in the order in which they are reported, with their columns.
 FIELDS = {
@@ -155,7 +154,7 @@ def parse_mail(
         )
     df = df.select(*df_cols, "parsed", F.array_compact(F.array(*errors)).alias("parse_errors"))
     df = df.select("*", confidence(F.col("parse_errors")).alias("confidence"))
-    return settle(df, "parsed")
+    return df
 
 
 def confidence(errors: Column) -> Column:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ledgerline.operators import actions, attachments, decode, extract, triage
 from ledgerline.rules import AttachmentPolicy, Labels
 from ledgerline.session import write_and_read
-from ledgerline.sources.writers import OutputCatalog, append_jsonl
+from ledgerline.sources.writers import OutputCatalog, read_back
+
+POSITION_BITS = 36  # a block of attachment positions has 2**20 messages
 
 
 @dataclass(frozen=True)
@@ -40,10 +42,14 @@ def collect(messages: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
 def run(
     messages: DataFrame, existing: DataFrame, options: IntakeOptions, out: str,
     blobs: DataFrame | None = None, failures: DataFrame | None = None,
-    labelled: DataFrame | None = None,
+    labelled: DataFrame | None = None, list_failures: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Write all outputs below ``out/<run_id>`` and return them as read back.
+    """Write all outputs below ``out/<run_id>`` and return them as read back. A rerun of a
+    ``run_id`` replaces its outputs.
 
+    ``list_failures`` (``message_id``, ``error``) are messages whose attachments could not be listed.
+    The bytes of attachments are stored once, where they are, with their hash, by which the
+    manifest finds them.
     ``existing`` is the triage table as it is; the new version goes to a path of its own.
     """
     base = f"{out}/{options.run_id}"
@@ -53,8 +59,8 @@ def run(
 
     def keep(name: str, kind: str, df: DataFrame) -> DataFrame:
         catalog.write(df, f"{name}_{kind}", kind, f"{base}/{name}")
-        written[name] = df
-        return df
+        written[name] = read_back(df, kind, f"{base}/{name}")
+        return written[name]
 
     keep("parsed_emails", "jsonl", extract.without_bodies(items))
     counts = items.withColumnRenamed("body_chosen", "chosen")
@@ -72,14 +78,15 @@ def run(
         placed = listed.withColumn(
             "position", F.shiftleft("row_idx", 16) + F.col("attachment_position")
         )
+        contents = write_and_read(attachments.contents(blobs), f"{base}/attachment_contents")
+        facts = attachments.with_facts(placed, contents)
         routed = write_and_read(
-            attachments.route(attachments.with_content(placed, blobs), options.policy),
-            f"{base}/attachments",
+            attachments.route(facts, options.policy, POSITION_BITS), f"{base}/attachments"
         )
-        append_jsonl(attachments.manifest(routed), f"{base}/attachment_manifest")
-        append_jsonl(attachments.attachment_summary(routed), f"{base}/attachment_summary")
-        written["attachments"] = routed
-        keep("attachment_totals", "jsonl", attachments.attachment_totals(routed))
+        written |= {"attachment_contents": contents, "attachments": routed}
+        keep("attachment_manifest", "jsonl", attachments.manifest(routed))
+        keep("attachment_summary", "jsonl", attachments.attachment_summary(routed, list_failures))
+        keep("attachment_totals", "jsonl", attachments.attachment_totals(routed, list_failures))
 
     acting = actions.action_items(items)
     plan = write_and_read(

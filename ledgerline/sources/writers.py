@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -32,6 +34,16 @@ def write_jsonl(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
     _sorted_keys(rows).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def read_back(df: DataFrame, kind: str, path: str) -> DataFrame:
+    """What was written for ``df`` as csv, jsonl or parquet, with its columns and types."""
+    reader = df.sparkSession.read.schema(df.schema)
+    if kind == "csv":
+        return reader.options(header=True, escape='"', enforceSchema=False, emptyValue="").csv(path)
+    if kind == "jsonl":
+        return reader.json(path)
+    return reader.parquet(path)
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", False).json(path)
 
@@ -47,6 +59,27 @@ def write_run_partition(df: DataFrame, path: str, run_id: str) -> None:
     )
 
 
+def write_run_summaries(bundles: DataFrame, path: str) -> DataFrame:
+    """Write each run as ``<run_id>/run.json`` and ``<run_id>/steps.json`` below ``path``, a URI that
+    all tasks reach, and return the runs written (``run_id``, ``steps``).
+
+    ``bundles`` has ``run_id``, ``run`` and ``steps`` as JSON texts, a row per run. The files of a
+    run are replaced by a rerun. To be written by the caller's action, once.
+    """
+
+    def write(batches):
+        files, place = pyarrow.fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for run_id, run, steps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                files.create_dir(f"{place}/{run_id}", recursive=True)
+                for name, text in (("run", run), ("steps", steps)):
+                    with files.open_output_stream(f"{place}/{run_id}/{name}.json") as out:
+                        out.write(text.encode())
+            yield pa.RecordBatch.from_pydict({"run_id": batch.column(0)})
+
+    return bundles.select("run_id", "run", "steps").mapInArrow(write, "run_id string")
+
+
 CATALOG_SCHEMA = (
     "run_id string, name string, type string, path string, created_at string, metadata string"
 )
@@ -71,6 +104,8 @@ class OutputCatalog:
         record = (
             self.run_id, name, kind, path, self.created_at, json.dumps(metadata, sort_keys=True)
         )
-        df.sparkSession.createDataFrame([record], CATALOG_SCHEMA).coalesce(1).write.mode(
-            "append"
-        ).partitionBy("run_id").parquet(self.path)
+        entry = df.sparkSession.createDataFrame([record], CATALOG_SCHEMA).coalesce(1)
+        # An entry has a partition of its own, which a rerun replaces.
+        entry.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "run_id", "name"
+        ).parquet(self.path)

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from ledgerline import ColumnRule, Dedupe, SchemaError, Transforms, schema_from_config
-from ledgerline.operators import cleaning, dedupe, report
+from ledgerline.operators import cleaning, dedupe, extract, report
 from ledgerline.plans import sheet_cleanup
 
 SHEET = [
@@ -133,7 +133,7 @@ def test_dedupe_with_a_hot_key(spark, keep, partitions):
 def test_copies_collapse_before_the_shuffle(spark):
     df = spark.range(10).selectExpr("id AS row_idx", "'k' AS id")
     plan = dedupe.dedupe(df, Dedupe(["id"]))._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min_by" in plan
+    assert "partial_min(row_idx" in plan and "SortAggregate" not in plan
 
 
 def test_plan_writes_and_replaces_outputs(spark, tmp_path):
@@ -145,5 +145,26 @@ def test_plan_writes_and_replaces_outputs(spark, tmp_path):
     review = spark.read.csv(f"{tmp_path}/r1/needs_review", header=True, escape='"')
     assert review.count() == 3
     outputs = spark.read.parquet(f"{tmp_path}/outputs").collect()
-    assert len(outputs) == 8
+    assert len(outputs) == 4
     assert {r["metadata"] for r in outputs if r["name"] == "needs_review_csv"} == {'{"rows": 3}'}
+
+
+def pushed_filters(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "PushedFilters" in line]
+
+
+def test_filters_reach_the_files(spark, tmp_path):
+    spark.createDataFrame(SHEET, COLUMNS).write.parquet(f"{tmp_path}/sheet")
+    sheet = spark.read.parquet(f"{tmp_path}/sheet")
+    annotated = cleaning.validate(cleaning.apply_transforms(sheet, SCHEMA, TRANSFORMS), SCHEMA)
+    assert all("LessThan(row_idx,3)" in line for line in pushed_filters(annotated.where("row_idx < 3")))
+    narrow = annotated.select("row_idx")
+    assert "ReadSchema: struct<row_idx:bigint>" in narrow._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_on_parsed_mail_reach_the_files(spark, tmp_path):
+    rows = [(i, "Amount: 5 USD", "s", "a@b.cc") for i in range(9)]
+    spark.createDataFrame(rows, "row_idx long, body string, subject string, `from` string").write.parquet(f"{tmp_path}/mail")
+    parsed = extract.parse_mail(spark.read.parquet(f"{tmp_path}/mail"), body="body").where("row_idx < 3")
+    assert pushed_filters(parsed) and all("LessThan(row_idx,3)" in line for line in pushed_filters(parsed))

@@ -173,3 +173,16 @@ def test_intake_plan_can_be_repeated(spark, tmp_path):
     assert first["attachment_totals"].first()["attachments_routed"] == 1
     assert first["needs_review_alert"].first()["new_needs_review_count"] == 2
     assert first["attachments"].first()["saved_path"] == "attachments/routed/a.pdf"
+
+    def contents(outputs):
+        return {name: sorted(map(repr, df.collect())) for name, df in outputs.items()}
+
+    before = contents(first)
+    assert contents(run("r1", existing)) == before
+    assert len(before["attachment_manifest"]) == 1 and "pdf" in before["attachment_contents"][0]
+    listed = spark.read.parquet(f"{tmp_path}/outputs").where("run_id = 'r1'")
+    assert listed.count() == listed.select("name").distinct().count() == 11
+    failed = spark.createDataFrame([("m2", "timeout")], "message_id string, error string")
+    options = mail_intake.IntakeOptions(Labels("ok", "review", "bad"), "r3", "now", policy=AttachmentPolicy())
+    third = mail_intake.run(df, existing, options, str(tmp_path), blobs, list_failures=failed)
+    assert third["attachment_totals"].first()["attachments_errors"] == 1
