@@ -204,6 +204,7 @@ QUERIES = {
 
 # ---- SQL ---------------------------------------------------------------------------------------
 
+# The patterns of addresses, phone numbers, amounts and references.
 EMAIL = r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})\b"
 PHONE = r"(?:^|[^\pL\pN_])(\+?\p{Nd}[\p{Nd}().\-\s]{7,}\p{Nd})(?:[^\pL\pN_]|$)"
 CODES = "USD|EUR|GBP|INR|AUD|CAD"

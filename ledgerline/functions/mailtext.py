@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -47,10 +48,6 @@ def label_values(text: Column, labels: Sequence[str]) -> Column:
     return F.filter(F.transform(found, strip), lambda v: v != "")
 
 
-def label_value(text: Column, labels: Sequence[str]) -> Column:
-    return F.get(label_values(text, labels), 0)
-
-
 def email_match(text: Column) -> Column:
     """The first address in lower case; empty or NULL for none."""
     return F.when(F.contains(text, F.lit("@")), F.lower(F.regexp_extract(text, EMAIL, 1)))
@@ -82,11 +79,23 @@ def money_match(text: Column) -> Column:
     return F.regexp_extract(text, MONEY, 0)
 
 
+_DIGITS = [
+    "".join(each)
+    for each in zip(
+        *[(c, str(unicodedata.decimal(c))) for c in map(chr, range(128, 0x110000))
+          if unicodedata.category(c) == "Nd"],
+        strict=True,
+    )
+]
+
+
 def money_of_match(match: Column) -> Column:
     """``struct<amount,currency,raw>`` of a match, NULL for none. The match is short, so taking
     it apart again costs little compared with one search of the text per group."""
     whole = rf"(?iU)^{MONEY_BODY}$"
-    amount = F.translate(F.regexp_extract(match, whole, 3), " ,", "").try_cast("double")
+    # Digits of all scripts count, as in the patterns.
+    number = F.translate(F.regexp_extract(match, whole, 3), *_DIGITS)
+    amount = F.translate(number, " ,", "").try_cast("double")
     symbol = F.regexp_extract(match, whole, 2)
     of_symbol = F.lit(None).cast("string")
     for sign, code in SYMBOLS.items():

@@ -54,6 +54,7 @@ def with_content(attachments: DataFrame, blobs: DataFrame) -> DataFrame:
 def policy_reason(policy: AttachmentPolicy, filename: Column, mime_type: Column, size: Column) -> Column:
     """``ok``, or why the policy does not allow the attachment. The size is checked first; then
     the type or the extension must be on its list, and an empty list allows everything."""
+    # The words of the reasons.
     mime = F.lower(strip(F.coalesce(mime_type, F.lit(""))))
     extension = file_extension(F.coalesce(filename, F.lit("")))
     blocked = F.concat(

@@ -140,6 +140,7 @@ def validate(df: DataFrame, schema: Sequence[ColumnRule], row: str = ROW) -> Dat
             cell = _cell(source, rule.name)
             blank = is_blank(cell) if isinstance(dtype, StringType) else cell.isNull()
             value = F.col(f"typed_{rule.name}")
+        # The reason codes.
         if rule.required:
             on_blank = F.lit(f"missing_required:{rule.name}")
         elif not rule.allow_blank:

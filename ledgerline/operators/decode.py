@@ -233,6 +233,7 @@ def with_parts(messages: DataFrame, json: str = "json") -> DataFrame:
         text = F.when(F.col("is_unusual"), walked_to).otherwise(F.col("usual")[name])
         return F.coalesce(text, F.lit(""))
 
+    # The texts of the warnings.
     problems = F.when(
         F.col("is_unusual"),
         F.array_compact(

@@ -130,6 +130,7 @@ def parse_mail(
     df = df.select(*df_cols, "labelled", parsed.alias("parsed"),
                    *[c.alias(f"rejected_{f}") for f, c in rejected.items()])
 
+    # The codes and messages of the errors, and their order.
     errors = []
     for field in FIELDS:
         errors.append(

@@ -141,14 +141,11 @@ def cleanup_summary(
             preview, "marked_preview",
         ),
     ]
-    # Each part is exactly one row; they are put side by side on a constant key.
-    keyed = [p.withColumn("one", F.lit(1)) for p in parts]
-    out = keyed[0]
-    for p in keyed[1:]:
-        out = out.join(F.broadcast(p), "one")
-    return out.select(
-        F.lit(workflow).alias("workflow"), F.lit(run_id).alias("run_id"),
-        *[c for c in out.columns if c != "one"],
+    # Each part is one value; those after the counts are scalar subqueries.
+    counts, *lists = parts
+    return counts.select(
+        F.lit(workflow).alias("workflow"), F.lit(run_id).alias("run_id"), "counts",
+        *[p.scalar().alias(p.columns[0]) for p in lists],
     )
 
 

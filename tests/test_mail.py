@@ -186,3 +186,29 @@ def test_intake_plan_can_be_repeated(spark, tmp_path):
     options = mail_intake.IntakeOptions(Labels("ok", "review", "bad"), "r3", "now", policy=AttachmentPolicy())
     third = mail_intake.run(df, existing, options, str(tmp_path), blobs, list_failures=failed)
     assert third["attachment_totals"].first()["attachments_errors"] == 1
+
+
+def flat(spark, messages):
+    df = spark.createDataFrame([(i, json.dumps(m)) for i, m in enumerate(messages)], "row_idx long, json string")
+    rows = decode.with_parts(df).orderBy("row_idx").collect()
+    return [[p.asDict(recursive=True) for p in r["parts"]] for r in rows]
+
+
+def test_both_ways_to_read_a_message_agree(spark):
+    """The same parts, once in a shallow tree and once beside one that is deeper than the schema."""
+    odd = [
+        part("text/plain", "x"), part("TEXT/html; charset=x", "<p>y</p>"), {}, {"partId": 7, "filename": None},
+        {"mimeType": 5, "body": {"size": " 12 ", "attachmentId": "A"}}, {"body": {"size": 2.5, "data": "", "attachmentId": 3}},
+        {"headers": [{"name": None, "value": "v"}, {"value": "only"}, {"name": "n"}], "filename": ""},
+        {"headers": [], "parts": []}, {"parts": [{"body": {}}, {"mimeType": "a/b", "parts": [{"filename": "in"}]}]},
+    ]
+    deep = {"parts": [{"parts": [{"parts": [{"parts": [{"filename": "below"}]}]}]}]}
+    shallow = flat(spark, [{"id": "m", "payload": {"parts": [p]}} for p in odd])
+    beside = flat(spark, [{"id": "m", "payload": {"parts": [p, deep]}} for p in odd])
+    for one, two in zip(shallow, beside, strict=True):
+        assert [p for p in two if p["path"][:1] != [1]] == one
+
+
+def test_digits_of_all_scripts(spark):
+    row = parsed(spark, "Amount: \u0661\u0662\u0663 USD", subject="")
+    assert row["parsed"]["amount_value"] == 123.0
