@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -224,7 +225,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
             return schema.empty_table()
         n = shard["n"][0].as_py()
         vectors = np.frombuffer(shard["vectors"][0].as_py()).reshape(n, -1)
-        same = pa.compute.equal(pa.compute.list_value_length(block["v"]), vectors.shape[1])
+        same = pc.equal(pc.list_value_length(block["v"]), vectors.shape[1])
         block = block.filter(same).combine_chunks()
         if not len(block):
             return schema.empty_table()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -141,7 +140,3 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelt
     rows = id_and_text(docs, id_col, text_col)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, n_novel long, base string, spans string"
     return map_slices(rows, run, schema).withColumnRenamed("id", id_col)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
