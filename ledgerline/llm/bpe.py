@@ -20,7 +20,7 @@ from ledgerline.llm.batches import id_and_text, map_slices, texts
 
 KEPT_WORDS = 600_000
 LONGEST_KEPT = 64
-KEPT_PAIRS = 2_000_000
+KEPT_PAIRS = 500_000
 
 
 class TrieEncoder:

@@ -27,7 +27,7 @@ PERMUTATIONS = 64
 BAND_VALUES = 4
 BITMAP_LONGS = 16
 HUB_ROUNDS = 3
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 _SEED = 20240229
 
 _words: dict[bytes, int] = {}

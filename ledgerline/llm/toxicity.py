@@ -23,7 +23,7 @@ from ledgerline.llm.batches import slices, texts
 from ledgerline.session import fresh_path, write_and_read
 
 SAMPLE_ROWS = 20_000
-VOCABULARY = 1 << 16
+VOCABULARY = 1 << 15
 LEAST_DOCUMENTS = 5
 FOLDS = 3
 REGULARIZATION = 1e-4
@@ -31,7 +31,7 @@ ITERATIONS = 30
 FIT_TASKS = 4  # the sample is bounded; with few tasks a step of the optimizer needs no shuffle
 STEMS = (4, 5, 6)
 LETTERS = re.compile(r"[^\W\d_]+")
-KEPT_WORDS = 500_000
+KEPT_WORDS = 100_000
 LIMIT = 8.0  # of log-odds that are handed on, so that one sure model does not drown the features
 
 
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
 
     At most ``sample_rows`` labelled ids are used, those with the smallest hash, so the choice depends on no
     order. Of labels repeated for an id the largest counts, of texts repeated for an id one. The vocabulary
-    holds at most 2^16 stems, the most frequent, that stand in five or more rows of the sample. That bound is what comes to the
+    holds at most 2^15 stems, the most frequent, that stand in five or more rows of the sample. That bound is what comes to the
     driver and goes to the tasks.
     """
     spark = docs.sparkSession
