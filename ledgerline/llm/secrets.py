@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +25,10 @@ KINDS = ("assign", "access", "hex", "novel")
 
 # A text without a match of this has no base span. What follows reads only the texts that have one.
 ANY_BASE = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{16}"
-SENSITIVE = re.compile(r"(?ai:pass(?:word|wd|phrase)|pwd|secret|token|api[_ -]?key|credential|private[_ -]?key|access[_ -]?key|auth(?:orization)?|bearer)[^\n]{0,48}?(?<![A-Za-z0-9+/_.=-])([A-Za-z0-9+/_.=-]{12,})")
+ANNOUNCING = r"(?ai:pass(?:word|wd|phrase)|pwd|secret|token|api[_ -]?key|credential|private[_ -]?key|access[_ -]?key|auth(?:orization)?|bearer)"
+ANNOUNCED = re.compile(ANNOUNCING)
+RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{12,}")
+TIED = re.compile(ANNOUNCING + r"[A-Za-z0-9_.-]*=+([A-Za-z0-9+/_.-][A-Za-z0-9+/_.=-]{11,})")
 ANY_SENSITIVE = r"(?i:passphrase|pwd|credential|private[_ -]?key|access[_ -]?key|auth|bearer|password|passwd|secret|token|api[_ -]?key)"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{3,63}"
 
@@ -72,10 +77,28 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text", size: int = 1
     return " ".join([CODE, *(row["word"] for row in reversed(top))]).encode()
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Where strings of 12 or more characters stand behind an announcing word of their line, in order.
+
+    What a ``=`` ties to the word, or to a name with it, is a candidate by itself, unless the whole is one by an earlier word.
+    """
+    searched = 0
+    for word in ANNOUNCED.finditer(text):
+        if word.start() < searched:
+            continue
+        line_end = text.find("\n", word.end())
+        line_end = len(text) if line_end < 0 else line_end
+        if tied := TIED.match(text, word.start(), line_end):
+            yield tied.span(1)
+        yield from (run.span() for run in RUN.finditer(text, word.end(), line_end))
+        searched = line_end
+
+
 class NoveltyScanner:
     """Finds the spans of a text: ``(start, end, kind)`` in code points.
 
-    A candidate is a string of 12 or more characters that follows a word announcing a secret in the same line.
+    A candidate is a string of 12 or more characters that follows a word announcing a secret in the same line,
+    at any distance: all strings of a line are measured, one by one, but for those that overlap a base span.
     Its novelty is what it adds to the compressed size of its surroundings, a compressor primed with the
     dictionary being used, per byte. It is reported from ``novelty`` on if it mixes letters and digits or cases;
     words of a language and paths seen elsewhere compress, keys do not.
@@ -101,12 +124,13 @@ class NoveltyScanner:
 
     def novel(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
         found = []
-        for match in SENSITIVE.finditer(text):
-            start, end = match.span(1)
-            word = match[1]
+        starts, reach = [span[0] for span in base], list(accumulate((span[1] for span in base), max))
+        for start, end in candidates(text):
+            word = text[start:end]
             mixed = any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
             mixed |= any(c.isupper() for c in word[1:]) and any(c.islower() for c in word)
-            if mixed and not any(b_start < end and start < b_end for b_start, b_end, _ in base) and self.marginal_bytes(text, start, end) >= self.novelty * (end - start):
+            before = bisect_left(starts, end)
+            if mixed and not (before and reach[before - 1] > start) and self.marginal_bytes(text, start, end) >= self.novelty * (end - start):
                 found.append((start, end, "novel"))
         return found
 

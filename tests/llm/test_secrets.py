@@ -52,3 +52,23 @@ def test_dictionary_counts_all_texts(spark):
     counts = {r["word"]: r["n_docs"] for r in secrets.identifier_counts(documents(spark, texts, list(range(7)))).collect()}
     assert counts == {"password": 3, "alpha_name": 5, "beta": 3, "token": 2}
     assert secrets.identifier_dictionary(documents(spark, texts, list(range(7))), size=1).endswith(b" alpha_name")
+
+
+def test_every_string_behind_an_announcing_word_is_measured():
+    scanner = secrets.NoveltyScanner(b"")
+    keys = ["Xk39aLq8ZpT71bWm", "Qv72cRt5YnH94dJs", "Gf61eMw3UoB08hKz"]
+
+    def novel(text):
+        return [text[start:end] for start, end, kind in scanner.spans(text) if kind == "novel"]
+
+    assert novel(f"The token for administration is {keys[0]}") == keys[:1]
+    assert novel(f"The password for configuration: {keys[0]}") == keys[:1]
+    assert novel(f"credential {keys[0]} {keys[1]}, then {'far away ' * 20}{keys[2]}\n{keys[0][::-1]}") == keys
+    assert novel(f"secret=0123456789abX {keys[0]}\npasswd: abcdefabcdef0123 and {keys[1]}") == keys[:2]
+    assert novel(f"SECRET_ACCESS_KEY={keys[0]}\nauthenticationManagers2 {keys[1]}\nbearer {keys[2]}") == keys
+
+
+def test_candidates_of_long_lines_stand_once_and_in_order():
+    line = " ".join(f"token administration{i}" for i in range(2000))
+    found = list(secrets.candidates(f"{line}\n{line}"))
+    assert found == sorted(set(found)) and len(found) == 4000
