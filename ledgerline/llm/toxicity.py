@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from ledgerline.llm.batches import slices, texts
 from ledgerline.session import fresh_path, write_and_read
 
 SAMPLE_ROWS = 20_000
-VOCABULARY = 1 << 15
+VOCABULARY = 1 << 17
 LEAST_DOCUMENTS = 5
 FOLDS = 3
 REGULARIZATION = 1e-4
@@ -64,6 +64,24 @@ class Chain:
         return 1 / (1 + np.exp(-odds))
 
 
+class Lookup:
+    """The numbers of terms as two arrays, sorted by term: a fraction of what a mapping takes in each worker."""
+
+    def __init__(self, terms: dict[str, int]):
+        names = np.array(list(terms), dtype=f"U{STEMS[-1]}")
+        order = np.argsort(names)
+        self.names, self.numbers = names[order], np.fromiter(terms.values(), np.int32, len(terms))[order]
+
+    def of_words(self, words: Sequence[str]) -> list[list[int]]:
+        """For each word the numbers of its stems that are terms."""
+        stems = [stems_of(word) for word in words]
+        flat = np.array([stem for of_word in stems for stem in of_word], dtype=self.names.dtype)
+        if not len(self.names) or not len(flat):
+            return [[] for _ in words]
+        at = np.minimum(np.searchsorted(self.names, flat), len(self.names) - 1)
+        found = np.where(self.names[at] == flat, self.numbers[at], -1).tolist()
+        ends = np.cumsum([len(of_word) for of_word in stems]).tolist()
+        return [[n for n in found[start:end] if n >= 0] for start, end in zip([0, *ends], ends, strict=False)]
 
 
 def _log_odds(probability):
@@ -86,8 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
 
     At most ``sample_rows`` labelled ids are used, those with the smallest hash, so the choice depends on no
     order. Of labels repeated for an id the largest counts, of texts repeated for an id one. The vocabulary
-    holds at most 2^15 stems, the most frequent, that stand in five or more rows of the sample. That bound is what comes to the
-    driver and goes to the tasks.
+    holds the stems that stand in five or more rows of the sample, at most 2^17, the most frequent. That bound is
+    what comes to the driver and goes to the tasks.
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), *(F.col(f"`{c}`").cast("double").alias(f"y{i}") for i, c in enumerate(categories))).dropna()
@@ -110,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
     weights, earlier, intercepts = np.zeros((len(categories), n_terms)), [], []
     for k in range(len(categories)):
         if k:
-            rows = VectorAssembler(inputCols=[f"x{k - 1}", f"o{k - 1}"], outputCol=f"x{k}").transform(rows)
+            rows = VectorAssembler(inputCols=[f"x{k - 1}", f"o{k - 1}"], outputCol=f"x{k}").transform(rows).drop(f"x{k - 1}")
         model = _regression(k).fit(rows)
         both = model.coefficients.toArray()
         weights[k], intercept = both[:n_terms], float(model.intercept)
@@ -152,17 +170,17 @@ def predict(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str
     if not chain.fitted:
         nothing = [F.lit(None).cast("double").alias(name) for name in added]
         return docs.select(*(F.col(f"`{name}`") for name in names), *nothing, F.lit(False).alias("toxic"))
-    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    shared = docs.sparkSession.sparkContext.broadcast((replace(chain, terms={}), Lookup(chain.terms)))
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value.terms
+        fitted, terms = shared.value
         known: dict[str, list[int]] = {}
 
         def numbers(text: str) -> np.ndarray:
             words = set(text.split())
-            for word in words.difference(known):
-                known[word] = [terms[stem] for stem in stems_of(word) if stem in terms]
+            new = list(words.difference(known))
+            known.update(zip(new, terms.of_words(new), strict=True))
             found: set[int] = set()
             for word in words:
                 found.update(known[word])
@@ -173,7 +191,7 @@ def predict(docs: DataFrame, chain: Chain, threshold: float = 0.5, text_col: str
         for batch in batches:
             body = pa.RecordBatch.from_arrays([*batch.columns, batch.column(at).cast(pa.binary())], names=[*map(str, range(batch.num_columns)), "body"])
             for part in slices(body):
-                p = shared.value.probabilities([numbers(text) for text in texts(part)])
+                p = fitted.probabilities([numbers(text) for text in texts(part)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(p[:, k], pa.float64()) for k in range(p.shape[1]))], names=[*names, *added])
 
     kept = docs.select(*(F.col(f"`{name}`").cast("string").alias(name) if name == text_col else F.col(f"`{name}`") for name in names))

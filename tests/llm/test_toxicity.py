@@ -73,3 +73,21 @@ def test_the_sample_is_bounded_and_does_not_depend_on_order(spark):
 def test_stems():
     assert toxicity.stems_of("Zugrobes!") == ("zugr", "zugro", "zugrob")
     assert toxicity.stems_of("ab-cdef") == ("ab", "cdef") and toxicity.stems_of("123") == ()
+
+
+def test_rare_stems_have_weight_beside_many_frequent_ones(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    frequent = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in "xyz")
+    texts = [frequent] * 8 + ["zugrobes"] * 6
+    docs = documents(spark, texts, list(range(14)))
+    labels = spark.createDataFrame([(i, int(i >= 8)) for i in range(14)], "doc_id long, insult int")
+    chain = toxicity.fit(docs, labels, ["insult"])
+    assert len(chain.terms) > 1 << 15 and {"zugr", "zugro", "zugrob"} <= chain.terms.keys()
+    assert toxicity.predict(documents(spark, ["zugrobig"], [1]), chain).first()["toxic"]
+
+
+def test_lookup_finds_what_the_mapping_holds():
+    terms = {"zugrob": 4, "zugr": 0, "ab": 7, "漢字": 2, "\U0001d400": 1}
+    words = ["Zugrobes!", "zugro", "ab-cdef", "漢字", "123", "abc", ""]
+    assert [sorted(n) for n in toxicity.Lookup(terms).of_words(words)] == [sorted(terms[s] for s in toxicity.stems_of(w) if s in terms) for w in words]
+    assert toxicity.Lookup({}).of_words(["ab"]) == [[]] and toxicity.Lookup(terms).of_words([]) == []
