@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -189,35 +188,41 @@ def usable(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 def build_index(classes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """One row for each shard of distinct vectors (``k1``, ``k2``, ``v``): keys, vectors, edges and entries, stored.
 
-    A shard has about ``shard_rows`` vectors, dealt by hash, however many there are in all.
+    Vectors of each length (``width``) have shards of their own, of about ``shard_rows`` vectors, dealt by hash,
+    however many there are in all.
     """
-    total, longest, width = classes.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.max(F.size("v"))).first()
-    n_shards = max(1, -(-total // shard_rows))
-    kept = classes.where(F.size("v") == (width or 0)).select(F.pmod(F.xxhash64("k1", "k2", F.lit(3)), F.lit(n_shards)).cast("int").alias("shard"), "k1", "k2", "v")
+    sized = classes.withColumn("width", F.size("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    widths = sized.groupBy("width").agg(F.ceil(F.count("*") / shard_rows).alias("n_shards"), F.max(square).alias("longest"))
+    shard = F.pmod(F.xxhash64("k1", "k2", F.lit(3)), F.col("n_shards")).cast("int").alias("shard")
+    kept = sized.join(F.broadcast(widths), "width").select("width", shard, "k1", "k2", "v", "longest")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("k1", "ascending"), ("k2", "ascending")])
         vectors = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
-        graph = build_graph(_equal_length(vectors, longest * (1 + 1e-9)))
+        graph = build_graph(_equal_length(vectors, table["longest"][0].as_py() * (1 + 1e-9)))
         keys = np.stack([table["k1"].to_numpy(), table["k2"].to_numpy()], axis=1)
         parts = {"keys": keys, "vectors": vectors, "edges": graph.edges.astype(np.int32), "entries": graph.entries.astype(np.int32)}
-        return pa.table({"shard": table["shard"][:1], "n": pa.array([len(table)], pa.int64()), **{name: pa.array([part.tobytes()], pa.binary()) for name, part in parts.items()}})
+        return pa.table({"width": table["width"][:1], "shard": table["shard"][:1], "n": pa.array([len(table)], pa.int64()), **{name: pa.array([part.tobytes()], pa.binary()) for name, part in parts.items()}})
 
-    built = kept.groupBy("shard").applyInArrow(run, "shard int, n long, keys binary, vectors binary, edges binary, entries binary")
+    built = kept.groupBy("width", "shard").applyInArrow(run, "width int, shard int, n long, keys binary, vectors binary, edges binary, entries binary")
     return write_and_read(built, fresh_path(classes.sparkSession, "graph-index"))
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """``query_id``, ``k1``, ``k2``, ``score``: the ``k`` best vectors of each shard for each query (``query_id``, ``v``).
 
-    Blocks of queries meet the shards, one of each in a task, whatever the number of queries.
+    Queries meet the shards of their own length. Blocks of queries meet shards one of each in a task, whatever the
+    number of queries.
     """
     spark = index.sparkSession
-    n_shards, n_queries = index.count(), queries.count()
-    n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(n_blocks)).cast("int")
-    asked = queries.select("query_id", "v", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n_shards - 1)))).alias("shard"))
-    shards = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    sized = queries.withColumn("width", F.size("v"))
+    widths = F.broadcast(sized.groupBy("width").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("n_blocks")))
+    block = F.pmod(F.xxhash64("query_id", F.lit(5)), F.col("n_blocks")).cast("int")
+    asked = sized.join(widths, "width").select("width", "query_id", "v", block.alias("block"))
+    own = F.broadcast(index.select(F.col("width").alias("own_width"), F.col("shard").alias("own_shard")))
+    asked = asked.join(own, F.col("width") == F.col("own_width")).select("own_width", "own_shard", F.col("block").alias("own_block"), "query_id", "v")
+    shards = index.join(widths, "width").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1))).drop("n_blocks")
 
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("score", pa.float64())])
@@ -225,10 +230,6 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
             return schema.empty_table()
         n = shard["n"][0].as_py()
         vectors = np.frombuffer(shard["vectors"][0].as_py()).reshape(n, -1)
-        same = pc.equal(pc.list_value_length(block["v"]), vectors.shape[1])
-        block = block.filter(same).combine_chunks()
-        if not len(block):
-            return schema.empty_table()
         keys = np.frombuffer(shard["keys"][0].as_py(), np.int64).reshape(n, 2)
         edges = np.frombuffer(shard["edges"][0].as_py(), np.int32).reshape(n, -1)
         longest = float(np.einsum("ij,ij->i", vectors, vectors).max())
@@ -250,7 +251,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
         return pa.concat_tables(out)
 
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("score", T.DoubleType())])
-    pairs = shards.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block"))
+    pairs = shards.groupBy("width", "shard", "block").cogroup(asked.groupBy("own_width", "own_shard", "own_block"))
     return write_and_read(pairs.applyInArrow(run, schema), fresh_path(spark, "graph-found"))
 
 
@@ -259,9 +260,9 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, beam: int = SEARCH_BEA
 
     ``is_query`` is a condition on ``vec_id``. Nearness is the inner product in double precision of the given
     vectors; of equal ones the smaller id comes first. Every usable row is indexed. Rows take no part if they
-    have no id or their vector is null, zero, holds a null or a component that is not finite, or is not as long
-    as the longest. Equal vectors are one node of a graph and expand to their ids, of which the smallest k + 1
-    are enough for any answer. Of vectors with one id the nearest counts. With fewer than ``k`` others all that
+    have no id or their vector is null, zero, or holds a null or a component that is not finite. Vectors of
+    different lengths have no inner product: each length is indexed and searched by itself. Equal vectors are one
+    node of a graph and expand to their ids, of which the smallest k + 1 are enough for any answer. Of vectors with one id the nearest counts. With fewer than ``k`` others all that
     are found are returned; an empty table gives no rows.
     """
     spark = embeddings.sparkSession

@@ -67,3 +67,18 @@ def test_every_vector_can_be_reached():
         front = np.array([n for n in np.unique(graph.edges[front]) if n >= 0 and n not in reached], np.int64)
         reached.update(front.tolist())
     assert len(reached) == 1200 and (graph.edges >= 0).sum(axis=1).max() <= neighbours.DEGREE
+
+
+def test_vectors_of_each_length_are_answered_among_themselves(spark):
+    ids = [0, 20, 1, 5, 40, 6, 60, 7, 80]
+    vectors = [[1, 2], [0, 0], None, [3, 1], [1, 0], [2, 2, 2], [1, 1, 0], [5, 0, 1], [1, 1, 1, 1]]
+    found = answers(neighbours.nearest(table(spark, ids, vectors), F.col("vec_id") % 20 == 0))
+    assert found == {0: [(5, 5.0), (40, 1.0)], 40: [(5, 3.0), (0, 1.0)], 60: [(7, 5.0), (6, 4.0)]}
+
+
+def test_two_models_in_one_table_give_what_each_gives_alone(spark):
+    rng = np.random.default_rng(4)
+    short, long = rng.normal(size=(400, 8)), rng.normal(size=(200, 12))
+    ids = np.arange(600)
+    found = answers(neighbours.nearest(table(spark, ids.tolist(), [*short, *long]), F.col("vec_id") % 20 == 0, k=5, shard_rows=150))
+    assert found == {**exact(ids[:400], short, 5), **exact(ids[400:], long, 5)}
