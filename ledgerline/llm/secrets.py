@@ -36,10 +36,10 @@ IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{3,63}"
 CODE = "import return function const class public private static string value config settings default username password secret token api_key access_key private_key client_id client_secret authorization bearer connection host port database environment example changeme placeholder undefined null true false"
 
 
-def identifier_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``word``, ``n_docs``: in how many texts each identifier of a sensitive text stands.
+def identifier_counts(docs: DataFrame, text_col: str = "text", having: str | None = ANY_SENSITIVE) -> DataFrame:
+    """``word``, ``n_docs``: in how many texts each identifier stands, of those that match ``having`` or, if None, of all.
 
-    Sensitive texts are those with a word that announces a secret. Counts are added up inside each task first.
+    By default these are the texts with a word that announces a secret. Counts are added up inside each task first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,11 +47,11 @@ def identifier_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         find = re.compile(IDENTIFIER, re.ASCII).findall
         for batch in batches:
             for part in slices(batch):
-                for body in _having(part, ANY_SENSITIVE):
+                for body in bodies(part) if having is None else _having(part, having):
                     counts.update(set(find(body.decode("utf-8", "replace"))))
-                if len(counts) > 200_000:
-                    yield _counted(counts)
-                    counts.clear()
+                    if len(counts) > 200_000:
+                        yield _counted(counts)
+                        counts.clear()
         yield _counted(counts)
 
     rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("body"))
@@ -73,7 +73,7 @@ def identifier_dictionary(docs: DataFrame, text_col: str = "text", size: int = 1
     It has at most ``size`` words of at most 64 characters, so what comes to the driver is bounded. All texts
     are counted; ties go to the word that is first in alphabetical order.
     """
-    top = identifier_counts(docs, text_col).where("n_docs > 1").orderBy(F.desc("n_docs"), "word").limit(size).collect()
+    top = identifier_counts(docs, text_col, having=None).where("n_docs > 1").orderBy(F.desc("n_docs"), "word").limit(size).collect()
     return " ".join([CODE, *(row["word"] for row in reversed(top))]).encode()
 
 

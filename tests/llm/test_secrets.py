@@ -72,3 +72,13 @@ def test_candidates_of_long_lines_stand_once_and_in_order():
     line = " ".join(f"token administration{i}" for i in range(2000))
     found = list(secrets.candidates(f"{line}\n{line}"))
     assert found == sorted(set(found)) and len(found) == 4000
+
+
+def test_dictionary_has_identifiers_of_texts_without_an_announcing_word(spark):
+    texts = ["no announcement of BuildNumber2024x"] * 4 + ["token alpha_name"] * 3 + [None]
+    docs = documents(spark, texts, list(range(8)))
+    counts = {r["word"]: r["n_docs"] for r in secrets.identifier_counts(docs, having=None).collect()}
+    assert counts == {"announcement": 4, "BuildNumber2024x": 4, "token": 3, "alpha_name": 3}
+    primed = secrets.identifier_dictionary(docs)
+    assert primed.endswith(b" token alpha_name announcement BuildNumber2024x")
+    assert secrets.NoveltyScanner(primed).spans("the token BuildNumber2024x") == []
