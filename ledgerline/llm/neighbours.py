@@ -186,7 +186,7 @@ def usable(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
 
 def build_index(classes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row for each shard of distinct vectors (``k1``, ``k2``, ``v``): keys, vectors, edges and entries, stored.
+    """One row for each shard of distinct vectors (``k1``, ``k2``, ``first``, their smallest id, ``v``): keys, vectors, edges and entries, stored.
 
     Vectors of each length (``width``) have shards of their own, of about ``shard_rows`` vectors, dealt by hash,
     however many there are in all.
@@ -195,13 +195,13 @@ def build_index(classes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     widths = sized.groupBy("width").agg(F.ceil(F.count("*") / shard_rows).alias("n_shards"), F.max(square).alias("longest"))
     shard = F.pmod(F.xxhash64("k1", "k2", F.lit(3)), F.col("n_shards")).cast("int").alias("shard")
-    kept = sized.join(F.broadcast(widths), "width").select("width", shard, "k1", "k2", "v", "longest")
+    kept = sized.join(F.broadcast(widths), "width").select("width", shard, "k1", "k2", "first", "v", "longest")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("k1", "ascending"), ("k2", "ascending")])
         vectors = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
         graph = build_graph(_equal_length(vectors, table["longest"][0].as_py() * (1 + 1e-9)))
-        keys = np.stack([table["k1"].to_numpy(), table["k2"].to_numpy()], axis=1)
+        keys = np.stack([table[name].to_numpy() for name in ("k1", "k2", "first")], axis=1)
         parts = {"keys": keys, "vectors": vectors, "edges": graph.edges.astype(np.int32), "entries": graph.entries.astype(np.int32)}
         return pa.table({"width": table["width"][:1], "shard": table["shard"][:1], "n": pa.array([len(table)], pa.int64()), **{name: pa.array([part.tobytes()], pa.binary()) for name, part in parts.items()}})
 
@@ -210,7 +210,9 @@ def build_index(classes: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
-    """``query_id``, ``k1``, ``k2``, ``score``: the ``k`` best vectors of each shard for each query (``query_id``, ``v``).
+    """``query_id``, ``k1``, ``k2``, ``first``, ``score``: the ``k`` best vectors of each shard for each query (``query_id``, ``v``).
+
+    Of vectors with equal scores those with the smaller ``first`` are better.
 
     Queries meet the shards of their own length. Blocks of queries meet shards one of each in a task, whatever the
     number of queries.
@@ -225,12 +227,12 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
     shards = index.join(widths, "width").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1))).drop("n_blocks")
 
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("query_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("first", pa.int64()), ("score", pa.float64())])
         if not len(shard) or not len(block):
             return schema.empty_table()
         n = shard["n"][0].as_py()
         vectors = np.frombuffer(shard["vectors"][0].as_py()).reshape(n, -1)
-        keys = np.frombuffer(shard["keys"][0].as_py(), np.int64).reshape(n, 2)
+        keys = np.frombuffer(shard["keys"][0].as_py(), np.int64).reshape(n, 3)
         edges = np.frombuffer(shard["edges"][0].as_py(), np.int32).reshape(n, -1)
         longest = float(np.einsum("ij,ij->i", vectors, vectors).max())
         graph = Graph(_equal_length(vectors, longest), edges.astype(np.int64), np.frombuffer(shard["entries"][0].as_py(), np.int32).astype(np.int64))
@@ -244,13 +246,13 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = SEARC
             row, column = np.nonzero(found >= 0)
             node = found[row, column]
             score = (part[row] * vectors[node]).sum(axis=1)
-            order = np.lexsort((-score, row))
+            order = np.lexsort((keys[node, 2], -score, row))
             row, node, score = row[order], node[order], score[order]
             best = np.arange(len(row)) - np.searchsorted(row, row) < k
-            out.append(pa.table([number[at + row[best]], keys[node[best], 0], keys[node[best], 1], score[best]], schema=schema))
+            out.append(pa.table([number[at + row[best]], keys[node[best], 0], keys[node[best], 1], keys[node[best], 2], score[best]], schema=schema))
         return pa.concat_tables(out)
 
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("first", T.LongType()), T.StructField("score", T.DoubleType())])
     pairs = shards.groupBy("width", "shard", "block").cogroup(asked.groupBy("own_width", "own_shard", "own_block"))
     return write_and_read(pairs.applyInArrow(run, schema), fresh_path(spark, "graph-found"))
 
@@ -271,10 +273,10 @@ def nearest(embeddings: DataFrame, is_query, k: int = 20, beam: int = SEARCH_BEA
     members = rows.select("k1", "k2", "vec_id").withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k + 1)
     members = write_and_read(members, fresh_path(spark, "vector-members"))
     firsts = members.where("nth = 1").drop("nth")
-    classes = rows.join(firsts, ["vec_id", "k1", "k2"]).select("k1", "k2", "v")
+    classes = rows.join(firsts, ["vec_id", "k1", "k2"]).select("k1", "k2", F.col("vec_id").alias("first"), "v")
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
     found = search_index(build_index(classes, shard_rows), queries, k + 1, beam)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "k1", "k2")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "first", "k1", "k2")
     found = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
     hits = found.join(members.drop("nth"), ["k1", "k2"]).where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -82,3 +82,12 @@ def test_two_models_in_one_table_give_what_each_gives_alone(spark):
     ids = np.arange(600)
     found = answers(neighbours.nearest(table(spark, ids.tolist(), [*short, *long]), F.col("vec_id") % 20 == 0, k=5, shard_rows=150))
     assert found == {**exact(ids[:400], short, 5), **exact(ids[400:], long, 5)}
+
+
+@pytest.mark.parametrize("shard_rows", [100_000, 30])
+def test_different_vectors_with_equal_scores_go_to_the_smaller_id(spark, shard_rows):
+    vectors = [[1.0, *(float(i >> bit & 1) for bit in range(7))] for i in range(90)]
+    vectors[0] = [1.0] + [0.0] * 7
+    ids = np.array([0, *np.random.default_rng(5).permutation(np.arange(1, 90)).tolist()])
+    found = answers(neighbours.nearest(table(spark, ids.tolist(), vectors), F.col("vec_id") == 0, k=5, shard_rows=shard_rows))
+    assert found == {0: [(i, 1.0) for i in range(1, 6)]}
