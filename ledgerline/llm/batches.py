@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -46,3 +46,26 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema
                 yield pa.RecordBatch.from_pydict(function(part))
 
     return df.mapInArrow(run, schema)
+
+
+def groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """The rows of each group in one table. ``keys`` are longs without nulls, and the rows of a group come together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(key).to_numpy() for key in keys]
+        changes = np.zeros(batch.num_rows, bool)
+        for column in values:
+            changes[1:] |= column[1:] != column[:-1]
+        starts = [0, *np.flatnonzero(changes).tolist(), batch.num_rows]
+        for start, end in zip(starts, starts[1:], strict=False):
+            own = tuple(column[start] for column in values)
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)

@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import bpe, decontamination, line_dedup, near_dedup, neighbours, secrets, token_counts, toxicity, url_filters, warc
+from ledgerline.llm import bpe, chunked_bpe, conversations, decontamination, line_dedup, merkle, near_dedup, neighbours, secrets, token_counts, toxicity, url_filters, warc
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 CATEGORIES = ("low_quality", "toxic")
 
 
@@ -87,12 +88,50 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "leak_item", "leak_score", "leaked")
 
 
-QUERIES = {query.__name__: query for query in (op1_secret_scans, op2_warc, op3_toxicity, op4_minhash_near_dedup, op5_bpe_round_trip, op6_token_counts, op7_url_filters, op8_nearest_neighbours, op9_line_dedup, op10_decontamination)}
+def op11_byte_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunked_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    asked = rows.select(F.col("conv_id").alias("conv")).distinct()
+    return conversations.reports(conversations.repair(conversations.damage(rows), asked)).withColumnRenamed("conv", "conv_id")
+
+
+def leaves_and_tampered(docs: DataFrame) -> DataFrame:
+    """Each document's leaf, and the leaf it would be if its count of characters were one higher, where that was tampered with."""
+    count = F.col("n_chars")
+    leaf, other = (merkle.digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")) for n in (count, F.try_add(count, F.lit(1))))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, other).otherwise(leaf)
+    return docs.select("doc_id", "lang", leaf.alias("leaf"), tampered.alias("tampered"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = merkle.build(leaves_and_tampered(_table(spark, sf_dir, "documents")), "lang", "doc_id", "leaf")
+    proofs = merkle.fold(merkle.prove(manifest), "tampered")
+    proof = F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256")
+    return proofs.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {query.__name__: query for query in (op1_secret_scans, op2_warc, op3_toxicity, op4_minhash_near_dedup, op5_bpe_round_trip, op6_token_counts, op7_url_filters, op8_nearest_neighbours, op9_line_dedup, op10_decontamination, op11_byte_bpe_chunks, op12_conversation_repair, op13_merkle_manifest)}
 
 # 160 bits of the digest in 32 letters of five bits each: letter i begins in the hex digit i * 5 / 4.
 _BASE32 = """array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + ((('0x' || substr(sha1(payload) || '0', 1 + (i * 5) // 4, 2))::INTEGER >> (3 - (i * 5) % 4)) & 31), 1)), '')"""
 
+# CRC-32 of the digits of a number, bit by bit.
+_CRC32 = """xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), list_transform(range(8), lambda i: 0::UBIGINT)), lambda x, i: xor(x >> 1, 3988292384::UBIGINT * (x & 1::UBIGINT)))))"""
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR) || ':' || {name}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(name) for name in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
 ORACLES = {
     "op2_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
@@ -133,4 +172,38 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (goes) AS n_removed,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT goes), '')) AS text_sha256
         FROM m GROUP BY doc_id""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE
+             d AS (SELECT doc_id, coalesce('+' || lang, '') AS tree, {_leaf("n_chars")} AS leaf,
+                          CASE WHEN {_CRC32} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS tampered FROM documents),
+             p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM d),
+             nodes AS (SELECT tree, 0 AS level, place, leaf AS hash, count(*) OVER (PARTITION BY tree) AS n FROM p
+                       UNION ALL
+                       SELECT tree, level + 1, place // 2, sha256(hash || behind), (n + 1) // 2
+                       FROM (SELECT *, coalesce(lead(hash) OVER (PARTITION BY tree ORDER BY place), '') AS behind FROM nodes WHERE n > 1)
+                       WHERE place % 2 = 0),
+             subroots AS (SELECT tree, level AS height, hash AS subroot FROM nodes WHERE n = 1),
+             trees AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS number FROM subroots),
+             upper AS (SELECT 0 AS level, number AS place, subroot AS hash, count(*) OVER () AS n FROM trees
+                       UNION ALL
+                       SELECT level + 1, place // 2, sha256(hash || behind), (n + 1) // 2
+                       FROM (SELECT *, coalesce(lead(hash) OVER (ORDER BY place), '') AS behind FROM upper WHERE n > 1)
+                       WHERE place % 2 = 0),
+             top AS (SELECT hash AS root FROM upper WHERE n = 1),
+             steps AS (SELECT p.tree, p.place AS leaf_place, s.level AS step, s.hash, (p.place >> s.level) % 2 AS side
+                       FROM p JOIN nodes s ON s.tree = p.tree AND s.n > 1 AND s.place = xor(p.place >> s.level, 1)
+                       UNION ALL
+                       SELECT p.tree, p.place, t.height + s.level, s.hash, (t.number >> s.level) % 2
+                       FROM p JOIN trees t ON t.tree = p.tree JOIN upper s ON s.n > 1 AND s.place = xor(t.number >> s.level, 1)),
+             heights AS (SELECT tree, height + (SELECT max(level) FROM upper) AS height FROM trees),
+             folds AS (SELECT p.tree, p.place, 0 AS step, tampered AS hash FROM p
+                       UNION ALL
+                       SELECT f.tree, f.place, f.step + 1,
+                              sha256(CASE WHEN s.hash IS NULL THEN f.hash WHEN s.side = 0 THEN f.hash || s.hash ELSE s.hash || f.hash END)
+                       FROM folds f JOIN heights h ON h.tree = f.tree AND f.step < h.height
+                            LEFT JOIN steps s ON s.tree = f.tree AND s.leaf_place = f.place AND s.step = f.step),
+             proofs AS (SELECT tree, leaf_place AS place, sha256(string_agg(hash, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY ALL)
+        SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, f.hash AS folded_root, f.hash = root AS verified
+        FROM p JOIN trees t USING (tree) CROSS JOIN top LEFT JOIN proofs USING (tree, place)
+             JOIN heights h USING (tree) JOIN folds f ON f.tree = p.tree AND f.place = p.place AND f.step = h.height""",
 }
