@@ -16,13 +16,13 @@ import functools
 import hashlib
 import heapq
 import re
-from collections.abc import Callable, Iterator, Sequence
+import struct
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +35,10 @@ CHUNK = 32_768  # characters from the beginning of a chunk to that of the next
 OVERLAP = 512  # characters that a chunk shares with the next
 LOOK_AHEAD = 2  # characters behind a pre-token that must be seen before it is sure to end there
 PIECES = 50_000  # pre-tokens that are held at a time
-KEPT_WORDS = 500_000
-LONGEST_KEPT = 64
+KEPT_WORDS = 1_000_000
+LONGEST_KEPT = 32
+SCANNED = 128  # bytes of the longest piece whose pairs are scanned for each merge
+NO_RANK = 1 << 40
 
 
 def read_ranks(path: str) -> bytes:
@@ -52,29 +54,25 @@ def _ranks(raw: bytes) -> dict[bytes, int]:
 
 @dataclass(frozen=True)
 class Cutter:
-    """``plain``: a pattern; ``exact``: the same with classes of characters as the library has them; ``first``: the first
-    character that is in one of the classes on one side only. Texts without characters from there on need no exact one."""
+    """A pattern with its classes spelled out as ranges: ``narrow`` with those up to U+FFFF, for texts without characters
+    beyond, ``full`` with all of them."""
 
-    plain: str
-    exact: str
-    first: str
+    narrow: str
+    full: str
 
-    def pattern_for(self, text: str) -> regex.Pattern:
-        return _compiled(self.plain if text.isascii() or not _from(self.first).search(text) else self.exact)
+    def pattern_for(self, text: str) -> re.Pattern:
+        return _compiled(self.narrow if text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text) else self.full)
 
 
-_compiled = functools.lru_cache(maxsize=8)(regex.compile)
+_compiled = functools.lru_cache(maxsize=8)(re.compile)
 
 
-@functools.lru_cache(maxsize=8)
-def _from(first: str) -> re.Pattern:
-    return re.compile(f"[{re.escape(first)}-\U0010ffff]")
-
-
-def _ranges(characters: set[str]) -> str:
-    out, points = [], sorted(map(ord, characters))
-    for at, point in enumerate(points):
-        if at and points[at - 1] == point - 1:
+def _ranges(characters: Sequence[str], last: int) -> str:
+    out: list[list[int]] = []
+    for point in map(ord, characters):
+        if point > last:
+            break
+        if out and out[-1][1] == point - 1:
             out[-1][1] = point
         else:
             out.append([point, point])
@@ -83,22 +81,50 @@ def _ranges(characters: set[str]) -> str:
 
 @functools.lru_cache(maxsize=4)
 def cutter(pattern: str) -> Cutter:
-    """The cutter for ``pattern``, whose classes may be of another version of Unicode in the library than in ours.
+    """The cutter for ``pattern``, with the classes of letters, numbers and blanks that the library knows.
 
     The library keeps what its pattern matches and drops the rest; with single bytes as tokens it so tells which
-    characters a class has.
+    characters a class has, whatever version of Unicode it follows.
     """
     single = {bytes([byte]): byte for byte in range(256)}
     every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    exact, different = pattern, set()
-    for name in (r"\p{L}", r"\p{N}", r"\s", r"\S"):
+    members = {}
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
         library = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
-        theirs, ours = set(library.decode(library.encode_ordinary(every))), set(regex.findall(name, every))
-        more, fewer = theirs - ours, ours - theirs
-        different |= more | fewer
-        if more or fewer:
-            exact = exact.replace(name, f"[{name}{f'[{_ranges(more)}]' if more else ''}{f'--[{_ranges(fewer)}]' if fewer else ''}]")
-    return Cutter(pattern, f"(?V1){exact}" if different else pattern, min(different, default="\U0010ffff"))
+        members[name] = sorted(set(library.decode(library.encode_ordinary(every))))
+
+    def spelled_out(last: int) -> str:
+        ranges = {name: _ranges(characters, last) for name, characters in members.items()}
+        out, inside = [], False
+        for part in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.DOTALL):
+            inside = part == "[" or inside and part != "]"
+            if part in ranges:
+                part = ranges[part] if inside else f"[{ranges[part]}]"
+            elif part == r"\S" and not inside:
+                part = f"[^{ranges[r'\s']}]"
+            elif part[0] == "\\" and part[1:2].isalpha():
+                raise ValueError(f"{part} is not known here")
+            out.append(part)
+        return "".join(out)
+
+    return Cutter(spelled_out(0xFFFF), spelled_out(0x10FFFF))
+
+
+class Words(dict):
+    """The packed ids of pieces, encoded when they are first asked for; there are never more than KEPT_WORDS."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.encode(piece.encode())
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[piece] = packed
+        return packed
 
 
 class RankEncoder:
@@ -109,13 +135,32 @@ class RankEncoder:
         self.spelled = [b""] * (1 + max(self.ranks.values()))
         for token, rank in self.ranks.items():
             self.spelled[rank] = token
-        self.words: dict[str, bytes] = {}
+        self.words = Words(self.encode_piece)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Pairs of neighbours are joined, the one of the lowest rank and of these the leftmost first, while there is one with a rank."""
-        ranks = self.ranks
-        if (rank := ranks.get(piece)) is not None:
+        if (rank := self.ranks.get(piece)) is not None:
             return [rank]
+        return self.by_scan(piece) if len(piece) <= SCANNED else self.by_heap(piece)
+
+    def by_scan(self, piece: bytes) -> list[int]:
+        """The lowest rank is looked for among all pairs each time, which is fastest for words."""
+        get = self.ranks.get
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [get(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
+        while pairs and (lowest := min(pairs)) < NO_RANK:
+            at = pairs.index(lowest)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at < len(pairs):
+                pairs[at] = get(parts[at] + parts[at + 1], NO_RANK)
+            if at:
+                pairs[at - 1] = get(parts[at - 1] + parts[at], NO_RANK)
+        return [self.ranks[part] for part in parts]
+
+    def by_heap(self, piece: bytes) -> list[int]:
+        """As `by_scan`, in a time that grows little faster than the piece, however long it is."""
+        ranks = self.ranks
         size = len(piece)
         behind, before = list(range(1, size + 2)), list(range(-1, size))  # by the first byte of a symbol: its neighbours
         rank_of = [ranks.get(piece[i : i + 2], -1) for i in range(size - 1)] + [-1]  # of a symbol with the next one
@@ -145,20 +190,9 @@ class RankEncoder:
             at = behind[at]
         return out
 
-    def encode_pieces(self, pieces: Sequence[str]) -> bytes:
+    def encode_pieces(self, pieces: Iterable[str]) -> bytes:
         """The ids of the pieces, as little-endian 32-bit integers."""
-        known = self.words
-        new = [piece for piece in set(pieces) if piece not in known]
-        if len(known) + len(new) > KEPT_WORDS:
-            known = self.words = {}
-            new = list(set(pieces))
-        for piece in new:
-            known[piece] = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
-        out = b"".join(map(known.__getitem__, pieces))
-        for piece in new:
-            if len(piece) > LONGEST_KEPT:
-                del known[piece]
-        return out
+        return b"".join(map(self.words.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text; the pre-tokens of a long one are not held all at a time."""
@@ -289,7 +323,7 @@ def decode(tokens: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str =
     raw = read_ranks(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(raw, Cutter("", "", ""))
+        own = encoder(raw, Cutter("", ""))
         for batch in batches:
             decoded = [own.decode(np.array(ids or [], "<u4").tobytes()) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "decoded": pa.array(decoded, pa.binary())})

@@ -50,6 +50,18 @@ def test_words_are_forgotten_without_harm(own, monkeypatch):
         assert unpacked(own.encode(text)) == LIBRARY.encode_ordinary(text)
 
 
+def test_both_ways_of_encoding_a_piece_agree(own):
+    rng = random.Random(9)
+    pieces = {"".join(rng.choices("abcdeé漢 ", k=rng.randrange(1, 60))).encode() for _ in range(3000)} | {bytes(rng.choices(range(256), k=20)) for _ in range(500)}
+    pieces |= set(rng.sample(sorted(own.ranks), 2000)) | {b"a" * n for n in range(1, 200)}
+    assert all(own.by_scan(piece) == own.by_heap(piece) for piece in pieces)
+
+
+def test_patterns_that_cannot_be_spelled_out():
+    with pytest.raises(ValueError):
+        chunked_bpe.cutter(r"\w+|\p{Lu}")
+
+
 def test_a_long_piece_takes_no_quadratic_time(own):
     text = "".join(random.Random(1).choices("abcdefghij", k=200_000))
     assert unpacked(own.encode(text)) == LIBRARY.encode_ordinary(text)
