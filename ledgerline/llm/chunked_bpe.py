@@ -17,7 +17,7 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import accumulate, islice
 
@@ -37,8 +37,8 @@ LOOK_AHEAD = 2  # characters behind a pre-token that must be seen before it is s
 PIECES = 50_000  # pre-tokens that are held at a time
 KEPT_WORDS = 1_000_000
 LONGEST_KEPT = 32
-SCANNED = 128  # bytes of the longest piece whose pairs are scanned for each merge
-NO_RANK = 1 << 40
+SHORT = 128  # bytes of the longest piece that is joined together with others
+NO_RANK = 1 << 30
 
 
 def read_ranks(path: str) -> bytes:
@@ -110,56 +110,76 @@ def cutter(pattern: str) -> Cutter:
     return Cutter(spelled_out(0xFFFF), spelled_out(0x10FFFF))
 
 
-class Words(dict):
-    """The packed ids of pieces, encoded when they are first asked for; there are never more than KEPT_WORDS."""
-
-    def __init__(self, encode: Callable[[bytes], list[int]]):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.encode(piece.encode())
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= LONGEST_KEPT:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[piece] = packed
-        return packed
-
-
 class RankEncoder:
     """Encodes texts by the ranks of a file; every piece is encoded by itself."""
 
     def __init__(self, raw: bytes, cut: Cutter):
         self.ranks, self.cut = _ranks(raw), cut
-        self.spelled = [b""] * (1 + max(self.ranks.values()))
+        spelled = [b""] * (1 + max(self.ranks.values()))
+        for token, rank in self.ranks.items():
+            spelled[rank] = token
+        self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
+        self.sizes = np.array([len(token) for token in spelled], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.words: dict[str, bytes] = {}
+        pairs = {}
         for token, rank in self.ranks.items():
-            self.spelled[rank] = token
-        self.words = Words(self.encode_piece)
-
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """Pairs of neighbours are joined, the one of the lowest rank and of these the leftmost first, while there is one with a rank."""
-        if (rank := self.ranks.get(piece)) is not None:
-            return [rank]
-        return self.by_scan(piece) if len(piece) <= SCANNED else self.by_heap(piece)
-
-    def by_scan(self, piece: bytes) -> list[int]:
-        """The lowest rank is looked for among all pairs each time, which is fastest for words."""
-        get = self.ranks.get
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        pairs = [get(piece[i : i + 2], NO_RANK) for i in range(len(piece) - 1)]
-        while pairs and (lowest := min(pairs)) < NO_RANK:
-            at = pairs.index(lowest)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del pairs[at]
-            if at < len(pairs):
-                pairs[at] = get(parts[at] + parts[at + 1], NO_RANK)
-            if at:
-                pairs[at - 1] = get(parts[at - 1] + parts[at], NO_RANK)
-        return [self.ranks[part] for part in parts]
+            for cut_at in range(1, len(token)):
+                first, second = self.ranks.get(token[:cut_at]), self.ranks.get(token[cut_at:])
+                if first is not None and second is not None:
+                    pairs[first << 32 | second] = rank
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.joined = np.array([pairs[key] for key in self.pairs.tolist()], np.int64)
+        self.of_byte = np.array([self.ranks[bytes([byte])] for byte in range(256)], np.int64)
+        self.byte_pairs = np.array([[self.ranks.get(bytes([a, b]), NO_RANK) for b in range(256)] for a in range(256)], np.int64)
+
+    def rank_of_pairs(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        keys = first << 32 | second
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.joined[at], NO_RANK)
+
+    def encode_words(self, words: Sequence[bytes]) -> list[bytes]:
+        """The packed ids of short pieces. All have their next pair joined at the same time: of the pairs of a piece the one
+        of the lowest rank, and of these the leftmost."""
+        sizes = np.array([len(word) for word in words], np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        symbols = self.of_byte[raw]
+        word = np.repeat(np.arange(len(words)), sizes)
+        ranks = np.full(len(symbols), NO_RANK)  # of each symbol with the one behind it
+        ranks[:-1] = np.where(word[1:] == word[:-1], self.byte_pairs[raw[:-1], raw[1:]], NO_RANK)
+        done_words, done_symbols = [], []
+        while len(symbols):
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            lowest = np.minimum.reduceat(ranks << 32 | np.arange(len(symbols)), starts)
+            rank, at = lowest >> 32, lowest & 0xFFFFFFFF
+            going = rank < NO_RANK
+            keep = np.repeat(going, np.diff(starts, append=len(symbols)))
+            done_words.append(word[~keep])
+            done_symbols.append(symbols[~keep])
+            rank, at = rank[going], at[going]
+            symbols[at] = rank
+            keep[at + 1] = False
+            moved = np.cumsum(keep) - 1
+            symbols, word, ranks, at = symbols[keep], word[keep], ranks[keep], moved[at]
+            for left in (at, at - 1):
+                ok = (left >= 0) & (left + 1 < len(symbols))
+                ok[ok] = word[left[ok]] == word[left[ok] + 1]
+                ranks[left[~ok & (left >= 0)]] = NO_RANK
+                left = left[ok]
+                ranks[left] = self.rank_of_pairs(symbols[left], symbols[left + 1])
+        order = np.concatenate(done_words)
+        place = np.argsort(order, kind="stable")
+        packed = np.concatenate(done_symbols)[place].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(order, minlength=len(words)))).tolist()
+        return [packed[start:end] for start, end in zip([0, *ends], ends, strict=False)]
+
+    def encode_piece(self, piece: bytes) -> bytes:
+        rank = self.ranks.get(piece)
+        ids = self.by_heap(piece) if rank is None else [rank]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def by_heap(self, piece: bytes) -> list[int]:
-        """As `by_scan`, in a time that grows little faster than the piece, however long it is."""
+        """The ids of one piece, in a time that grows little faster than the piece, however long it is."""
         ranks = self.ranks
         size = len(piece)
         behind, before = list(range(1, size + 2)), list(range(-1, size))  # by the first byte of a symbol: its neighbours
@@ -190,20 +210,49 @@ class RankEncoder:
             at = behind[at]
         return out
 
-    def encode_pieces(self, pieces: Iterable[str]) -> bytes:
-        """The ids of the pieces, as little-endian 32-bit integers."""
-        return b"".join(map(self.words.__getitem__, pieces))
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text; the pre-tokens of a long one are not held all at a time."""
-        pattern = self.cut.pattern_for(text)
-        if len(text) <= CHUNK + OVERLAP:
-            return self.encode_pieces(pattern.findall(text))
-        pieces = (match[0] for match in pattern.finditer(text))
-        return b"".join(iter(lambda: self.encode_pieces(list(islice(pieces, PIECES))), b""))
+    def encode_pieces(self, cut: Sequence[Sequence[str]]) -> list[bytes]:
+        """The ids of the pieces of several texts, as little-endian 32-bit integers."""
+        get = self.words.get
+        found = [list(map(get, pieces)) for pieces in cut]
+        holes = [[i for i, ids in enumerate(of_text) if ids is None] for of_text in found]
+        new = list({pieces[i] for pieces, at in zip(cut, holes, strict=True) for i in at})
+        spelled = [piece.encode() for piece in new]
+        ids_of = {piece: self.encode_piece(word) for piece, word in zip(new, spelled, strict=True) if len(word) > SHORT or word in self.ranks}
+        others = [(piece, word) for piece, word in zip(new, spelled, strict=True) if piece not in ids_of]
+        if others:
+            ids_of.update(zip([piece for piece, _ in others], self.encode_words([word for _, word in others]), strict=True))
+        for pieces, of_text, at in zip(cut, found, holes, strict=True):
+            for i in at:
+                of_text[i] = ids_of[pieces[i]]
+        if len(self.words) + len(ids_of) > KEPT_WORDS:
+            self.words.clear()
+        self.words.update((piece, ids) for piece, ids in islice(ids_of.items(), KEPT_WORDS) if len(piece) <= LONGEST_KEPT)
+        return list(map(b"".join, found))
+
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of whole texts; the pre-tokens of a long one are not held all at a time."""
+        out: list[bytes] = []
+        held: list[list[str]] = []
+        for text in texts:
+            pattern = self.cut.pattern_for(text)
+            if len(text) <= CHUNK + OVERLAP:
+                held.append(pattern.findall(text))
+                continue
+            out += self.encode_pieces(held)
+            held = []
+            pieces = (match[0] for match in pattern.finditer(text))
+            out.append(b"".join(iter(lambda: self.encode_pieces([list(islice(pieces, PIECES))])[0], b"")))  # noqa: B023
+        return out + self.encode_pieces(held)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes of the tokens, joined; raises for an id that is none."""
+        out = []
+        for start in range(0, len(ids), 4 * PIECES):
+            tokens = np.frombuffer(ids[start : start + 4 * PIECES], "<u4")
+            sizes = self.sizes[tokens]
+            ends = np.cumsum(sizes)
+            out.append(self.bytes[np.arange(ends[-1]) + np.repeat(self.starts[tokens] - ends + sizes, sizes)].tobytes())
+        return b"".join(out)
 
 
 def boundaries(text: str, cut: Cutter, last: bool) -> list[int]:
@@ -252,7 +301,7 @@ def _encoded(docs: DataFrame, ranks: str, pattern: str, finish: Callable[[RankEn
         return pa.RecordBatch.from_pydict({"id": ids, **finish(encoder(raw, cut), packed)})
 
     def whole(part: pa.RecordBatch, read: list[str]) -> Iterator[pa.RecordBatch]:
-        yield out(part.column("id"), [encoder(raw, cut).encode(text) for text in read])
+        yield out(part.column("id"), encoder(raw, cut).encode(read))
 
     short = _map_texts(read.where(one_chunk).select("id", body), whole, finished)
     long_ones = write_and_read(read.where(~one_chunk).withColumn("row", F.monotonically_increasing_id()), fresh_path(spark, "long-texts"))
@@ -289,8 +338,7 @@ def _encoded(docs: DataFrame, ranks: str, pattern: str, finish: Callable[[RankEn
     apart = long_ones.join(stitches.where(~F.col("stitched")).select("row").distinct(), "row", "left_semi")
 
     def pieces(part: pa.RecordBatch, read: list[str]) -> Iterator[pa.RecordBatch]:
-        own = encoder(raw, cut)
-        packed = [own.encode(text[start:end]) for text, start, end in zip(read, part.column("start").to_pylist(), part.column("end").to_pylist(), strict=True)]
+        packed = encoder(raw, cut).encode([text[start:end] for text, start, end in zip(read, part.column("start").to_pylist(), part.column("end").to_pylist(), strict=True)])
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "row", "k")), pa.array(packed, pa.binary())], names=["id", "row", "k", "packed"])
 
     stitched = chunks.join(stitches.where("stitched").select("row", "k", "start", "end"), ["row", "k"]).select("id", "row", "k", "start", "end", "body")
