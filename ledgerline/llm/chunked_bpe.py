@@ -34,8 +34,9 @@ from ledgerline.session import fresh_path, write_and_read
 CHUNK = 32_768  # characters from the beginning of a chunk to that of the next
 OVERLAP = 512  # characters that a chunk shares with the next
 LOOK_AHEAD = 2  # characters behind a pre-token that must be seen before it is sure to end there
+SLICE = 2 << 20  # bytes of texts whose pre-tokens are held at a time
 PIECES = 50_000  # pre-tokens that are held at a time
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 600_000
 LONGEST_KEPT = 32
 SHORT = 128  # bytes of the longest piece that is joined together with others
 NO_RANK = 1 << 30
@@ -280,7 +281,7 @@ def encoder(raw: bytes, cut: Cutter) -> RankEncoder:
 def _map_texts(df: DataFrame, function: Callable[[pa.RecordBatch, list[str]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 yield from function(part, texts(part))
 
     return df.mapInArrow(run, schema)
