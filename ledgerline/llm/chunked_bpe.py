@@ -36,7 +36,7 @@ OVERLAP = 512  # characters that a chunk shares with the next
 LOOK_AHEAD = 2  # characters behind a pre-token that must be seen before it is sure to end there
 SLICE = 2 << 20  # bytes of texts whose pre-tokens are held at a time
 PIECES = 50_000  # pre-tokens that are held at a time
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 LONGEST_KEPT = 32
 SHORT = 128  # bytes of the longest piece that is joined together with others
 NO_RANK = 1 << 30
