@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -67,27 +68,88 @@ def test_the_sample_is_bounded_and_does_not_depend_on_order(spark):
     docs, labels = corpus(spark, 200)
     one = toxicity.fit(docs, labels, ["insult"], sample_rows=80)
     two = toxicity.fit(docs.repartition(7), labels.orderBy("insult"), ["insult"], sample_rows=80)
-    assert one.terms.keys() == two.terms.keys()
+    assert one.columns.tolist() == two.columns.tolist() and np.allclose(one.weights, two.weights)
 
 
-def test_stems():
-    assert toxicity.stems_of("Zugrobes!") == ("zugr", "zugro", "zugrob")
-    assert toxicity.stems_of("ab-cdef") == ("ab", "cdef") and toxicity.stems_of("123") == ()
+def numbers(*names):
+    return sorted(zlib.crc32(name.encode()) for name in names)
 
 
-def test_rare_stems_have_weight_beside_many_frequent_ones(spark):
+def test_features():
+    assert sorted(toxicity.features_of("Zugrobes!")) == numbers("zugr", "zugro", "zugrob")
+    assert sorted(toxicity.features_of("ab-cdef")) == numbers("ab", "cdef")
+    assert toxicity.features_of("123") == numbers("123") and toxicity.features_of("!?") == numbers("!?")
+
+
+def test_words_are_forgotten_without_harm(monkeypatch):
+    texts = ["one two ab-cdef two", "", "Zugrobes! zugrob", "three four five six seven", "one"]
+    expected = [toxicity.Words().of_text(text).tolist() for text in texts]
+    columns = np.unique(np.concatenate([np.array(e, np.uint32) for e in expected]))[::2]
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 2)
+    words, places, none = toxicity.Words(), toxicity.Words(columns), toxicity.Words(np.zeros(0, np.uint32))
+    for text, features in zip(texts, expected, strict=True):
+        assert words.of_text(text).tolist() == features == sorted(set(features))
+        assert columns[places.of_text(text)].tolist() == [f for f in features if f in set(columns.tolist())]
+        assert none.of_text(text).tolist() == []
+
+
+def test_rare_features_have_weight_beside_many_frequent_ones(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     frequent = " ".join(a + b + c + d for a in letters for b in letters for c in letters for d in "xyz")
     texts = [frequent] * 8 + ["zugrobes"] * 6
     docs = documents(spark, texts, list(range(14)))
     labels = spark.createDataFrame([(i, int(i >= 8)) for i in range(14)], "doc_id long, insult int")
-    chain = toxicity.fit(docs, labels, ["insult"])
-    assert len(chain.terms) > 1 << 15 and {"zugr", "zugro", "zugrob"} <= chain.terms.keys()
-    assert toxicity.predict(documents(spark, ["zugrobig"], [1]), chain).first()["toxic"]
-
-
-def test_lookup_finds_what_the_mapping_holds():
-    terms = {"zugrob": 4, "zugr": 0, "ab": 7, "漢字": 2, "\U0001d400": 1}
-    words = ["Zugrobes!", "zugro", "ab-cdef", "漢字", "123", "abc", ""]
-    assert [sorted(n) for n in toxicity.Lookup(terms).of_words(words)] == [sorted(terms[s] for s in toxicity.stems_of(w) if s in terms) for w in words]
-    assert toxicity.Lookup({}).of_words(["ab"]) == [[]] and toxicity.Lookup(terms).of_words([]) == []
+    fitted = toxicity.fit(docs, labels, ["insult"])
+    assert len(fitted.columns) > 1 << 15 and set(numbers("zugr", "zugro", "zugrob")) <= set(fitted.columns.tolist())
+    assert toxicity.predict(documents(spark, ["zugrobig"], [1]), fitted).first()["toxic"]
+
+
+def dense_chain(x, labels, folds, categories):
+    """The chain by plain matrices and Newton steps, to the end."""
+
+    def solve(x, y, used):
+        n = x.shape[1]
+        rate = (used @ y) / used.sum()
+        share = used / used.sum() * np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate))
+        x1, w = np.column_stack([x, np.ones(len(y))]), np.zeros(n + 1)
+        ridge = np.diag([*[toxicity.REGULARIZATION] * n, 0.0])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x1 @ w))
+            w = w - np.linalg.solve((x1.T * (share * p * (1 - p))) @ x1 + ridge + 1e-12 * np.eye(n + 1), x1.T @ (share * (p - y)) + ridge @ w)
+        return w
+
+    odds, out = np.zeros((len(x), 0)), []
+    for k in range(categories):
+        both, y = np.column_stack([x, odds]), labels[:, k]
+        out.append(solve(both, y, np.ones(len(y))))
+        own = np.zeros(len(y))
+        for fold in range(toxicity.FOLDS):
+            w = solve(both, y, (folds != fold).astype(float))
+            own = np.where(folds == fold, both @ w[:-1] + w[-1], own)
+        odds = np.column_stack([odds, np.clip(own, -toxicity.LIMIT, toxicity.LIMIT)])
+    return out
+
+
+def test_the_chain_is_that_of_a_plain_fit(monkeypatch):
+    monkeypatch.setattr(toxicity, "ITERATIONS", 150)
+    monkeypatch.setattr(toxicity, "REGULARIZATION", 0.01)
+    monkeypatch.setattr(toxicity, "TOLERANCE", 0.0)
+    monkeypatch.setattr(toxicity, "BLOCK", 300)
+    rng = np.random.default_rng(3)
+    x = (rng.random((150, 12)) < 0.4).astype(float)
+    first = (x[:, 0] + x[:, 1] + rng.normal(0, 0.7, 150) > 1).astype(float)
+    labels = np.column_stack([first, (first + x[:, 2] + rng.normal(0, 0.7, 150) > 1.2).astype(float), (x[:, 3] + rng.normal(0, 0.5, 150) > 0.5).astype(float)])
+    folds = np.arange(150) % toxicity.FOLDS
+    rows = toxicity.Rows([np.flatnonzero(row).astype(np.uint32) for row in x])
+    assert rows.columns.tolist() == list(range(12))
+    for own, plain in zip(toxicity.fit_chain(rows, labels, folds)[0], dense_chain(x, labels, folds, 3), strict=True):
+        assert np.allclose(own, plain, atol=2e-3)
+
+
+def test_threshold_of_the_fewest_errors():
+    rng = random.Random(4)
+    for _ in range(200):
+        n = rng.randrange(1, 12)
+        odds, y = np.array([float(rng.randrange(-3, 4)) for _ in range(n)]), np.array([rng.randrange(2) for _ in range(n)])
+        errors = lambda border: ((odds >= border) != (y > 0)).sum()  # noqa: E731, B023
+        assert errors(toxicity.fewest_errors(odds, y)) == min(errors(b) for b in np.arange(-8, 8.5, 0.5))
