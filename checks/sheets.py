@@ -9,6 +9,7 @@ from ledgerline import ColumnRule, Dedupe, Transforms, schema_from_config, trans
 from ledgerline import derived
 from ledgerline.functions import coerce, text
 from ledgerline.operators import cleaning, dedupe, report
+from ledgerline.session import fresh_path, write_and_read
 from pyspark.sql.types import StringType
 
 SCHEMA = [
@@ -102,12 +103,17 @@ def validation_counts_orders(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.validation_counts(annotated(spark, folder))
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The annotated rows, parsed once for operators that read them several times."""
+    return write_and_read(annotated(spark, folder), fresh_path(spark, "annotated"))
+
+
 def dedupe_first_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return dedupe.dedupe(valid_orders(spark, folder), Dedupe(["id"], "first"))
+    return dedupe.dedupe(cleaning.valid_rows(stored(spark, folder)), Dedupe(["id"], "first"))
 
 
 def dedupe_last_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return dedupe.dedupe(valid_orders(spark, folder), Dedupe(["id"], "last"))
+    return dedupe.dedupe(cleaning.valid_rows(stored(spark, folder)), Dedupe(["id"], "last"))
 
 
 def dedupe_blank_keys_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,7 +138,7 @@ def needs_review_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cleanup_summary_orders(spark: SparkSession, folder: str) -> DataFrame:
-    summary = report.cleanup_summary(annotated(spark, folder), Dedupe(["id"]), RUN_ID)
+    summary = report.cleanup_summary(stored(spark, folder), Dedupe(["id"]), RUN_ID)
 
     def rows(column: str):
         return F.array_join(F.transform(column, lambda e: e["row_idx"].cast("string")), ",")

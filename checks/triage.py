@@ -82,9 +82,11 @@ POSITION_BITS = 30  # a block of names has the attachments of 2**20 messages
 
 
 def attachment_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """All listed attachments with their order of arrival, and the size and hash of their content."""
+    """All listed attachments with their order of arrival, and the size and hash of their content,
+    stored, because names are given out in several passes."""
     mail = derived.mail(spark, folder)
-    return attachments.with_facts(listed_attachments(mail), derived.blobs(mail))
+    facts = attachments.with_facts(listed_attachments(mail), derived.blobs(mail))
+    return write_and_read(facts, fresh_path(spark, "attachment-facts"))
 
 
 def listed_attachments(mail: DataFrame) -> DataFrame:
@@ -178,8 +180,9 @@ def attachment_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attachment_totals(spark: SparkSession, folder: str) -> DataFrame:
-    routed = attachments.route(attachment_rows(spark, folder), POLICY, POSITION_BITS)
-    return attachments.attachment_totals(routed, list_failures(spark, folder))
+    mail = derived.mail(spark, folder)
+    facts = attachments.with_facts(listed_attachments(mail), derived.blobs(mail))
+    return attachments.attachment_totals(attachments.decide(facts, POLICY), list_failures(spark, folder))
 
 
 def list_failures(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,8 +204,13 @@ def action_items(spark: SparkSession, folder: str) -> DataFrame:
     return actions.action_items(items(spark, folder))
 
 
+def stored_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The action items, parsed once for operators that read them several times."""
+    return write_and_read(action_items(spark, folder), fresh_path(spark, "action-items"))
+
+
 def distinct_messages(spark: SparkSession, folder: str) -> DataFrame:
-    first = actions.first_items(action_items(spark, folder))
+    first = actions.first_items(stored_items(spark, folder))
     return first.select(
         "row_idx", "message_id", "parse_ok", "error_count", "confidence",
         F.array_join("error_codes", ",").alias("error_codes"),
@@ -210,7 +218,7 @@ def distinct_messages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def plan(spark: SparkSession, folder: str) -> DataFrame:
-    return actions.action_plan(action_items(spark, folder), 0.6)
+    return actions.action_plan(stored_items(spark, folder), 0.6)
 
 
 def classify_actions(spark: SparkSession, folder: str) -> DataFrame:
@@ -228,7 +236,7 @@ def failures(spark: SparkSession, folder: str) -> DataFrame:
 
 def audit(spark: SparkSession, folder: str) -> DataFrame:
     return actions.action_audit(
-        action_items(spark, folder), LABELS, RUN_ID, NOW, min_confidence=0.6,
+        stored_items(spark, folder), LABELS, RUN_ID, NOW, min_confidence=0.6,
         archive_on_success=True, failures=failures(spark, folder),
         sheet_rows=triage.sheet_rows(existing(spark, folder)),
     )
@@ -247,8 +255,9 @@ def applied_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def needs_review_alert(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = action_items(spark, folder).where("error_count > 1")
-    return actions.needs_review_alert(plan(spark, folder), "mail_intake", "S1", "triage", labelled)
+    acting = stored_items(spark, folder)
+    labelled = acting.where("error_count > 1")
+    return actions.needs_review_alert(actions.action_plan(acting, 0.6), "mail_intake", "S1", "triage", labelled)
 
 
 QUERIES = {

@@ -23,7 +23,10 @@ def action_items(items: DataFrame, row: str = "row_idx") -> DataFrame:
 
 
 def first_items(items: DataFrame, row: str = "row_idx") -> DataFrame:
-    """One item per message id, the first one; its error codes are those of the last one."""
+    """One item per message id, the first one; its error codes are those of the last one.
+
+    ``items`` are read three times: store them, unless they cost no more than a scan.
+    """
     codes = F.col("error_codes") if "error_codes" in items.columns else F.lit(None).cast("array<string>")
     key = F.coalesce("message_id", F.lit(""))
     ends = items.groupBy(key.alias("message_id")).agg(F.min(row).alias("at"), F.max(row).alias("end"))
@@ -167,14 +170,21 @@ def needs_review_alert(
     labelled: DataFrame | None = None,
 ) -> DataFrame:
     """One row if there is something new to review, else none. ``labelled`` holds all messages
-    under the needs-review label; their number is shown too."""
-    new = plan.agg(
-        F.count_if(F.col("action") == "needs_review").alias("new_needs_review_count")
-    ).where(F.col("new_needs_review_count") > 0)
-    total = F.lit(None).cast("long")
+    under the needs-review label; their number is shown too.
+
+    Both are counted in one aggregate. Each is read once, so a plan and labels that come from the
+    same parsed mail should come from stored items.
+    """
+    new = F.when(F.col("action") == "needs_review", 1).alias("is_new")
+    counted = plan.select(new, F.lit(None).cast("int").alias("is_labelled"))
     if labelled is not None:
-        total = labelled.agg(F.count(F.lit(1))).scalar()
-    return new.select(
+        one = F.lit(1).alias("is_labelled")
+        counted = counted.unionByName(labelled.select(F.lit(None).cast("int").alias("is_new"), one))
+    total = F.lit(None).cast("long") if labelled is None else F.col("labelled")
+    counts = counted.agg(
+        F.count("is_new").alias("new_needs_review_count"), F.count("is_labelled").alias("labelled")
+    )
+    return counts.where(F.col("new_needs_review_count") > 0).select(
         F.lit(workflow).alias("workflow"), F.lit(sheet_id).alias("sheet_id"),
         F.lit(triage_tab).alias("triage_tab"),
         F.lit(sheet_link(sheet_id, triage_tab)).alias("triage_sheet_url"),

@@ -127,7 +127,24 @@ def allocate_names(df: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
 def route(
     attachments: DataFrame, policy: AttachmentPolicy, bits: int = BLOCK_BITS
 ) -> DataFrame:
-    """Decide where each attachment goes, and under which name.
+    """`decide` where each attachment goes, and under which name.
+
+    Names are given out in several passes over ``attachments``: store them, unless they cost no more
+    than a scan. They are worked out on positions, folders and names alone, and joined back by position.
+    """
+    decided = decide(attachments, policy)
+    names = allocate_names(decided.select("position", "folder", "safe_name"), bits)
+    names = names.where("folder IS NOT NULL").select(F.col("position").alias("at"), "stored_name")
+    path = F.concat_ws("/", F.lit("attachments"), F.col("folder"), F.col("stored_name"))
+    return decided.join(names, F.col("position") == F.col("at"), "left").select(
+        *[c for c in decided.columns if c not in ("folder", "safe_name")],
+        F.when(F.col("stored_name").isNotNull(), path).otherwise("").alias("saved_path"),
+    )
+
+
+def decide(attachments: DataFrame, policy: AttachmentPolicy) -> DataFrame:
+    """Where each attachment goes and why, with the ``folder`` and the ``safe_name`` it asks for if it is
+    stored; no names are given out, so nothing is shuffled. Totals and manifests without paths need no more.
 
     ========================  ==========================================================
     status                    meaning
@@ -155,25 +172,20 @@ def route(
     to_store = F.when(F.col("size").isNotNull() & ~passed, "quarantine")
     if policy.route_mode == "artifacts":
         to_store = to_store.when(passed, "routed")
-    out = allocate_names(facts.withColumn("folder", to_store), bits)
-
     drive_error = None
     if policy.route_mode == "drive" and not policy.drive_folder_id:
         drive_error = "drive_missing_folder_id"
     elif policy.route_mode == "drive" and not policy.drive_ready:
         drive_error = "drive_client_not_configured"
-    stored = F.col("stored_name").isNotNull()
     # The words for where an attachment went.
     sent = "routed_drive" if policy.route_mode == "drive" else "routed_artifacts"
     status = F.when(F.col("size").isNull(), "ERROR").when(~passed, "quarantined").otherwise(
         "error" if drive_error else sent
     )
     reason = F.when(passed, drive_error or "ok").otherwise(F.col("verdict"))
-    path = F.concat_ws("/", F.lit("attachments"), F.col("folder"), F.col("stored_name"))
-    return out.select(
+    return facts.select(
         "position", "message_id", "part_id", "attachment_id", "filename", "mime_type", "size",
-        "sha256", status.alias("status"), reason.alias("reason"),
-        F.when(stored, path).otherwise("").alias("saved_path"),
+        "sha256", status.alias("status"), reason.alias("reason"), to_store.alias("folder"), "safe_name",
     )
 
 
@@ -210,7 +222,8 @@ def attachment_summary(routed: DataFrame, list_failures: DataFrame | None = None
 
 
 def attachment_totals(routed: DataFrame, list_failures: DataFrame | None = None) -> DataFrame:
-    rows = attachment_summary(routed, list_failures)
+    """One row of counts, of what `decide` or `route` gave."""
+    rows = attachment_summary(routed.withColumn("saved_path", F.lit("")), list_failures)
     is_listing = F.startswith("reason", F.lit("list_attachments_failed:"))
     is_routed = F.startswith("status", F.lit("routed_"))
     is_held = F.col("status") == "quarantined"

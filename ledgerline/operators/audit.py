@@ -72,11 +72,11 @@ def run_bundles(runs: DataFrame, steps: DataFrame, steps_per_row: int = 10_000)
     )
 
 
-def run_status(steps: DataFrame) -> DataFrame:
-    """Runs from their steps: FAILED if a step failed, from the first start to the last finish."""
+def run_status_columns() -> list[Column]:
+    """The aggregates that make a run of its steps."""
     failed = F.col("status") == "FAILED"
     start, finish = F.try_to_timestamp(F.min("started_at")), F.try_to_timestamp(F.max("finished_at"))
-    return steps.groupBy("run_id").agg(
+    return [
         F.when(F.max(failed), "FAILED").otherwise("OK").alias("status"),
         F.min("started_at").alias("started_at"),
         F.max("finished_at").alias("finished_at"),
@@ -84,7 +84,12 @@ def run_status(steps: DataFrame) -> DataFrame:
         F.min_by(
             F.when(failed, F.col("error_summary")), F.when(failed, F.col("step_position"))
         ).alias("error_summary"),
-    )
+    ]
+
+
+def run_status(steps: DataFrame) -> DataFrame:
+    """Runs from their steps: FAILED if a step failed, from the first start to the last finish."""
+    return steps.groupBy("run_id").agg(*run_status_columns())
 
 
 def unmatched_runs(runs: DataFrame, steps: DataFrame) -> DataFrame:

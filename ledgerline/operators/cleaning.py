@@ -184,16 +184,22 @@ def cells_as_text(annotated: DataFrame) -> list[Column]:
 
 def valid_rows(annotated: DataFrame) -> DataFrame:
     """The typed cells of the valid rows, with their positions."""
-    return annotated.where(is_valid()).select(ROW, "clean.*")
+    return _where(annotated, is_valid(), F.col("clean"))
+
+
+def _where(annotated: DataFrame, condition: Column, row: Column) -> DataFrame:
+    """The position and the fields of the struct ``row`` of the rows under ``condition``.
+
+    The rows come out of an array that is empty for the others. A filter on reasons would be pushed
+    below the projection that works them out, and would parse every cell a second time.
+    """
+    return annotated.select(ROW, F.inline(F.when(condition, F.array(row))))
 
 
 def invalid_rows(annotated: DataFrame) -> DataFrame:
     """The rows that break a rule, as they were given to the validation."""
-    return annotated.where(~is_valid()).select(
-        ROW,
-        F.struct(*cells_as_text(annotated)).alias("row"),
-        F.col("v_reasons").alias("reasons"),
-    )
+    row = F.struct(*cells_as_text(annotated)).alias("row")
+    return _where(annotated, ~is_valid(), F.struct(row, F.col("v_reasons").alias("reasons")))
 
 
 def mark_rows(annotated: DataFrame, prefix: str = "_") -> DataFrame:

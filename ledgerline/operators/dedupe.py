@@ -30,6 +30,8 @@ def dedupe(df: DataFrame, rule: Dedupe, order: str = "row_idx") -> DataFrame:
     before its shuffle; a key that holds much of the table leaves at most one row per input
     partition. The rows then meet the winners by position, which is unique. Rows with a blank key
     need no partner and pass all this by.
+
+    ``df`` is read three times: store it, unless it costs no more than a scan.
     """
     if not rule.keys:
         return df

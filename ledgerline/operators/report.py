@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import is_blank
-from ledgerline.operators.cleaning import ROW, is_valid, row_json
+from ledgerline.operators.cleaning import ROW, is_valid, row_json, valid_rows
 from ledgerline.operators.dedupe import dedupe, head, removed_count
 from ledgerline.rules import Dedupe
 
@@ -85,8 +85,8 @@ def needs_review(annotated: DataFrame, omit_null: bool = False) -> DataFrame:
             issue(1, "v_reasons", row_json(annotated, "cells", "raw", omit_null=omit_null)),
         )
     )
-    failed = (F.size("t_reasons") > 0) | (F.size("v_reasons") > 0)
-    return annotated.where(failed).select(ROW, F.inline(issues))
+    # A row without issues gives none; a filter on the reasons would parse every cell once more.
+    return annotated.select(ROW, F.inline(issues))
 
 
 def in_report_order(issues: DataFrame) -> DataFrame:
@@ -105,47 +105,44 @@ def cleanup_summary(
     """One row: the counts, the first failed rows of both stages, and previews of the outputs.
 
     The lists are short by definition (``examples`` and ``preview`` rows), so gathering them into
-    one row is bounded.
+    one row is bounded. ``annotated`` is read once for the counts and once or twice for each list:
+    store it, unless it costs no more than a scan.
     """
 
-    def listed(df: DataFrame, n: int, name: str) -> DataFrame:
-        members = head(df, n).agg(F.array_sort(F.collect_list(F.struct(ROW, "entry"))).alias("found"))
-        return members.select(F.transform("found", lambda x: x["entry"]).alias(name))
-
     def example(reasons: str, json_row) -> DataFrame:
-        return annotated.where(F.size(reasons) > 0).select(
-            ROW, F.struct(F.col(ROW).alias(ROW), F.col(reasons).alias("reasons"),
-                          json_row.alias("row")).alias("entry")
-        )
-
-    cleaned = dedupe(annotated.where(is_valid()).select(ROW, "clean.*"), rule)
-    parts = [
-        cleanup_counts(annotated, rule).select(F.struct("*").alias("counts")),
-        listed(example("t_reasons", row_json(annotated, "raw")), examples, "transform_invalid_examples"),
-        listed(
+        entry = F.struct(F.col(ROW).alias(ROW), F.col(reasons).alias("reasons"), json_row.alias("row"))
+        one = F.when(F.size(reasons) > 0, F.array(F.struct(entry.alias("entry"))))
+        return annotated.select(ROW, F.inline(one))
+
+    cleaned = dedupe(valid_rows(annotated), rule)
+    cells = F.struct(*[c for c in cleaned.columns if c != ROW])
+    marked = F.struct(
+        row_json(annotated, "cells", "raw").alias("row"), is_valid().alias("valid"),
+        F.array_join("v_reasons", "|").alias("reasons"),
+    )
+    lists = {
+        "transform_invalid_examples": (example("t_reasons", row_json(annotated, "raw")), examples),
+        "validation_invalid_examples": (
             example("v_reasons", row_json(annotated, "cells", "raw")), examples,
-            "validation_invalid_examples",
         ),
-        listed(
-            cleaned.select(ROW, F.to_json(F.struct(*[c for c in cleaned.columns if c != ROW]),
-                                          {"ignoreNullFields": "false"}).alias("entry")),
-            preview, "cleaned_preview",
+        "cleaned_preview": (
+            cleaned.select(ROW, F.to_json(cells, {"ignoreNullFields": "false"}).alias("entry")), preview,
         ),
-        listed(
-            annotated.select(
-                ROW,
-                F.struct(row_json(annotated, "cells", "raw").alias("row"),
-                         is_valid().alias("valid"),
-                         F.array_join("v_reasons", "|").alias("reasons")).alias("entry"),
-            ),
-            preview, "marked_preview",
-        ),
-    ]
-    # Each part is one value; those after the counts are scalar subqueries.
-    counts, *lists = parts
-    return counts.select(
+        "marked_preview": (annotated.select(ROW, marked.alias("entry")), preview),
+    }
+    # The few rows of all parts come together in one aggregate, each part in a column of its own.
+    parts = cleanup_counts(annotated, rule).select(F.struct("*").alias("counts"))
+    for name, (rows, n) in lists.items():
+        parts = parts.unionByName(
+            head(rows, n).select(F.struct(ROW, "entry").alias(name)), allowMissingColumns=True
+        )
+    found = parts.agg(
+        F.max("counts").alias("counts"),
+        *[F.array_sort(F.collect_list(name)).alias(name) for name in lists],
+    )
+    return found.select(
         F.lit(workflow).alias("workflow"), F.lit(run_id).alias("run_id"), "counts",
-        *[p.scalar().alias(p.columns[0]) for p in lists],
+        *[F.transform(name, lambda x: x["entry"]).alias(name) for name in lists],
     )
 
 

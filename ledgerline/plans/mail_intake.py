@@ -79,7 +79,7 @@ def run(
             "position", F.shiftleft("row_idx", 16) + F.col("attachment_position")
         )
         contents = write_and_read(attachments.contents(blobs), f"{base}/attachment_contents")
-        facts = attachments.with_facts(placed, contents)
+        facts = write_and_read(attachments.with_facts(placed, contents), f"{base}/attachment_facts")
         routed = write_and_read(
             attachments.route(facts, options.policy, POSITION_BITS), f"{base}/attachments"
         )
