@@ -94,3 +94,15 @@ def test_components_of_a_chain(spark):
     found = {r["node"]: r["component"] for r in components(links).collect()}
     assert found == {**{i: 0 for i in range(61)}, 99: 99, 100: 99}
     assert components(links.where("a < 0")).count() == 0
+
+
+def test_components_of_a_long_chain_in_few_steps(spark, monkeypatch):
+    from ledgerline.llm import components
+
+    steps = []
+    order = components._order
+    monkeypatch.setattr(components, "_order", lambda node, step: (steps.append(step), order(node, step))[1])
+    chain = spark.range(600).selectExpr("id AS a", "id + 1 AS b").unionByName(spark.createDataFrame([(900, 901), (902, 901)], "a long, b long"))
+    found = {r["node"]: r["component"] for r in components.components(chain).collect()}
+    assert found == {**dict.fromkeys(range(601), 0), 900: 900, 901: 900, 902: 900}
+    assert max(steps) <= 12
