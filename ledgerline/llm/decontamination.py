@@ -1,32 +1,35 @@
-"""Benchmark decontamination: rare n-grams find the places to look at, local alignment decides.
+"""Benchmark decontamination: rare n-grams are joined to find the places to look at, local alignment decides.
 
-Items of the benchmark are cut into passages of words. A gram of a passage is a seed if it is among the rarer
-ones of that passage in the corpus, counted over all documents. Where a seed stands in a document, the words
-around it are aligned with the passage by Smith-Waterman, so that copies with words changed, left out or put
-in are scored too. Documents are not moved: the passages go to the tasks, in blocks of bounded size.
+Items of the benchmark are cut into passages of words, in tasks. A gram of a passage is a seed if it is among the
+rarer ones of that passage in the corpus, counted over all documents. Seeds are joined with the grams of the
+documents; where they meet, the words around are aligned with the passage by Smith-Waterman, so that copies with
+words changed, left out or put in are scored too. The driver holds one filter of a fixed size and nothing else.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.batches import slices, texts
+from ledgerline.llm.batches import map_slices, slices, texts
+from ledgerline.session import fresh_path, write_and_read
 
 WORDS = re.compile(r"\w+")
 GRAM = 3
 PASSAGE_WORDS = 256
 LEAST_WORDS = 8
-BLOCK_CHARS = 16_000_000
+FILTER_BITS = 1 << 26
+SALTS = 16
 CELLS = 1 << 21
+KNOWN_WORDS = 1 << 18
 _MIX = 0x9E3779B97F4A7C15
 
 
@@ -35,105 +38,160 @@ def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
 
 
-@dataclass
-class Passages:
-    """Passages of a block: the item and the word numbers of each, and its grams with their places."""
+class WordNumbers(dict):
+    """A positive, odd number for each word; what is remembered between calls is bounded."""
 
-    vocabulary: dict[str, int]
-    items: list[int]
-    words: list[np.ndarray]
-    grams: np.ndarray  # distinct, sorted
-    gram_at: np.ndarray  # for each place of a gram: its number in grams, ascending
-    passage_at: np.ndarray
-    offset_at: np.ndarray
+    def __missing__(self, word: str) -> int:
+        number = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 2 | 1
+        if len(self) < KNOWN_WORDS:
+            self[word] = number
+        return number
 
-    def keep(self, places: np.ndarray) -> Passages:
-        """The same passages with only some places as seeds."""
-        kept = np.unique(self.gram_at[places])
-        number = np.full(len(self.grams), -1)
-        number[kept] = np.arange(len(kept))
-        return Passages(self.vocabulary, self.items, self.words, self.grams[kept], number[self.gram_at[places]], self.passage_at[places], self.offset_at[places])
+    def of(self, text: str) -> np.ndarray:
+        found = words_of(text)
+        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
 
 
 def gram_hashes(words: np.ndarray) -> np.ndarray:
-    """A number for each run of GRAM words, 0 for those with a word (0) that no passage has."""
-    if len(words) < GRAM:
-        return np.zeros(0, np.uint64)
-    known = np.ones(len(words) - GRAM + 1, bool)
-    mixed = np.zeros(len(known), np.uint64)
-    for i in range(GRAM):
-        word = words[i : len(words) - GRAM + 1 + i].astype(np.uint64)
-        known &= word > 0
-        mixed = (mixed ^ word) * np.uint64(_MIX)
+    """A number for each run of GRAM words; fewer words make one gram together."""
+    length = min(GRAM, len(words))
+    if not length:
+        return np.zeros(0, np.int64)
+    mixed = np.full(len(words) - length + 1, length, np.uint64)
+    for i in range(length):
+        mixed = (mixed ^ words[i : len(words) - length + 1 + i].astype(np.uint64)) * np.uint64(_MIX)
         mixed ^= mixed >> np.uint64(29)
-    return np.where(known, mixed | np.uint64(1), np.uint64(0))
-
-
-def cut_passages(items: list[tuple[int, str]]) -> Passages:
-    """Items of fewer than LEAST_WORDS words are left out: a match of so little is no evidence of a leak."""
-    vocabulary: dict[str, int] = {}
-    owners, passages = [], []
-    for item, text in items:
-        words = words_of(text)
-        if len(words) < LEAST_WORDS:
-            continue
-        numbers = np.array([vocabulary.setdefault(word, len(vocabulary) + 1) for word in words], np.int64)
-        last = max(0, len(words) - PASSAGE_WORDS)
-        for start in sorted({*range(0, last, PASSAGE_WORDS // 2), last}):
-            owners.append(item)
-            passages.append(numbers[start : start + PASSAGE_WORDS])
-    hashes = [gram_hashes(words) for words in passages]
-    every = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-    grams, gram_at = np.unique(every, return_inverse=True)
-    passage_at = np.repeat(np.arange(len(passages)), [len(h) for h in hashes]).astype(np.int64)
-    offset_at = np.concatenate([*(np.arange(len(h)) for h in hashes), np.zeros(0, np.int64)]).astype(np.int64)
-    order = np.argsort(gram_at, kind="stable")
-    return Passages(vocabulary, owners, passages, grams, gram_at[order], passage_at[order], offset_at[order])
-
-
-def _hits(text: str, p: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The word numbers of a text, the places that begin a gram of a passage, and the numbers of these grams."""
-    found = words_of(text)
-    words = np.fromiter(map(p.vocabulary.get, found, repeat(0)), np.int64, len(found))
-    hashes = gram_hashes(words)
-    at = np.flatnonzero(hashes)
-    number = np.minimum(np.searchsorted(p.grams, hashes[at]), max(0, len(p.grams) - 1))
-    real = p.grams[number] == hashes[at] if len(p.grams) else np.zeros(len(at), bool)
-    return words, at[real], number[real]
-
-
-def document_frequencies(docs: DataFrame, p: Passages, text_col: str) -> np.ndarray:
-    """In how many documents each gram of the block stands; at most one row for each gram comes back."""
+    return mixed.view(np.int64)
+
+
+def cut_passages(benchmark: DataFrame) -> DataFrame:
+    """``passage`` (digest of its words), ``item`` (the smallest with this passage), ``words``, ``grams``."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").cast("binary").alias("body")).dropna()
+
+    def cut(part: pa.RecordBatch) -> dict:
+        numbers = WordNumbers()
+        owners, passages = [], []
+        for item, text in zip(part.column("item").to_pylist(), texts(part), strict=True):
+            words = numbers.of(text)
+            last = max(0, len(words) - PASSAGE_WORDS)
+            for start in sorted({*range(0, last, PASSAGE_WORDS // 2), last}) if len(words) else ():
+                owners.append(item)
+                passages.append(words[start : start + PASSAGE_WORDS])
+        digests = [hashlib.md5(words.tobytes()).hexdigest() for words in passages]
+        grams = [gram_hashes(words) for words in passages]
+        return {"passage": pa.array(digests, pa.string()), "item": pa.array(owners, pa.int64()), "words": pa.array(passages, pa.list_(pa.int64())), "grams": pa.array(grams, pa.list_(pa.int64()))}
+
+    found = map_slices(items, cut, "passage string, item long, words array<long>, grams array<long>")
+    return found.groupBy("passage").agg(F.min("item").alias("item"), F.first("words").alias("words"), F.first("grams").alias("grams"))
+
+
+def gram_filter(grams: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``gram`` in 64-bit words, of FILTER_BITS however many grams there are."""
+    low, high = F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned("gram", 32).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = grams.select(F.explode(F.array(low, high)).alias("bit"))
+    packed = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit & 63))")).alias("bits"))
+    rows = packed.toArrow()
+    words = np.zeros(FILTER_BITS >> 6, np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return words.view(np.uint64)
+
+
+def may_hold(words: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """The places of ``grams`` that the filter lets through: all that are in it, and a few others."""
+    places, mask = np.arange(len(grams)), np.uint64(len(words) * 64 - 1)
+    for shift in (0, 32):
+        bit = grams[places].view(np.uint64) >> np.uint64(shift) & mask
+        places = places[(words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return places
+
+
+def document_frequencies(bodies: DataFrame, grams: DataFrame) -> DataFrame:
+    """``gram``, ``n``: in how many documents each of ``grams`` stands; those in none are left out."""
+    known = bodies.sparkSession.sparkContext.broadcast(gram_filter(grams))
+
+    def count(part: pa.RecordBatch) -> dict:
+        numbers = WordNumbers()
+        found = [np.zeros(0, np.int64)]
+        for text in texts(part):
+            own = gram_hashes(numbers.of(text))
+            found.append(np.unique(own[may_hold(known.value, own)]))
+        gram, n = np.unique(np.concatenate(found), return_counts=True)
+        return {"gram": pa.array(gram, pa.int64()), "n": pa.array(n, pa.int64())}
+
+    return map_slices(bodies, count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).join(grams, "gram", "left_semi")
+
+
+def seeds(passages: DataFrame, frequency: DataFrame, rare_share: float) -> DataFrame:
+    """``gram``, ``passage``, ``offset``, ``size``: of the places of each passage whose grams stand in documents, the
+    ``rare_share`` with the rarest grams, those as rare included.
+
+    Rarity is judged inside a passage, so one that leaked into very many documents keeps its seeds.
+    """
+    places = passages.select("passage", F.size("words").alias("size"), F.posexplode("grams").alias("offset", "gram")).join(frequency, "gram")
+    own = Window.partitionBy("passage")  # at most PASSAGE_WORDS rows
+    ranked = places.withColumn("rank", F.row_number().over(own.orderBy("n", "offset"))).withColumn("wanted", F.ceil(F.count("*").over(own) * rare_share))
+    limit = F.max(F.when(F.col("rank") <= F.col("wanted"), F.col("n"))).over(own)
+    return ranked.withColumn("most", limit).where("n <= most").select("gram", "passage", "offset", "size")
+
+
+def texts_with_seeds(bodies: DataFrame, grams: DataFrame) -> DataFrame:
+    """``place``, ``leak_key``, ``words``, ``ats``, ``grams`` of the texts that hold a gram of ``grams``, perhaps one that
+    only seems to be; ``ats`` are the places of the grams among the words. A task passes over a text that it just had."""
+    known = bodies.sparkSession.sparkContext.broadcast(gram_filter(grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[int] = Counter()
-        for batch in batches:
-            for part in slices(batch):
-                for text in texts(part):
-                    counts.update(np.unique(_hits(text, p)[2]).tolist())
-        yield pa.RecordBatch.from_pydict({"gram": pa.array(counts.keys(), pa.int64()), "n": pa.array(counts.values(), pa.int64())})
+        place = TaskContext.get().partitionId() << 33
 
-    rows = docs.select(F.col(text_col).cast("string").cast("binary").alias("body")).mapInArrow(run, "gram long, n long")
-    frequency = np.zeros(len(p.grams), np.int64)
-    for row in rows.groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        frequency[row["gram"]] = row["n"]
-    return frequency
+        def find(part: pa.RecordBatch) -> dict:
+            nonlocal place
+            numbers = WordNumbers()
+            rows = []
+            seen = set()
+            for key, text in zip(part.column("leak_key").to_pylist(), texts(part), strict=True):
+                if key in seen:
+                    continue
+                seen.add(key)
+                words = numbers.of(text)
+                own = gram_hashes(words)
+                ats = may_hold(known.value, own)
+                if len(ats):
+                    rows.append((place, key, words, ats, own[ats]))
+                    place += 1
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            return {name: pa.array(values, kind) for name, values, kind in zip(FOUND, columns, FOUND.values(), strict=True)}
 
+        yield from _sliced(batches, find)
 
-def seeds(p: Passages, frequency: np.ndarray, rare_share: float) -> Passages:
-    """Of the grams of each passage that stand in documents, the ``rare_share`` rarest, those as rare included.
+    return bodies.mapInArrow(run, "place long, leak_key string, words array<long>, ats array<long>, grams array<long>")
 
-    Rarity is judged inside a passage, so one that leaked into very many documents keeps its seeds.
-    """
-    n = frequency[p.gram_at]
-    places = np.flatnonzero(n > 0)
-    order = places[np.lexsort((n[places], p.passage_at[places]))]
-    owners = p.passage_at[order]
-    starts = np.flatnonzero(np.diff(owners, prepend=-1))
-    sizes = np.diff(starts, append=len(order))
-    limit = np.zeros(len(p.words), np.int64)
-    limit[owners[starts]] = n[order[starts + np.ceil(sizes * rare_share).astype(np.int64) - 1]]
-    return p.keep(places[n[places] <= limit[p.passage_at[places]]])
+
+FOUND = {"place": pa.int64(), "leak_key": pa.string(), "words": pa.list_(pa.int64()), "ats": pa.list_(pa.int64()), "grams": pa.list_(pa.int64())}
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], function: Callable[[pa.RecordBatch], dict]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch):
+            yield pa.RecordBatch.from_pydict(function(part))
+
+
+def join_spread(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join on ``key`` in which the rows of a key in ``many`` are dealt to SALTS tasks by ``by``."""
+    dealt = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    copies = few.withColumn("salt", F.explode(F.array(*(F.lit(salt).cast("long") for salt in range(SALTS)))))
+    return dealt.join(copies, [key, "salt"]).drop("salt")
+
+
+def windows(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``place``, ``passage``, ``low``, ``high``: the stretches of words around seeds that lie on nearby diagonals."""
+    hits = found.select("place", F.explode(F.arrays_zip("ats", "grams")).alias("hit")).select("place", "hit.ats", F.col("hit.grams").alias("gram"))
+    met = join_spread(hits, seeds, "gram", "place")
+    lines = met.select("place", "passage", "size", (F.col("ats") - F.col("offset")).alias("diagonal")).distinct()
+    along = Window.partitionBy("place", "passage").orderBy("diagonal")  # the seeds of one text
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > F.floor(F.col("size") / 2), F.lit(True))
+    stretches = lines.withColumn("apart", apart.cast("int")).withColumn("stretch", F.sum("apart").over(along))
+    slack = F.floor(F.first("size") / 2)
+    ends = (F.greatest(F.min("diagonal") - slack, F.lit(0)).alias("low"), (F.max("diagonal") + F.first("size") + slack).alias("high"))
+    return stretches.groupBy("place", "passage", "stretch").agg(*ends).drop("stretch")
 
 
 def align(passages: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
@@ -169,45 +227,23 @@ def align(passages: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     return scores
 
 
-def _windows(words: np.ndarray, at: np.ndarray, number: np.ndarray, p: Passages) -> Iterator[tuple[int, np.ndarray]]:
-    """The stretches of a document to align with a passage: around seeds that lie on nearby diagonals."""
-    first = np.searchsorted(p.gram_at, number)
-    n = np.searchsorted(p.gram_at, number, side="right") - first
-    place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-    passage = p.passage_at[place]
-    diagonal = np.repeat(at, n) - p.offset_at[place]
-    order = np.lexsort((diagonal, passage))
-    passage, diagonal = passage[order], diagonal[order]
-    sizes = np.array([len(p.words[i]) for i in passage], np.int64)
-    apart = (np.diff(passage, prepend=-1) != 0) | (np.diff(diagonal, prepend=0) > sizes // 2)
-    starts = np.flatnonzero(apart)
-    for start, end in zip(starts, [*starts[1:], len(passage)], strict=True):
-        slack = int(sizes[start]) // 2
-        low, high = int(diagonal[start]) - slack, int(diagonal[end - 1]) + int(sizes[start]) + slack
-        yield int(passage[start]), words[max(0, low) : high]
-
-
-def best_matches(batch: list[str], p: Passages) -> list[tuple[int | None, float]]:
-    """For each text the item it holds most of, the smaller id of equals, and the score as share of a full copy."""
-    owners, passages, windows = [], [], []
-    for row, text in enumerate(batch):
-        words, at, number = _hits(text, p)
-        if len(at):
-            for passage, window in _windows(words, at, number, p):
-                owners.append(row)
-                passages.append(passage)
-                windows.append(window)
-    scores = align([p.words[i] for i in passages], windows)
-    best: list[tuple[int | None, float]] = [(None, 0.0)] * len(batch)
-    for row, passage, score in zip(owners, passages, scores.tolist(), strict=True):
-        best[row] = better(best[row], (p.items[passage], score / len(p.words[passage])))
-    return best
-
-
-def better(a: tuple[int | None, float], b: tuple[int | None, float]) -> tuple[int | None, float]:
-    if a[0] is None or b[0] is None:
-        return b if a[0] is None else a
-    return max(a, b, key=lambda match: (match[1], -match[0]))
+def best_matches(found: DataFrame, windows: DataFrame, passages: DataFrame) -> DataFrame:
+    """``leak_key``, ``leak_item``, ``leak_score``: the item a text holds most of, the smaller id of equals."""
+    near = windows.join(found.select("place", "leak_key", "words"), "place")
+    near = near.select("leak_key", "passage", F.slice("words", (F.col("low") + 1).cast("int"), (F.col("high") - F.col("low")).cast("int")).alias("window"))
+    pairs = join_spread(near, passages.select("passage", "item", "words"), "passage", "leak_key")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = ([row.values.to_numpy() for row in batch.column(name)] for name in ("words", "window"))
+            sizes = np.array([len(words) for words in left], np.int64)
+            share = align(left, right) / np.maximum(sizes, 1)
+            share[(sizes < LEAST_WORDS) & (share < 1)] = 0
+            yield pa.RecordBatch.from_pydict({"leak_key": batch.column("leak_key"), "item": batch.column("item"), "score": pa.array(share, pa.float64())})
+
+    scored = pairs.select("leak_key", "item", "words", "window").mapInArrow(score, "leak_key string, item long, score double").where("score > 0")
+    best = scored.groupBy("leak_key").agg(F.max("score").alias("leak_score"), F.min(F.struct(-F.col("score"), F.col("item").alias("item")))["item"].alias("leak_item"))
+    return best.select("leak_key", "leak_item", "leak_score")
 
 
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, rare_share: float = 0.75, text_col: str = "text") -> DataFrame:
@@ -216,38 +252,31 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ra
     The score is that of the best alignment as a share of the item's (or passage's) words; from ``threshold``
     on the document counts as leaked. ``leak_item`` is the item of that alignment, null if no seed matches.
     Null and empty texts, and all texts if the benchmark is empty, have no item and score 0. Items without id
-    or text, and items of fewer than 8 words, are not looked for; items of over 256 words are looked for in
-    overlapping passages of that length. Rows, their order in ties and their other columns stay as they are;
-    columns of ``docs`` with the new names are replaced.
+    or words are not looked for. Items of fewer than 8 words count only where all their words stand one after the
+    other, those of one or two words only where they are the whole text; items of over 256 words are looked for in
+    overlapping passages of that length. All rows and their other columns stay as they are, equal ones included;
+    columns of ``docs`` with the new names are replaced. ``docs`` is read three times: store it first.
     """
-    added = ("leak_item", "leak_score", "leaked")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_blocks = -(-chars // BLOCK_CHARS) or 1
-    kept = [F.col(f"`{name}`") for name in docs.columns if name not in added]
-    marked = docs.select(*kept, F.lit(None).cast("long").alias("leak_item"), F.lit(0.0).alias("leak_score"))
-    for block in range(n_blocks if chars else 0):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).collect()
-        p = cut_passages([(row["item_id"], row["text"]) for row in own])
-        p = seeds(p, document_frequencies(docs, p, text_col), rare_share)
-        marked = _marked(marked, docs.sparkSession.sparkContext.broadcast(p), text_col)
-    return marked.withColumn("leaked", F.col("leak_score") >= threshold)
-
-
-def _marked(docs: DataFrame, passages, text_col: str) -> DataFrame:
-    names = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = batch.column(text_col)
-            body = pa.RecordBatch.from_arrays([*batch.columns, text.cast(pa.binary())], names=[*map(str, range(batch.num_columns)), "body"])
-            for part in slices(body):
-                before = zip(part.column(part.num_columns - 3).to_pylist(), part.column(part.num_columns - 2).to_pylist(), strict=True)
-                best = [better(*pair) for pair in zip(before, best_matches(texts(part), passages.value), strict=True)]
-                found = [pa.array([item for item, _ in best], pa.int64()), pa.array([score for _, score in best], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-3], *found], names=names)
-
-    return docs.mapInArrow(run, docs.schema)
+    spark = docs.sparkSession
+    key = F.md5(F.col(text_col).cast("string").cast("binary"))
+    bodies = docs.select(key.alias("leak_key"), F.col(text_col).cast("string").cast("binary").alias("body"))
+    passages = write_and_read(cut_passages(benchmark), fresh_path(spark, "passages"))
+    grams = passages.select(F.explode("grams").alias("gram")).distinct()
+    rare = write_and_read(seeds(passages, document_frequencies(bodies, grams), rare_share), fresh_path(spark, "seeds"))
+    found = write_and_read(texts_with_seeds(bodies, rare.select("gram").distinct()), fresh_path(spark, "texts-with-seeds"))
+    first = found.groupBy("leak_key").agg(F.min("place").alias("place")).select("place")
+    found = found.join(first, "place", "left_semi")
+    best = write_and_read(best_matches(found, windows(found, rare), passages), fresh_path(spark, "leaks"))
+    return _with_matches(docs, key, best).withColumn("leaked", F.col("leak_score") >= threshold)
+
+
+def _with_matches(docs: DataFrame, key: Column, best: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the match of their text; copies of a text are dealt to SALTS tasks."""
+    kept = [name for name in docs.columns if name not in ("leak_item", "leak_score", "leaked")]
+    rows = docs.select(F.struct(*(F.col(f"`{name}`") for name in kept)).alias("row"), key.alias("leak_key"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"))
+    copies = best.withColumn("salt", F.explode(F.array(*(F.lit(salt).cast("long") for salt in range(SALTS)))))
+    matched = rows.join(copies, ["leak_key", "salt"], "left")
+    return matched.select(*(F.col("row").getField(name).alias(name) for name in kept), "leak_item", F.coalesce("leak_score", F.lit(0.0)).alias("leak_score"))
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, rare_share: float = 0.75) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerline.llm import decontamination as dc
 from tests.llm.cases import LONG, documents, nothing
@@ -53,8 +54,7 @@ def test_scores_equal_a_search_of_everything(spark):
     rng = random.Random(3)
     tests = items(rng, 6, 25)
     texts = [f"x y {changed(rng, t, 0.3)} z" for t in tests for _ in range(4)]
-    numbers = {}
-    number = lambda text: [numbers.setdefault(w, len(numbers) + 1) for w in dc.words_of(text)]
+    number = lambda text: dc.words_of(text)
     for r in dc.mark_leaks(documents(spark, texts, list(range(24))), benchmark(spark, tests), rare_share=1.0).collect():
         best = max(smith_waterman(number(t), number(texts[r["doc_id"]])) / 25 for t in tests)
         assert r["leak_score"] == pytest.approx(best) or best < 0.3
@@ -77,15 +77,30 @@ def test_ties_go_to_the_smaller_item_and_long_items_are_cut(spark):
     assert found == {1: (4, True), 2: (6, True), 3: (None, False), 4: (None, False), 5: (None, False)}
 
 
-def test_blocks_give_what_one_block_gives(spark, monkeypatch):
+def test_a_filter_that_lets_all_through_changes_nothing(spark, monkeypatch):
     rng = random.Random(6)
     tests = items(rng)
     docs = documents(spark, [f"a {t} b {u}" for t, u in zip(tests, tests[1:] + tests[:1], strict=True)], list(range(20)))
     whole = sorted(dc.mark_leaks(docs, benchmark(spark, tests)).select("doc_id", "leak_item", "leak_score").collect())
-    monkeypatch.setattr(dc, "BLOCK_CHARS", 500)
+    assert all(r["leak_score"] == 1.0 for r in whole)
+    monkeypatch.setattr(dc, "FILTER_BITS", 64)
     assert sorted(dc.mark_leaks(docs, benchmark(spark, tests)).select("doc_id", "leak_item", "leak_score").collect()) == whole
 
 
+def test_short_items_match_only_as_a_whole(spark):
+    texts = ["say What is the capital of France? now", "what is the capital of spain", "Yes!", "yes it is", "yes it", "x yes it y"]
+    found = dc.mark_leaks(documents(spark, texts, list(range(6))), benchmark(spark, ["what is the capital of france", "yes", "it yes", "yes it"]))
+    assert {r["doc_id"]: r["leak_item"] for r in found.where("leaked").collect()} == {0: 0, 2: 1, 4: 3}
+
+
+def test_copies_of_a_text_and_replaced_names(spark):
+    test = items(random.Random(8), 1)[0]
+    docs = documents(spark, [test] * 40 + ["clean words here"] * 20, list(range(60))).withColumn("leak_item", F.lit("old")).withColumn("leaked", F.lit(1))
+    found = dc.mark_leaks(docs, benchmark(spark, [test]))
+    assert found.count() == 60 and found.where("leaked AND leak_item = 0 AND leak_score = 1").count() == 40
+    assert found.columns == [*[c for c in docs.columns if c not in ("leak_item", "leaked")], "leak_item", "leak_score", "leaked"]
+
+
 def test_nothing_to_look_for_or_in(spark):
     docs = documents(spark)
     assert dc.mark_leaks(docs, benchmark(spark, ["x"]).where("item_id < 0")).where("leaked").count() == 0
