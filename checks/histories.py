@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline import derived
-from ledgerline.operators import changes, overlaps, sketches, timelines
+from ledgerline.operators import changes, overlaps, sketches, subtotals, timelines
 from ledgerline.session import fresh_path, write_and_read
 from ledgerline.streaming import runs as late
 
@@ -155,11 +155,24 @@ def newest_of_senders(spark: SparkSession, folder: str) -> DataFrame:
     return changes.newest_of_each(orders, ["sender"], [F.col("o_orderdate").desc(), F.col("o_orderkey")], 3)
 
 
+SUBTOTAL_SETS = [("flag", "line_status", "mode"), ("flag", "mode"), ("line_status",), ("mode",), ()]
+
+
+def line_subtotals(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines by several sets of keys, some of them blank, with the distinct parts of each group."""
+    lines = derived.read(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("line_status"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_linenumber")).alias("mode"),
+        F.when(F.col("l_suppkey") % 5 != 0, F.col("l_partkey")).alias("part"), F.floor("l_quantity").cast("long").alias("n"),
+    )
+    return subtotals.subtotals(lines, SUBTOTAL_SETS, "part", {"quantity": F.col("n")})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         as_of_rules, overlapping_runs, sessions_of_users, late_runs, sketches_over_runs, table_changes,
-        table_cell_changes, table_changes_applied, newest_of_senders,
+        table_cell_changes, table_changes_applied, newest_of_senders, line_subtotals,
     )
 }
 
@@ -177,6 +190,11 @@ _GONE = "(SELECT * FROM old_rows EXCEPT ALL SELECT * FROM new_rows)"
 _CAME = "(SELECT * FROM new_rows EXCEPT ALL SELECT * FROM old_rows)"
 
 ORACLES = {
+    "line_subtotals": """SELECT flag, line_status, mode, CAST(grouping(flag, line_status, mode) AS INTEGER) AS grouping_id,
+          count(*) AS rows, count(DISTINCT part) AS distinct_values, CAST(sum(n) AS BIGINT) AS quantity
+        FROM (SELECT l_returnflag AS flag, l_linestatus AS line_status, CASE WHEN l_linenumber <> 7 THEN l_linenumber END AS mode,
+                CASE WHEN l_suppkey % 5 <> 0 THEN l_partkey END AS part, CAST(floor(l_quantity) AS BIGINT) AS n FROM lineitem)
+        GROUP BY GROUPING SETS ((flag, line_status, mode), (flag, mode), (line_status), (mode), ())""",
     "as_of_rules": f"""WITH lines AS ({derived.select_sql(LINES, "lineitem")}),
         versions AS (SELECT rule, since, max(struct_pack(least := least, version := version)) AS v
                      FROM ({derived.select_sql(VERSIONS, "orders")}) GROUP BY rule, since)

@@ -43,12 +43,9 @@ def unmatched_runs(spark: SparkSession, folder: str) -> DataFrame:
 def runs_through_files(spark: SparkSession, folder: str) -> DataFrame:
     """Runs and steps are written as the files of a run, read back, and laid out step by step."""
     runs, steps = runs_and_steps(spark, folder)
-    bundles = audit.run_bundles(runs, steps, steps_per_row=1 << 40)
-    entry = F.transform("steps", lambda s: s.dropFields("step_position").withField("metrics", F.try_parse_json(s["metrics"])))
     path = fresh_path(spark, "runs")
     uri = path if ":" in path else f"file://{path}"
-    texts = bundles.select("run_id", F.to_json("run").alias("run"), F.to_json(entry).alias("steps"))
-    write_and_read(writers.write_run_summaries(texts, uri), fresh_path(spark, "runs-written"))
+    write_and_read(writers.write_run_summaries(audit.run_files(runs, steps, steps_per_file=20), uri), fresh_path(spark, "runs-written"))
     return audit.run_step_rows(*readers.read_run_summaries(spark, path))
 
 

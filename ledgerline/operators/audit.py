@@ -15,6 +15,7 @@ from ledgerline.operators.positions import with_rank
 STEP_COLUMNS = (
     "step_name", "status", "started_at", "finished_at", "duration_ms", "error_summary", "metrics",
 )
+DEALS = 16  # tasks that share the steps of one run
 
 
 def sorted_json(text: Column) -> Column:
@@ -47,9 +48,10 @@ def run_step_rows(runs: DataFrame, steps: DataFrame) -> DataFrame:
         F.col("error_summary").alias("step_error_summary"),
         sorted_json(F.col("metrics")).alias("step_metrics"),
     )
-    # A run may hold a large share of all steps. Runs are unique, so each input task's steps of
-    # that run meet one row, and adaptive execution may split the skewed side.
-    return run.join(step, "run_id").select(
+    # A run may hold a large share of all steps: its row is repeated, and its steps are dealt.
+    dealt = step.withColumn("deal", F.pmod(F.xxhash64("step_position"), F.lit(DEALS)))
+    repeated = run.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+    return repeated.join(dealt, ["run_id", "deal"]).select(
         *run.columns, *[c for c in step.columns if c != "run_id"]
     )
 
@@ -57,21 +59,42 @@ def run_step_rows(runs: DataFrame, steps: DataFrame) -> DataFrame:
 def run_bundles(runs: DataFrame, steps: DataFrame, steps_per_row: int = 10_000) -> DataFrame:
     """Each run with its steps in order, nested. A run takes a row for each ``steps_per_row`` of its
     steps, counted within the run and numbered by ``chunk``, so that no group is collected without
-    a bound."""
-    steps = with_rank(steps, "step_position", "step_rank", ["run_id"])
+    a bound. Runs meet their steps by run and chunk, which is unique on both sides. ``steps`` is read twice."""
+    ranked = with_rank(steps, "step_position", "step_rank", ["run_id"])
     entry = F.struct("step_position", *STEP_COLUMNS)
-    chunks = steps.groupBy(
+    chunks = ranked.groupBy(
         "run_id", F.floor(F.col("step_rank") / steps_per_row).alias("chunk")
     ).agg(F.array_sort(F.collect_list(entry)).alias("steps"))
     run = runs.select("run_id", F.struct(*runs.columns).alias("run"))
-    return run.join(chunks, "run_id", "left").select(
+    counted = steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_steps"))
+    last = F.greatest(F.lit(0), F.ceil(F.coalesce("n_steps", F.lit(0)) / steps_per_row) - 1).cast("long")
+    wanted = run.join(counted, "run_id", "left").select(
+        "run_id", "run", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk")
+    )
+    return wanted.join(chunks, ["run_id", "chunk"], "left").select(
         "run_id",
-        F.coalesce("chunk", F.lit(0).cast("long")).alias("chunk"),
+        "chunk",
         "run",
         F.coalesce("steps", F.array().cast(chunks.schema["steps"].dataType)).alias("steps"),
     )
 
 
+def run_files(runs: DataFrame, steps: DataFrame, steps_per_file: int = 10_000) -> DataFrame:
+    """What `writers.write_run_summaries` writes: ``run_id``, ``first`` (the place in the run of the first step),
+    ``n_steps`` (of the whole run), ``steps_per_file``, and ``run`` and ``steps`` as JSON texts, a row for each file of steps."""
+    counted = steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_steps"))
+    known = runs.join(counted, "run_id", "left")
+    entry = F.transform("steps", lambda s: s.dropFields("step_position").withField("metrics", F.try_parse_json(s["metrics"])))
+    return run_bundles(known, steps, steps_per_file).select(
+        "run_id",
+        (F.col("chunk") * steps_per_file).alias("first"),
+        F.coalesce("run.n_steps", F.lit(0).cast("long")).alias("n_steps"),
+        F.lit(steps_per_file).cast("long").alias("steps_per_file"),
+        F.to_json(F.col("run").dropFields("n_steps")).alias("run"),
+        F.to_json(entry).alias("steps"),
+    )
+
+
 def run_status_columns() -> list[Column]:
     """The aggregates that make a run of its steps."""
     failed = F.col("status") == "FAILED"

@@ -65,16 +65,18 @@ _STEPS = (
 
 
 def read_run_summaries(spark: SparkSession, runs_dir: str, check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """All runs below a folder: ``<run>/run.json`` and ``<run>/steps.json`` (a list of steps)."""
+    """All runs below a folder: ``<run>/run.json`` and ``<run>/steps.json`` (a list of steps);
+    a long run has its later steps, from place N on, in ``<run>/steps-N.json``."""
     run_of_file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
     runs = spark.read.schema(_RUN).json(f"{runs_dir}/*/run.json", multiLine=True)
     runs = runs.withColumn("run_id", F.coalesce("run_id", run_of_file))
     # Read as text, because the position of a step is its place in the list of its file.
-    listed = spark.read.text(f"{runs_dir}/*/steps.json", wholetext=True).select(
-        run_of_file.alias("run_id"), F.from_json("value", _STEPS).alias("steps")
+    first = F.coalesce(F.regexp_extract("_metadata.file_path", r"/steps-(\d+)\.json$", 1).try_cast("int"), F.lit(0))
+    listed = spark.read.text(f"{runs_dir}/*/steps{{,-*}}.json", wholetext=True).select(
+        run_of_file.alias("run_id"), first.alias("first"), F.from_json("value", _STEPS).alias("steps")
     )
-    steps = listed.select("run_id", F.posexplode("steps").alias("step_position", "step")).select(
-        "run_id", "step_position", "step.*"
+    steps = listed.select("run_id", "first", F.posexplode("steps").alias("place", "step")).select(
+        "run_id", (F.col("first") + F.col("place")).alias("step_position"), "step.*"
     )
     steps = steps.withColumn("metrics", F.to_json("metrics"))
     if check:

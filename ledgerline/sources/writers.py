@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -59,25 +60,34 @@ def write_run_partition(df: DataFrame, path: str, run_id: str) -> None:
     )
 
 
-def write_run_summaries(bundles: DataFrame, path: str) -> DataFrame:
+def write_run_summaries(files: DataFrame, path: str) -> DataFrame:
     """Write each run as ``<run_id>/run.json`` and ``<run_id>/steps.json`` below ``path``, a URI that
-    all tasks reach, and return the runs written (``run_id``, ``steps``).
+    all tasks reach, and return the files of steps written (``run_id``, ``first``).
 
-    ``bundles`` has ``run_id``, ``run`` and ``steps`` as JSON texts, a row per run. The files of a
-    run are replaced by a rerun. To be written by the caller's action, once.
+    ``files`` is what `audit.run_files` gives. The steps of a long run are in several files, written by
+    several tasks: those from place N on in ``steps-N.json``. The files of a run are replaced by a rerun,
+    and those that it no longer has are removed. To be written by the caller's action, once.
     """
 
     def write(batches):
-        files, place = pyarrow.fs.FileSystem.from_uri(path)
+        store, place = pyarrow.fs.FileSystem.from_uri(path)
         for batch in batches:
-            for run_id, run, steps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                files.create_dir(f"{place}/{run_id}", recursive=True)
-                for name, text in (("run", run), ("steps", steps)):
-                    with files.open_output_stream(f"{place}/{run_id}/{name}.json") as out:
+            for run_id, first, n_steps, size, run, steps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = f"{place}/{run_id}"
+                store.create_dir(folder, recursive=True)
+                texts = {f"steps-{first}" if first else "steps": steps}
+                if not first:
+                    texts["run"] = run
+                    for old in store.get_file_info(pyarrow.fs.FileSelector(folder)):
+                        number = re.fullmatch(r"steps-(\d+)\.json", old.base_name)
+                        if number and (int(number[1]) >= n_steps or int(number[1]) % size):
+                            store.delete_file(old.path)
+                for name, text in texts.items():
+                    with store.open_output_stream(f"{folder}/{name}.json") as out:
                         out.write(text.encode())
-            yield pa.RecordBatch.from_pydict({"run_id": batch.column(0)})
+            yield pa.RecordBatch.from_pydict({"run_id": batch.column(0), "first": batch.column(1)})
 
-    return bundles.select("run_id", "run", "steps").mapInArrow(write, "run_id string")
+    return files.select("run_id", "first", "n_steps", "steps_per_file", "run", "steps").mapInArrow(write, "run_id string, first long")
 
 
 CATALOG_SCHEMA = (
