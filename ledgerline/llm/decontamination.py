@@ -39,7 +39,7 @@ def words_of(text: str) -> list[str]:
 
 
 class WordNumbers(dict):
-    """A positive, odd number for each word; what is remembered between calls is bounded."""
+    """A positive, odd number for each word; what is remembered is bounded."""
 
     def __missing__(self, word: str) -> int:
         number = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 2 | 1
@@ -47,9 +47,14 @@ class WordNumbers(dict):
             self[word] = number
         return number
 
-    def of(self, text: str) -> np.ndarray:
-        found = words_of(text)
-        return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+
+_NUMBERS = WordNumbers()  # of a worker, for all its tasks
+
+
+def numbers_of(text: str) -> np.ndarray:
+    """The number of each word of a text."""
+    found = words_of(text)
+    return np.fromiter(map(_NUMBERS.__getitem__, found), np.int64, len(found))
 
 
 def gram_hashes(words: np.ndarray) -> np.ndarray:
@@ -69,10 +74,9 @@ def cut_passages(benchmark: DataFrame) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").cast("binary").alias("body")).dropna()
 
     def cut(part: pa.RecordBatch) -> dict:
-        numbers = WordNumbers()
         owners, passages = [], []
         for item, text in zip(part.column("item").to_pylist(), texts(part), strict=True):
-            words = numbers.of(text)
+            words = numbers_of(text)
             last = max(0, len(words) - PASSAGE_WORDS)
             for start in sorted({*range(0, last, PASSAGE_WORDS // 2), last}) if len(words) else ():
                 owners.append(item)
@@ -110,10 +114,9 @@ def document_frequencies(bodies: DataFrame, grams: DataFrame) -> DataFrame:
     known = bodies.sparkSession.sparkContext.broadcast(gram_filter(grams))
 
     def count(part: pa.RecordBatch) -> dict:
-        numbers = WordNumbers()
         found = [np.zeros(0, np.int64)]
         for text in texts(part):
-            own = gram_hashes(numbers.of(text))
+            own = gram_hashes(numbers_of(text))
             found.append(np.unique(own[may_hold(known.value, own)]))
         gram, n = np.unique(np.concatenate(found), return_counts=True)
         return {"gram": pa.array(gram, pa.int64()), "n": pa.array(n, pa.int64())}
@@ -144,14 +147,13 @@ def texts_with_seeds(bodies: DataFrame, grams: DataFrame) -> DataFrame:
 
         def find(part: pa.RecordBatch) -> dict:
             nonlocal place
-            numbers = WordNumbers()
             rows = []
             seen = set()
             for key, text in zip(part.column("leak_key").to_pylist(), texts(part), strict=True):
                 if key in seen:
                     continue
                 seen.add(key)
-                words = numbers.of(text)
+                words = numbers_of(text)
                 own = gram_hashes(words)
                 ats = may_hold(known.value, own)
                 if len(ats):
