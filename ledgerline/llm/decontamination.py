@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ SALTS = 16
 CELLS = 1 << 21
 KNOWN_WORDS = 1 << 18
 _MIX = 0x9E3779B97F4A7C15
+FOUND = {"place": pa.int64(), "leak_key": pa.string(), "words": pa.list_(pa.int64()), "ats": pa.list_(pa.int64()), "grams": pa.list_(pa.int64())}
 
 
 def words_of(text: str) -> list[str]:
@@ -51,10 +53,9 @@ class WordNumbers(dict):
 _NUMBERS = WordNumbers()  # of a worker, for all its tasks
 
 
-def numbers_of(text: str) -> np.ndarray:
-    """The number of each word of a text."""
-    found = words_of(text)
-    return np.fromiter(map(_NUMBERS.__getitem__, found), np.int64, len(found))
+def numbers_of(found: list[list[str]]) -> np.ndarray:
+    """The numbers of the words of all texts, one text after the other."""
+    return np.fromiter(map(_NUMBERS.__getitem__, chain.from_iterable(found)), np.int64, sum(map(len, found)))
 
 
 def gram_hashes(words: np.ndarray) -> np.ndarray:
@@ -69,6 +70,20 @@ def gram_hashes(words: np.ndarray) -> np.ndarray:
     return mixed.view(np.int64)
 
 
+def grams_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts one after the other, where each text ends, and the places and numbers of the grams."""
+    found = [words_of(text) for text in batch]
+    words, sizes = numbers_of(found), np.array([len(own) for own in found], np.int64)
+    ends = np.cumsum(sizes)
+    places = np.flatnonzero(np.repeat(ends, sizes) - np.arange(len(words)) >= GRAM)
+    grams = gram_hashes(words)[places]
+    short = [ends[i] - sizes[i] for i in np.flatnonzero((sizes > 0) & (sizes < GRAM))]
+    whole = [gram_hashes(words[ends[i] - sizes[i] : ends[i]])[0] for i in np.flatnonzero((sizes > 0) & (sizes < GRAM))]
+    places, grams = np.append(places, np.array(short, np.int64)), np.append(grams, np.array(whole, np.int64))
+    order = np.argsort(places, kind="stable")
+    return words, ends, places[order], grams[order]
+
+
 def cut_passages(benchmark: DataFrame) -> DataFrame:
     """``passage`` (digest of its words), ``item`` (the smallest with this passage), ``words``, ``grams``."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").cast("binary").alias("body")).dropna()
@@ -76,7 +91,7 @@ def cut_passages(benchmark: DataFrame) -> DataFrame:
     def cut(part: pa.RecordBatch) -> dict:
         owners, passages = [], []
         for item, text in zip(part.column("item").to_pylist(), texts(part), strict=True):
-            words = numbers_of(text)
+            words = numbers_of([words_of(text)])
             last = max(0, len(words) - PASSAGE_WORDS)
             for start in sorted({*range(0, last, PASSAGE_WORDS // 2), last}) if len(words) else ():
                 owners.append(item)
@@ -114,11 +129,12 @@ def document_frequencies(bodies: DataFrame, grams: DataFrame) -> DataFrame:
     known = bodies.sparkSession.sparkContext.broadcast(gram_filter(grams))
 
     def count(part: pa.RecordBatch) -> dict:
-        found = [np.zeros(0, np.int64)]
-        for text in texts(part):
-            own = gram_hashes(numbers_of(text))
-            found.append(np.unique(own[may_hold(known.value, own)]))
-        gram, n = np.unique(np.concatenate(found), return_counts=True)
+        _, ends, places, grams = grams_of(texts(part))
+        held = may_hold(known.value, grams)
+        owner, gram = np.searchsorted(ends, places[held], "right"), grams[held]
+        order = np.lexsort((gram, owner))
+        new = (np.diff(owner[order], prepend=-1) != 0) | (np.diff(gram[order], prepend=0) != 0)
+        gram, n = np.unique(gram[order][new], return_counts=True)
         return {"gram": pa.array(gram, pa.int64()), "n": pa.array(n, pa.int64())}
 
     return map_slices(bodies, count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).join(grams, "gram", "left_semi")
@@ -139,7 +155,7 @@ def seeds(passages: DataFrame, frequency: DataFrame, rare_share: float) -> DataF
 
 def texts_with_seeds(bodies: DataFrame, grams: DataFrame) -> DataFrame:
     """``place``, ``leak_key``, ``words``, ``ats``, ``grams`` of the texts that hold a gram of ``grams``, perhaps one that
-    only seems to be; ``ats`` are the places of the grams among the words. A task passes over a text that it just had."""
+    only seems to be; ``ats`` are the places of the grams among the words. A slice holds a text once."""
     known = bodies.sparkSession.sparkContext.broadcast(gram_filter(grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,35 +163,27 @@ def texts_with_seeds(bodies: DataFrame, grams: DataFrame) -> DataFrame:
 
         def find(part: pa.RecordBatch) -> dict:
             nonlocal place
+            own = dict(zip(part.column("leak_key").to_pylist(), texts(part), strict=True))
+            keys = list(own)
+            words, ends, at, grams = grams_of(list(own.values()))
+            held = may_hold(known.value, grams)
+            owner = np.searchsorted(ends, at[held], "right")
             rows = []
-            seen = set()
-            for key, text in zip(part.column("leak_key").to_pylist(), texts(part), strict=True):
-                if key in seen:
-                    continue
-                seen.add(key)
-                words = numbers_of(text)
-                own = gram_hashes(words)
-                ats = may_hold(known.value, own)
-                if len(ats):
-                    rows.append((place, key, words, ats, own[ats]))
-                    place += 1
+            for some in np.split(np.arange(len(held)), np.flatnonzero(np.diff(owner)) + 1) if len(held) else ():
+                text = owner[some[0]]
+                start = ends[text - 1] if text else 0
+                rows.append((place, keys[text], words[start : ends[text]], at[held[some]] - start, grams[held[some]]))
+                place += 1
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             return {name: pa.array(values, kind) for name, values, kind in zip(FOUND, columns, FOUND.values(), strict=True)}
 
-        yield from _sliced(batches, find)
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_pydict(find(part))
 
     return bodies.mapInArrow(run, "place long, leak_key string, words array<long>, ats array<long>, grams array<long>")
 
 
-FOUND = {"place": pa.int64(), "leak_key": pa.string(), "words": pa.list_(pa.int64()), "ats": pa.list_(pa.int64()), "grams": pa.list_(pa.int64())}
-
-
-def _sliced(batches: Iterator[pa.RecordBatch], function: Callable[[pa.RecordBatch], dict]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            yield pa.RecordBatch.from_pydict(function(part))
-
-
 def join_spread(many: DataFrame, few: DataFrame, key: str, by: str) -> DataFrame:
     """Inner join on ``key`` in which the rows of a key in ``many`` are dealt to SALTS tasks by ``by``."""
     dealt = many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
