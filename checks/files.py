@@ -10,7 +10,7 @@ from checks import sheets, triage
 from ledgerline import derived
 from ledgerline.operators import decode, positions
 from ledgerline.session import fresh_path
-from ledgerline.sources import readers, writers
+from ledgerline.sources import mailbox, readers, writers
 from ledgerline.streaming.intake import TriageStore, start_intake
 
 
@@ -44,6 +44,20 @@ def messages_through_lines(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("row_idx", "message_id", "thread_id", "subject")
 
 
+def mail_through_mailbox(spark: SparkSession, folder: str) -> DataFrame:
+    """The mail is written as mailbox files and read with its headers; some bodies hold lines that look like separators."""
+    path = fresh_path(spark, "mailbox")
+    mail = derived.mail(spark, folder)
+    headers = [F.struct(F.lit(n).alias("name"), F.col(c).cast("string").alias("value")) for n, c in (
+        ("Message-ID", "message_id"), ("From", "from"), ("To", "to"), ("Subject", "subject"), ("X-Row", "row_idx"))]
+    content = F.when(F.col("row_idx") % 3 == 0, F.concat(F.lit("From the desk\n\n>From Monday on\n"), F.col("body"))).otherwise(F.col("body"))
+    mailbox.write_mailbox(mail.select(F.concat_ws(" ", "thread_id", "date").alias("envelope"), F.array(*headers).alias("headers"), content.alias("content")), path)
+    return mailbox.read_mailbox(spark, path).select(
+        mailbox.header("x-row").cast("long").alias("key"), "envelope", mailbox.header("message-id").alias("message_id"),
+        mailbox.header("from").alias("sender"), mailbox.header("subject").alias("subject"), "content",
+    )
+
+
 def items_through_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "items")
     writers.write_jsonl(mail_checks.items_without_bodies(spark, folder), path)
@@ -130,7 +144,7 @@ def stream_intake(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        sheet_through_csv, ragged_rows, messages_through_lines, items_through_jsonl,
+        sheet_through_csv, ragged_rows, messages_through_lines, mail_through_mailbox, items_through_jsonl,
         table_overwritten, manifest_appended, runs_kept_apart, output_catalog, dense_positions, stream_intake,
     )
 }
@@ -147,6 +161,10 @@ ORACLES = {
           CASE WHEN o_orderkey % 5 > 3 THEN 'x' ELSE '' END AS cells FROM orders""",
     "messages_through_lines": f"""WITH {mail_checks.DECODED_SQL}
         SELECT row_idx, message_id, thread_id, subject FROM decoded""",
+    "mail_through_mailbox": f"""WITH {mail_checks.MAIL_SQL}
+        SELECT CAST(row_idx AS BIGINT) AS key, thread_id || ' ' || "date" AS envelope, message_id, "from" AS sender, subject,
+          CASE WHEN row_idx % 3 = 0 THEN 'From the desk' || chr(10) || chr(10) || '>From Monday on' || chr(10) ELSE '' END || body AS content
+        FROM mail""",
     "items_through_jsonl": f"""WITH {mail_checks.PARSED_ITEMS_SQL}
         SELECT message_id, subject, reference_id, confidence AS parser_confidence FROM parsed""",
     "table_overwritten": "SELECT o_orderkey, o_orderstatus FROM orders",
