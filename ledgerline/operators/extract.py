@@ -221,9 +221,9 @@ def message_index(decoded: DataFrame, mask: bool = False) -> DataFrame:
     def shown(c: str) -> Column:
         return (mask_emails(F.col(c)) if mask else F.col(c)).alias(c)
 
-    return decoded.where(F.col("message_id") != "").select(
-        F.col("message_id").alias("id"), shown("subject"), shown("from"), "date", "chosen"
-    )
+    row = F.struct(F.col("message_id").alias("id"), shown("subject"), shown("from"), "date", "chosen")
+    # Not a filter: it would be pushed below the decoding, which it would repeat for each mention of the id.
+    return decoded.select(F.inline(F.when(F.col("message_id") != "", F.array(row))))
 
 
 def body_previews(items: DataFrame, n: int = 10, order: str = "row_idx") -> DataFrame:
