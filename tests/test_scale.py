@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 from checks import mail
+from ledgerline import derived
 
 N = 60
 
@@ -20,6 +21,18 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_tasks_on_mail_grow_with_its_rows(spark, folder, monkeypatch, broadcast):
+    monkeypatch.setattr(derived, "ROWS_PER_TASK", 5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        sizes = derived.mail(spark, folder).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum(sizes) == N and len(sizes) >= N // 5 and max(sizes) < N // 3
+
+
 @pytest.mark.parametrize("query", [mail.message_index, mail.message_index_counts])
 def test_the_index_decodes_each_message_once(spark, folder, query):
     plan = query(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
