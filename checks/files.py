@@ -125,15 +125,15 @@ def dense_positions(spark: SparkSession, folder: str) -> DataFrame:
 def stream_intake(spark: SparkSession, folder: str) -> DataFrame:
     """The mail arrives as files, is taken in batch by batch, and ends up in the triage table."""
     base = fresh_path(spark, "stream")
-    messages = derived.messages(derived.mail(spark, folder))
-    messages.repartitionByRange(3, "row_idx").sortWithinPartitions("row_idx").select(
-        "json"
-    ).write.text(f"{base}/incoming")
+    # Three batches, of as many files as tasks of a bounded size write.
+    files = max(1, -(-derived.tasks_by_rows(spark, folder) // 3))
+    messages = derived.messages(derived.mail(spark, folder, ranges=3 * files))
+    messages.select("json").write.text(f"{base}/incoming")
     store = TriageStore(spark, f"{base}/store", merge_every=2)
     for _ in range(2):  # a second start finds nothing new
         start_intake(
             spark, f"{base}/incoming", store, f"{base}/checkpoint", "run-1", sheets.NOW,
-            files_per_batch=1,
+            files_per_batch=files,
         ).awaitTermination()
     return store.current().select(
         "message_id", "thread_id", "subject", "name", "invoice_or_order_id",

@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from checks import mail
+from checks import files, mail
 from ledgerline import derived
 
 N = 60
@@ -37,3 +37,19 @@ def test_tasks_on_mail_grow_with_its_rows(spark, folder, monkeypatch, broadcast)
 def test_the_index_decodes_each_message_once(spark, folder, query):
     plan = query(spark, folder)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_incoming_files_grow_with_the_mail(spark, folder, monkeypatch):
+    monkeypatch.setattr(derived, "ROWS_PER_TASK", 5)
+    written = []
+    monkeypatch.setattr(files, "start_intake", lambda _, source, *args, files_per_batch, **kw: written.append((source, files_per_batch)) or _Done())
+    files.stream_intake(spark, folder)
+    (source, each), _ = written
+    sizes = spark.read.text(source).selectExpr("_metadata.file_path AS file").groupBy("file").count().collect()
+    assert each == 4 and len(sizes) > 6 and max(r["count"] for r in sizes) < N // 3
+    assert sum(r["count"] for r in sizes) == N
+
+
+class _Done:
+    def awaitTermination(self):
+        pass
