@@ -10,7 +10,7 @@ from ledgerline.functions.text import blank_to_null, let, strip
 
 def base64url_bytes(data: Column) -> Column:
     """The bytes of base64 or base64url text, padded or not; NULL if it cannot be decoded."""
-    plain = F.translate(strip(data), "-_", "+/")
+    plain = F.replace(F.replace(strip(data), F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
     return F.coalesce(F.try_to_binary(plain, F.lit("base64")), _loose_base64(plain))
 
 

@@ -142,15 +142,20 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc(F.when(may_change, c)), c)
 
 
-# White space other than the space, tab and line ends, which a line may also begin or end with.
-RARE_SPACES = r"[\x0B\f\x1C\x1D\x1E\x1F\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# White space other than the space, tab and line ends, which a line may also begin or end with. Most
+# characters lie outside the range, and need not be compared with each of the spaces inside it.
+RARE_SPACES = (
+    r"[\x0B\f\x1C\x1D\x1E\x1F\x85\xA0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
+)
 
 
 def tidy_lines(c: Column) -> Column:
     """One kind of line end, no zero-width characters, single spaces, trimmed lines, and at most
     one blank line in a row. Expects normalised text (see ``nfkc``)."""
     text = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    text = F.regexp_replace(F.translate(text, "\t\u200b\ufeff", " "), " {2,}", " ")
+    for char, kept in (("\t", " "), ("\u200b", ""), ("\ufeff", "")):
+        text = F.replace(text, F.lit(char), F.lit(kept))
+    text = F.regexp_replace(text, " {2,}", " ")
     # A line has at most one space at its ends now, unless it also has rarer white space there.
     edge = rf"[{WS_SET}&&[^\n]]"
     trimmed = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
