@@ -37,12 +37,12 @@ def texts(batch: pa.RecordBatch, column: str = "body") -> list[str]:
     return [body.decode("utf-8", "replace") for body in bodies(batch, column)]
 
 
-def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, column: str = "body") -> DataFrame:
+def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, column: str = "body", limit: int = SLICE_BYTES) -> DataFrame:
     """``function`` over slices of the Arrow batches; it returns the columns of ``schema`` by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 yield pa.RecordBatch.from_pydict(function(part))
 
     return df.mapInArrow(run, schema)

@@ -8,7 +8,10 @@ walk over a trie of distinct words finds it once for all words that begin alike.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import pyarrow as pa
@@ -21,6 +24,19 @@ from ledgerline.llm.batches import id_and_text, map_slices, texts
 KEPT_WORDS = 600_000
 LONGEST_KEPT = 64
 KEPT_PAIRS = 500_000
+SLICE_BYTES = 2 << 20  # the pieces of a slice, each an object, take some thirty times its bytes
+
+
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the collector of cycles: there are none, and it would walk over all words kept, time and again."""
+    was_on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was_on:
+            gc.enable()
 
 
 class TrieEncoder:
@@ -124,6 +140,7 @@ class TrieEncoder:
             node = child[node] or (waiting.pop() if waiting else 0)
         return found
 
+    @_uncollected()
     def encode(self, batch: list[str]) -> list[list[int]]:
         """The ids of each text."""
         cut = [[(bytelevel.pieces(part, self.t), None) if token is None else ((), token) for part, token in bytelevel.parts(text, self.t)] for text in batch]
@@ -169,7 +186,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         return {"id": batch.column("id"), "ids": pa.array(encoder(raw).encode(texts(batch)), pa.list_(pa.int32()))}
 
     rows = id_and_text(docs, id_col, text_col)
-    return map_slices(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_slices(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>", limit=SLICE_BYTES).withColumnRenamed("id", id_col)
 
 
 def encode_and_check(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,7 +201,7 @@ def encode_and_check(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     rows = id_and_text(docs, id_col, text_col)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, n_tokens long, intact boolean"
-    return map_slices(rows, run, schema).withColumnRenamed("id", id_col)
+    return map_slices(rows, run, schema, limit=SLICE_BYTES).withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -222,7 +239,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     rows = id_and_text(docs, id_col, text_col)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_slices(rows, run, schema).withColumnRenamed("id", id_col)
+    return map_slices(rows, run, schema, limit=SLICE_BYTES).withColumnRenamed("id", id_col)
 
 
 _NAMES: dict[int, list[bytes]] = {}
