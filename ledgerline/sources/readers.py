@@ -64,17 +64,27 @@ _STEPS = (
 )
 
 
-def read_run_summaries(spark: SparkSession, runs_dir: str, check: bool = True) -> tuple[DataFrame, DataFrame]:
+PACKED_FILES = "run_id string, name string, text string, pack int"
+
+
+def read_run_summaries(spark: SparkSession, runs_dir: str, check: bool = True, packed: bool = False) -> tuple[DataFrame, DataFrame]:
     """All runs below a folder: ``<run>/run.json`` and ``<run>/steps.json`` (a list of steps);
-    a long run has its later steps, from place N on, in ``<run>/steps-N.json``."""
-    run_of_file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
-    runs = spark.read.schema(_RUN).json(f"{runs_dir}/*/run.json", multiLine=True)
-    runs = runs.withColumn("run_id", F.coalesce("run_id", run_of_file))
-    # Read as text, because the position of a step is its place in the list of its file.
-    first = F.coalesce(F.regexp_extract("_metadata.file_path", r"/steps-(\d+)\.json$", 1).try_cast("int"), F.lit(0))
-    listed = spark.read.text(f"{runs_dir}/*/steps{{,-*}}.json", wholetext=True).select(
-        run_of_file.alias("run_id"), first.alias("first"), F.from_json("value", _STEPS).alias("steps")
-    )
+    a long run has its later steps, from place N on, in ``<run>/steps-N.json``. With ``packed`` they are the rows of
+    shared files, as `writers.write_run_summaries` writes them."""
+    if packed:
+        files = spark.read.schema(PACKED_FILES).parquet(runs_dir)
+        runs = files.where("name = 'run.json'").select("run_id", F.from_json("text", _RUN).alias("run"))
+        runs = runs.select(F.coalesce("run.run_id", "run_id").alias("run_id"), F.col("run").dropFields("run_id").alias("run")).select("run_id", "run.*")
+        texts = files.where("name != 'run.json'").withColumn("file", F.concat(F.lit("/"), "name"))
+    else:
+        run_of_file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+        runs = spark.read.schema(_RUN).json(f"{runs_dir}/*/run.json", multiLine=True)
+        runs = runs.withColumn("run_id", F.coalesce("run_id", run_of_file))
+        # Read as text, because the position of a step is its place in the list of its file.
+        texts = spark.read.text(f"{runs_dir}/*/steps{{,-*}}.json", wholetext=True)
+        texts = texts.select(run_of_file.alias("run_id"), F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    first = F.coalesce(F.regexp_extract("file", r"/steps-(\d+)\.json$", 1).try_cast("int"), F.lit(0))
+    listed = texts.select("run_id", first.alias("first"), F.from_json("text", _STEPS).alias("steps"))
     steps = listed.select("run_id", "first", F.posexplode("steps").alias("place", "step")).select(
         "run_id", (F.col("first") + F.col("place")).alias("step_position"), "step.*"
     )
