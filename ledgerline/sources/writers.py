@@ -112,7 +112,9 @@ def _write_packed(files: DataFrame, path: str) -> DataFrame:
     pack = F.pmod(F.xxhash64("run_id"), F.lit(PACKS)).cast("int").alias("pack")
     new = write_and_read(files, fresh_path(spark, "run-files"))  # all columns: Spark's pruning of the nested run fails
     named = F.inline(F.when(F.col("first") > 0, F.array(of_steps)).otherwise(F.array(of_run, of_steps)))
-    rows = new.select("run_id", pack, named).select("run_id", "name", "text", "pack")
+    # As among folders, a run without id is called None, and of runs with one id the files of one are kept.
+    rows = new.withColumn("run_id", F.coalesce("run_id", F.lit("None"))).select("run_id", pack, named)
+    rows = rows.select("run_id", "name", "text", "pack").dropDuplicates(["run_id", "name"])
     try:
         old = spark.read.schema(PACKED_FILES).parquet(path)
     except AnalysisException as missing:

@@ -39,6 +39,19 @@ def test_reruns_replace_their_packed_files_and_no_others(spark, tmp_path):
     assert read() == {k: v for k, v in short.items() if k != "s7"} | {"long": 9, "new": 2}
 
 
+def test_runs_without_id_and_runs_given_twice(spark, tmp_path):
+    runs = spark.createDataFrame([(r, "w", "OK", "a", "b", 1, None) for r in (None, "a", "a")], RUN)
+    steps = spark.createDataFrame([(r, i, f"s{i}", "OK", "a", "b", i, None, None) for r in (None, "a") for i in range(3)], STEP)
+    files = audit.run_files(runs, steps, 2)
+    found = []
+    for packed in (False, True, True):
+        path = f"{tmp_path}/{packed}"
+        assert writers.write_run_summaries(files, f"file://{path}", packed=packed).distinct().count() == 3
+        read = readers.read_run_summaries(spark, path, packed=packed)
+        found.append((sorted(read[0].collect()), sorted(audit.run_step_rows(*read).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) == 2 and len(found[0][1]) == 3
+
+
 def test_files_do_not_grow_with_the_number_of_runs(spark, tmp_path, monkeypatch):
     def written(n):
         folder = tmp_path / str(n)
