@@ -12,6 +12,20 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 8 << 20
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, give_up: Callable[[], None]) -> None:
+    """Says how to give up what an operator keeps in a Python worker from task to task."""
+    _KEPT[module] = give_up
+
+
+def begin_task(module: str) -> None:
+    """Gives up what other operators keep in this worker. Workers outlive tasks and stages, and would hold it all at once."""
+    for other, give_up in _KEPT.items():
+        if other != module:
+            give_up()
+
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns that a text operator reads, as ``id`` and ``body`` (bytes), whatever else ``df`` holds."""
@@ -41,6 +55,7 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema
     """``function`` over slices of the Arrow batches; it returns the columns of ``schema`` by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(function.__module__)
         for batch in batches:
             for part in slices(batch, column, limit):
                 yield pa.RecordBatch.from_pydict(function(part))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import bytelevel
-from ledgerline.llm.batches import id_and_text, map_slices, texts
+from ledgerline.llm.batches import id_and_text, keeps, map_slices, texts
 
 KEPT_WORDS = 600_000
 LONGEST_KEPT = 64
@@ -166,6 +166,14 @@ class TrieEncoder:
 _ENCODERS: dict[bytes, TrieEncoder] = {}
 
 
+def _give_up() -> None:
+    _ENCODERS.clear()
+    bytelevel.tables.cache_clear()
+
+
+keeps(__name__, _give_up)
+
+
 def encoder(raw: bytes) -> TrieEncoder:
     """The encoder of this Python worker for a tokenizer file, given as its bytes."""
     key = hashlib.sha256(raw).digest()

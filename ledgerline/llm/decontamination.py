@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.batches import map_slices, slices, texts
+from ledgerline.llm.batches import begin_task, keeps, map_slices, slices, texts
 from ledgerline.session import fresh_path, write_and_read
 
 WORDS = re.compile(r"\w+")
@@ -51,6 +51,7 @@ class WordNumbers(dict):
 
 
 _NUMBERS = WordNumbers()  # of a worker, for all its tasks
+keeps(__name__, _NUMBERS.clear)
 
 
 def numbers_of(found: list[list[str]]) -> np.ndarray:
@@ -159,6 +160,7 @@ def texts_with_seeds(bodies: DataFrame, grams: DataFrame) -> DataFrame:
     known = bodies.sparkSession.sparkContext.broadcast(gram_filter(grams))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(__name__)
         place = TaskContext.get().partitionId() << 33
 
         def find(part: pa.RecordBatch) -> dict:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.batches import bodies, id_and_text, map_slices
+from ledgerline.llm.batches import bodies, id_and_text, keeps, map_slices
 from ledgerline.llm.components import components
 from ledgerline.session import fresh_path, write_and_read
 
@@ -31,6 +31,7 @@ KEPT_WORDS = 100_000
 _SEED = 20240229
 
 _words: dict[bytes, int] = {}
+keeps(__name__, _words.clear)
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:

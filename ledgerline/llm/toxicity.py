@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.llm.batches import slices, texts
+from ledgerline.llm.batches import begin_task, slices, texts
 from ledgerline.session import fresh_path, write_and_read
 
 SAMPLE_ROWS = 20_000
@@ -235,6 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
     read = read.select(F.xxhash64("id").alias("at"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(FOLDS)).cast("int").alias("fold"), F.array(*(f"y{i}" for i in range(count))).alias("y"), F.col("text").cast("binary").alias("body"))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(__name__)
         words = Words()
         for batch in batches:
             for part in slices(batch):
@@ -244,6 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id_col: s
     rows = write_and_read(read.mapInArrow(numbered, "at long, fold int, y array<double>, features binary"), fresh_path(spark, "toxicity-sample"))
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(__name__)
         folds, y, features = [], [], []
         for batch in batches:
             folds += batch.column("fold").to_pylist()
@@ -284,6 +286,7 @@ def predict(docs: DataFrame, fitted: Chain, threshold: float | None = None, text
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(__name__)
         words = Words(shared.value.columns)
         for batch in batches:
             body = pa.RecordBatch.from_arrays([*batch.columns, batch.column(at).cast(pa.binary())], names=[*map(str, range(batch.num_columns)), "body"])
