@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import mail as mail_checks
 from ledgerline import AttachmentPolicy, Labels, derived
 from ledgerline.operators import actions, attachments, decode, triage
-from ledgerline.session import fresh_path, write_and_read
+from ledgerline.session import SHORT_ROWS_PER_FILE, fresh_path, write_and_read
 
 RUN_ID, NOW = "run-1", "2026-03-01T00:00:00Z"
 LABELS = Labels("Done", "Review", "Broken")
@@ -86,7 +86,7 @@ def attachment_rows(spark: SparkSession, folder: str) -> DataFrame:
     stored, because names are given out in several passes."""
     mail = derived.mail(spark, folder)
     facts = attachments.with_facts(listed_attachments(mail), derived.blobs(mail))
-    return write_and_read(facts, fresh_path(spark, "attachment-facts"))
+    return write_and_read(facts, fresh_path(spark, "attachment-facts"), SHORT_ROWS_PER_FILE)
 
 
 def listed_attachments(mail: DataFrame) -> DataFrame:

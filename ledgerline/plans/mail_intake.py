@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import actions, attachments, decode, extract, triage
 from ledgerline.rules import AttachmentPolicy, Labels
-from ledgerline.session import write_and_read
+from ledgerline.session import SHORT_ROWS_PER_FILE, write_and_read
 from ledgerline.sources.writers import OutputCatalog, read_back
 
 POSITION_BITS = 36  # a block of attachment positions has 2**20 messages
@@ -79,7 +79,9 @@ def run(
             "position", F.shiftleft("row_idx", 16) + F.col("attachment_position")
         )
         contents = write_and_read(attachments.contents(blobs), f"{base}/attachment_contents")
-        facts = write_and_read(attachments.with_facts(placed, contents), f"{base}/attachment_facts")
+        facts = write_and_read(
+            attachments.with_facts(placed, contents), f"{base}/attachment_facts", SHORT_ROWS_PER_FILE
+        )
         routed = write_and_read(
             attachments.route(facts, options.policy, POSITION_BITS), f"{base}/attachments"
         )

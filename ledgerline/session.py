@@ -52,7 +52,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_and_read(df: DataFrame, path: str) -> DataFrame:
-    """Materialise a frame that several outputs read, so that a lost executor costs no recomputation."""
-    df.write.mode("overwrite").parquet(path)
+SHORT_ROWS_PER_FILE = 50_000
+
+
+def write_and_read(df: DataFrame, path: str, rows_per_file: int = 0) -> DataFrame:
+    """Materialise a frame that several outputs read, so that a lost executor costs no recomputation.
+
+    A file of short rows is one split with millions of them, however many tasks could read it; where reading is followed
+    by work on each row, ``rows_per_file`` cuts it into several. 0 cuts nothing."""
+    df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

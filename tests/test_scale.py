@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from checks import files, mail
+from checks import files, mail, triage
 from ledgerline import derived
 
 N = 60
@@ -50,6 +50,15 @@ def test_incoming_files_grow_with_the_mail(spark, folder, monkeypatch):
     assert sum(r["count"] for r in sizes) == N
 
 
+def test_stored_attachments_are_cut_into_files_of_few_rows(spark, folder, monkeypatch):
+    whole = sorted(triage.attachment_rows(spark, folder).collect())
+    monkeypatch.setattr(triage, "SHORT_ROWS_PER_FILE", 5, raising=False)
+    stored = triage.attachment_rows(spark, folder)
+    sizes = stored.selectExpr("_metadata.file_path AS file").groupBy("file").count().collect()
+    assert len(whole) > 20 and max(r["count"] for r in sizes) <= 5
+    assert sorted(stored.collect()) == whole
+
+
 class _Done:
     def awaitTermination(self):
         pass
