@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks import mail as mail_checks
 from ledgerline import AttachmentPolicy, Labels, derived
 from ledgerline.operators import actions, attachments, decode, triage
-from ledgerline.session import SHORT_ROWS_PER_FILE, fresh_path, write_and_read
+from ledgerline.session import SHORT_ROWS_PER_FILE, fresh_path, shuffles_removed, write_and_read
 
 RUN_ID, NOW = "run-1", "2026-03-01T00:00:00Z"
 LABELS = Labels("Done", "Review", "Broken")
@@ -41,19 +41,18 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def merged(spark: SparkSession, folder: str) -> DataFrame:
+def triage_upsert(spark: SparkSession, folder: str) -> DataFrame:
     cells = triage.triage_cells(items(spark, folder), RUN_ID, NOW)
     return triage.upsert(existing(spark, folder), cells)
 
 
-def triage_upsert(spark: SparkSession, folder: str) -> DataFrame:
-    return merged(spark, folder)
-
-
 def triage_upsert_again(spark: SparkSession, folder: str) -> DataFrame:
-    """The same cells once more change nothing."""
-    once = write_and_read(merged(spark, folder), fresh_path(spark, "triage"))
-    cells = triage.triage_cells(items(spark, folder), RUN_ID, NOW)
+    """The same cells once more change nothing. The mail is parsed once for both times."""
+    with shuffles_removed(spark):
+        parsed = write_and_read(items(spark, folder).drop("to", "body", "parser_errors"), fresh_path(spark, "triage-items"))
+        cells = triage.triage_cells(parsed, RUN_ID, NOW)
+        once = write_and_read(triage.upsert(existing(spark, folder), cells), fresh_path(spark, "triage"))
+    cells = triage.triage_cells(parsed, RUN_ID, NOW)
     return triage.upsert(once, cells)
 
 

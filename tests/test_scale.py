@@ -1,11 +1,13 @@
 """How work is dealt: tasks grow with the rows, and decoding runs once for each message."""
 
 import datetime
+from pathlib import Path
 
 import pytest
 
 from checks import files, mail, triage
 from ledgerline import derived
+from ledgerline.session import shuffles_removed
 
 N = 60
 
@@ -59,6 +61,30 @@ def test_stored_attachments_are_cut_into_files_of_few_rows(spark, folder, monkey
     assert sorted(stored.collect()) == whole
 
 
+def test_the_second_upsert_reads_what_was_parsed_for_the_first(spark, folder):
+    again = triage.triage_upsert_again(spark, folder)
+    assert not [f for f in again.inputFiles() if "orders" in f or "customer" in f]
+    assert sorted(again.collect()) == sorted(triage.triage_upsert(spark, folder).select(again.columns).collect())
+
+
+@pytest.mark.parametrize("before", [None, "false"])
+def test_shuffle_files_of_a_write_do_not_stay(spark, tmp_path, before):
+    def shuffle_files():
+        local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for folder in local for f in Path(str(folder)).rglob("shuffle_*")}
+
+    name, there = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffle_files()
+    if before is not None:
+        spark.conf.set(name, before)
+    usual = spark.conf.get(name, None)
+    with shuffles_removed(spark):
+        spark.range(1000).repartition(3, "id").write.parquet(f"{tmp_path}/dealt")
+    assert spark.conf.get(name, None) == usual
+    assert not shuffle_files() - there
+    assert spark.read.parquet(f"{tmp_path}/dealt").count() == 1000
+    spark.conf.unset(name)
+
+
 class _Done:
     def awaitTermination(self):
         pass
