@@ -9,7 +9,7 @@ from checks import mail as mail_checks
 from checks import sheets, triage
 from ledgerline import derived
 from ledgerline.operators import decode, positions
-from ledgerline.session import fresh_path
+from ledgerline.session import fresh_path, shuffles_removed
 from ledgerline.sources import mailbox, readers, writers
 from ledgerline.streaming.intake import TriageStore, start_intake
 
@@ -36,6 +36,13 @@ def ragged_rows(spark: SparkSession, folder: str) -> DataFrame:
     return table.select("o_orderkey", F.array_join("cells", "|").alias("cells"))
 
 
+def write_lines(messages: DataFrame, path: str) -> None:
+    """JSON messages as compressed lines. Such a file is read by one task, so it holds a bounded number of them."""
+    lines = messages.select("json").write.option("compression", "gzip")
+    with shuffles_removed(messages.sparkSession):
+        lines.option("maxRecordsPerFile", 2 * derived.ROWS_PER_TASK).text(path)
+
+
 def messages_through_lines(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "messages")
     messages = derived.messages(derived.mail(spark, folder)).orderBy("row_idx")
@@ -128,7 +135,7 @@ def stream_intake(spark: SparkSession, folder: str) -> DataFrame:
     # Three batches, of as many files as tasks of a bounded size write.
     files = max(1, -(-derived.tasks_by_rows(spark, folder) // 3))
     messages = derived.messages(derived.mail(spark, folder, ranges=3 * files))
-    messages.select("json").write.text(f"{base}/incoming")
+    write_lines(messages, f"{base}/incoming")
     store = TriageStore(spark, f"{base}/store", merge_every=2)
     for _ in range(2):  # a second start finds nothing new
         start_intake(

@@ -118,7 +118,8 @@ def messy_sheet(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mail(spark: SparkSession, folder: str, ranges: int | None = None) -> DataFrame:
-    """The mail, in no order; with ``ranges``, dealt into so many partitions by ranges of ``row_idx``, each in order.
+    """The mail, in no order; with ``ranges``, dealt into so many partitions by ranges of ``row_idx``, each in order
+    (rows of one ``row_idx`` may lie in several).
 
     Rows are dealt after the join, whose own partitions are counted by the bytes of the short rows."""
     orders, customer = read(spark, folder, "orders"), read(spark, folder, "customer")
@@ -127,7 +128,7 @@ def mail(spark: SparkSession, folder: str, ranges: int | None = None) -> DataFra
     if ranges is None:
         both = deal_orders(spark, folder, both)
     else:
-        both = both.repartitionByRange(ranges, "o_orderkey").sortWithinPartitions("o_orderkey")
+        both = both.repartitionByRange(ranges, "o_orderkey", "o_custkey", "o_totalprice").sortWithinPartitions("o_orderkey")
     return both.select(*[F.expr(e).alias(n) for n, e in MAIL.items()])
 
 

@@ -60,12 +60,15 @@ def read_order(scan: DataFrame) -> DataFrame:
     )
 
 
-def number_rows(ordered: DataFrame, name: str = "row_idx", start: Column | None = None) -> DataFrame:
+def number_rows(
+    ordered: DataFrame, name: str = "row_idx", start: Column | None = None, broadcast: bool = True
+) -> DataFrame:
     """Turn the columns of ``read_order`` into one dense position, in file order.
 
     Within one split, rows are read in order, so the id given while reading is increasing and has
     no gaps; the rows before a split are a sum over one count per split (a split is about 128 MB,
-    so there are few). The rows themselves are not sorted, nor shuffled while that table is small.
+    so there are few, and all tasks get them). The rows themselves are neither sorted nor shuffled. Without
+    ``broadcast``, for files that are a row each, joins are left to measured sizes.
     """
     ordered = ordered.withColumn("in_split", F.monotonically_increasing_id())
     splits = ordered.groupBy("in_file", "in_block").agg(
@@ -75,11 +78,12 @@ def number_rows(ordered: DataFrame, name: str = "row_idx", start: Column | None
     before = F.coalesce(F.sum("n").over(order), F.lit(0)) + (F.lit(0) if start is None else start)
     splits = splits.select("in_file", "in_block", (before - F.col("first")).alias("shift"))
     kept = [c for c in ordered.columns if c not in ("in_file", "in_block", "in_split")]
+    splits = F.broadcast(splits) if broadcast else splits
     return ordered.join(splits, ["in_file", "in_block"]).select(
         (F.col("in_split") + F.col("shift")).alias(name), *kept
     )
 
 
-def with_file_position(scan: DataFrame, name: str = "row_idx") -> DataFrame:
+def with_file_position(scan: DataFrame, name: str = "row_idx", broadcast: bool = True) -> DataFrame:
     """Number the rows of a file source from 0, in file order. ``scan`` must be a plain scan."""
-    return number_rows(read_order(scan), name)
+    return number_rows(read_order(scan), name, broadcast=broadcast)

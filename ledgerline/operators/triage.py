@@ -90,6 +90,7 @@ def upsert(
     order: Sequence[str] = (),
     managed: Sequence[str] = MANAGED,
     own_positions: bool = False,
+    rivals: Column | None = None,
 ) -> DataFrame:
     """Merge new cells into a triage table by ``message_id``; a new version is returned.
 
@@ -99,6 +100,8 @@ def upsert(
       are those with the largest ``order`` columns, and of equal ones with the largest position.
     * New messages follow the existing rows in the order in which they came. With ``own_positions``
       the positions of the cells are beyond those of the table already, and are used as they are.
+    * Rows of the table that are ``rivals`` compete with the cells, by ``order`` columns of their own;
+      one that wins stays as it is. This needs ``own_positions``.
 
     Winners are found and ids matched on narrow rows: keys and positions. The wide rows are then
     joined on their row position, which is unique, so an id that fills much of the table makes no
@@ -109,9 +112,11 @@ def upsert(
 
     key = strip(F.col("message_id"))
     last = F.max(F.struct(*order, row))[row] if order else F.max(row)
-    incoming = cells.where(key != "").groupBy(key.alias("key")).agg(
-        F.min(row).alias("came_at"), last.alias("last")
-    )
+    competing = cells.where(key != "").select(key.alias("key"), row, *order)
+    if rivals is not None:
+        of_cells = [F.col(c).cast(cells.schema[c].dataType).alias(c) for c in order]
+        competing = competing.union(existing.where(rivals & (key != "")).select(key.alias("key"), row, *of_cells))
+    incoming = competing.groupBy("key").agg(F.min(row).alias("came_at"), last.alias("last"))
     known = (
         table.where(strip(F.col("message_id")) != "")
         .groupBy(strip(F.col("message_id")).alias("key"))
@@ -121,16 +126,17 @@ def upsert(
     placed = incoming.join(known, "key", "left").select(
         F.coalesce("at", -1 - F.col("came_at")).alias("at"), "came_at", "last"
     )
-    wide = cells.select(F.col(row).alias("last"), F.struct(*managed).alias("new"))
+    # Columns of their own, not one struct, so that those that the caller does not read are not shuffled.
+    wide = cells.select(F.col(row).alias("last"), *[F.col(c).cast("string").alias(f"_new_{c}") for c in managed])
     placed = placed.join(wide, "last").drop("last")
     after = F.lit(0) if own_positions else F.coalesce(table.agg(F.max(row)).scalar(), F.lit(-1)) + 1
     merged = table.join(placed, table[row] == placed["at"], "full_outer")
 
-    is_hit = F.col("new").isNotNull()
+    is_hit = F.col("came_at").isNotNull()
     kept = F.lit(default_status)
     if preserve_status:
         kept = F.when(strip(F.col("status")) != "", F.col("status")).otherwise(default_status)
-    values = {c: F.when(is_hit, F.col("new")[c].cast("string")).otherwise(F.col(c)) for c in managed}
+    values = {c: F.when(is_hit, F.col(f"_new_{c}")).otherwise(F.col(c)) for c in managed}
     values["status"] = F.when(is_hit, kept).otherwise(F.col("status"))
     values.update({c: F.coalesce(F.col(c), F.lit("")) for c in users})
     return merged.select(

@@ -45,7 +45,7 @@ def rectangular(df: DataFrame, cells: str = "cells", width: int | None = None) -
 def read_messages(spark: SparkSession, path: str | list[str], one_per_file: bool = False) -> DataFrame:
     """Messages as JSON texts, one per line or one per file: ``row_idx`` and ``json``."""
     scan = spark.read.text(path, wholetext=one_per_file).withColumnRenamed("value", "json")
-    return with_file_position(scan, "row_idx")
+    return with_file_position(scan, "row_idx", broadcast=not one_per_file)
 
 
 def newest(messages: DataFrame, predicate: Column, recency: str, max_messages: int = 50) -> DataFrame:

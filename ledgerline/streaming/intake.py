@@ -21,6 +21,7 @@ from ledgerline.operators.decode import decode_bodies, with_headers, with_parts
 from ledgerline.operators.extract import intake_items
 from ledgerline.operators.positions import number_rows, read_order
 from ledgerline.operators.triage import MANAGED, TRIAGE_COLUMNS, triage_cells, upsert
+from ledgerline.session import shuffles_removed
 
 
 ORDER = ("sent_at", "cells_hash")
@@ -77,21 +78,19 @@ class TriageStore:
     def _merged(self, version: int | None, batches: list[int]) -> DataFrame:
         """A version with later batches. Its own cells compete too, so late news of old mail lose."""
         table, news = self._table(version), self._log(batches)
-        own = table.where(F.col("sent_at") != "").select(
-            "row_idx", *MANAGED, *[F.col(c).cast("long").alias(c) for c in ORDER]
-        )
-        return upsert(table, news.unionByName(own), order=ORDER, managed=STORED, own_positions=True)
+        return upsert(table, news, order=ORDER, managed=STORED, own_positions=True, rivals=F.col("sent_at") != "")
 
     def add(self, cells: DataFrame, batch_id: int) -> None:
         """Store the cells of a batch, with ORDER and positions of its own; it may be empty."""
-        cells.write.mode("overwrite").parquet(self.batch_path(batch_id))
+        cells.write.mode("overwrite").option("compression", "zstd").parquet(self.batch_path(batch_id))
         earlier = [v for v in self.versions() if v < batch_id]
         base = earlier[-1] if earlier else None
         news = [b for b in self.batches() if b <= batch_id and (base is None or b > base)]
         if len(news) < self.merge_every:
             return
         merged = self._merged(base, news)
-        merged.write.mode("overwrite").parquet(self.version_path(batch_id))
+        with shuffles_removed(self.spark):
+            merged.write.mode("overwrite").option("compression", "zstd").parquet(self.version_path(batch_id))
         for version in earlier[: -self.keep_versions]:
             self._remove(self.version_path(version))
         if len(earlier) >= self.keep_versions:

@@ -8,6 +8,7 @@ import pytest
 from checks import files, mail, triage
 from ledgerline import derived
 from ledgerline.session import shuffles_removed
+from ledgerline.sources import readers
 
 N = 60
 
@@ -52,6 +53,27 @@ def test_incoming_files_grow_with_the_mail(spark, folder, monkeypatch):
     assert sum(r["count"] for r in sizes) == N
 
 
+def test_incoming_files_are_compressed_and_of_few_rows(spark, folder, monkeypatch):
+    monkeypatch.setattr(derived, "ROWS_PER_TASK", 5)
+    sources = []
+    monkeypatch.setattr(files, "start_intake", lambda _, source, *args, **kw: sources.append(source) or _Done())
+    files.stream_intake(spark, folder)
+    sizes = spark.read.text(sources[0]).selectExpr("_metadata.file_path AS file").groupBy("file").count().collect()
+    assert all(r["file"].endswith(".gz") and r["count"] <= 10 for r in sizes)
+    assert sum(r["count"] for r in sizes) == N
+
+
+def test_rows_are_numbered_without_a_shuffle_of_their_texts(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("{}\n")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table estimated to be large
+    try:
+        plan = readers.read_messages(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_stored_attachments_are_cut_into_files_of_few_rows(spark, folder, monkeypatch):
     whole = sorted(triage.attachment_rows(spark, folder).collect())
     monkeypatch.setattr(triage, "SHORT_ROWS_PER_FILE", 5, raising=False)

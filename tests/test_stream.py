@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.operators.triage import MANAGED, upsert
 from ledgerline.session import fresh_path
 from ledgerline.streaming.intake import ORDER, TriageStore, start_intake
 
@@ -57,3 +58,24 @@ def test_files_in_any_order(spark, tmp_path):
         if n == 3:
             break
     assert results == {(("m", "s1"), ("only0", "s0"), ("only1", "s1"), ("only2", "s2"))}
+
+
+def test_cells_that_are_not_read_are_not_merged(spark):
+    store = TriageStore(spark, fresh_path(spark, "store"), merge_every=2)
+    for batch, which in enumerate((0, 2, 3)):
+        store.add(cells(spark, batch, BATCHES[which]), batch)
+    read = store.current().select("message_id", "subject")
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "gmail_link" in line and "Relation [" not in line]
+    assert sorted(tuple(r) for r in read.collect()) == [("a", "new"), ("b", "b"), ("c", "tie2")]
+
+
+def test_rows_of_the_table_compete_with_cells(spark):
+    table = spark.createDataFrame(
+        [(0, "a", "own", "DONE", "u1", "9", "1"), (1, "b", "own", "", "u2", "2", "1"), (2, "c", "own", "KEPT", "u3", "", "")],
+        "row_idx long, message_id string, subject string, status string, owner string, sent_at string, cells_hash string",
+    )
+    news = cells(spark, 1, [(" a ", "late", 5, 1), ("b", "later", 30, 1), ("b", "late", 4, 1), ("c", "first", 1, 1), ("d", "d", 1, 1), ("", "none", 1, 1)])
+    merged = upsert(table, news, order=ORDER, managed=(*MANAGED, *ORDER), own_positions=True, rivals=F.col("sent_at") != "")
+    found = [(r["message_id"], r["subject"], r["status"], r["owner"], r["sent_at"]) for r in merged.orderBy("row_idx").collect()]
+    assert found == [("a", "own", "DONE", "u1", "9"), ("b", "later", "NEW", "u2", "30"), ("c", "first", "KEPT", "u3", "1"), ("d", "d", "NEW", "", "1")]
