@@ -45,8 +45,9 @@ def write_lines(messages: DataFrame, path: str) -> None:
 
 def messages_through_lines(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "messages")
-    messages = derived.messages(derived.mail(spark, folder)).orderBy("row_idx")
-    messages.select("json").write.text(path)
+    # Put in order while the rows are short.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), derived.tasks_by_rows(spark, folder))
+    write_lines(derived.messages(derived.mail(spark, folder, ranges=tasks)), path)
     read = decode.with_headers(decode.with_parts(readers.read_messages(spark, path)))
     return read.select("row_idx", "message_id", "thread_id", "subject")
 

@@ -63,6 +63,20 @@ def test_incoming_files_are_compressed_and_of_few_rows(spark, folder, monkeypatc
     assert sum(r["count"] for r in sizes) == N
 
 
+def test_lines_of_messages_are_compressed_and_keep_their_order(spark, folder, monkeypatch):
+    monkeypatch.setattr(derived, "ROWS_PER_TASK", 3)
+    orders = spark.read.parquet(f"{folder}/orders.parquet")
+    orders.union(orders.where("o_orderkey = 7")).union(orders.selectExpr("11L", *orders.columns[1:]).limit(20)).coalesce(1).write.parquet(f"{folder}/more/orders.parquet")
+    spark.read.parquet(f"{folder}/customer.parquet").write.parquet(f"{folder}/more/customer.parquet")
+    read = files.messages_through_lines(spark, f"{folder}/more")
+    found = [(r["row_idx"], r["subject"]) for r in read.orderBy("row_idx").collect()]
+    keys = sorted([*range(1, N + 1), 7, *[11] * 20])
+    shapes = [(i, 5 if k % 41 == 0 else 0, k) for i, k in enumerate(keys)]
+    assert found == [(i, "" if shape == 5 else f"Request {k}") for i, shape, k in shapes]
+    sizes = spark.read.text(sorted(read.inputFiles())).selectExpr("_metadata.file_path AS file").groupBy("file").count().collect()
+    assert all(r["file"].endswith(".gz") and r["count"] <= 6 for r in sizes)
+
+
 def test_rows_are_numbered_without_a_shuffle_of_their_texts(spark, tmp_path):
     (tmp_path / "a.txt").write_text("{}\n")
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
